@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
-    return archive_pages(table(spark, sf_dir, "pages"), Scratch(spark, "op1"))
+    out = archive_pages(table(spark, sf_dir, "pages"), Scratch(spark, "op1"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +27,36 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise_order(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -39,8 +64,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontamination
+
+    out = decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_training_order, op5_jaccard_join, op8_quality_rules)}
+    made = [op1_warc, op2_training_order, op3_brown_classes, op4_secret_forest, op5_jaccard_join, op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_source_mix]
+    return {f.__name__: f for f in made}
 
 
 ORACLE: dict[str, str] = {}

@@ -74,7 +74,7 @@ def write_monolithic(rows: DataFrame, folder: str, roll_bytes: int = 256 << 20,
                 if out is None:
                     fs, path = open_fs(uri := f"{folder}/mono-{uuid.uuid4().hex}.warc.gz")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out, squeeze, n, raw = fs.open_output_stream(path), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
+                    out, squeeze, n, raw = fs.open_output_stream(path, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                 record = make_record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["refers_to"], date)
                 out.write(squeeze.compress(record))
                 n, raw = n + 1, raw + len(record)
