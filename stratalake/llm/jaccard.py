@@ -118,7 +118,7 @@ def streamed(it: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, l
         yield key, list(group)
 
 
-def document_sets(docs: DataFrame, with_prefix: bool) -> DataFrame:
+def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node[, prefix]) of each row; a task gives a node's prefix once."""
 
     def sets(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable by links."""
     bound_batches(docs.sparkSession)
-    first = document_sets(docs, True)
+    first = document_sets(docs)
     # Prefixes are used once and not stored: the narrow table is made by a pass of its own over the same texts.
     live = scratch.table(candidate_keys(first), "live")
     info = scratch.table(first.drop("prefix"), "info")
@@ -274,17 +274,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lowest = linked_owners.groupBy("root").agg(F.min("doc_id").alias("least"))
     roots = scratch.table(linked_owners.select("node", "root").join(scratch.table(lowest, "lowest"), "root").select("node", "least"), "roots")
     classes = scratch.table(owners.join(roots, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component")), "classes")
-    out = info.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return same_document(out)
-
-
-def same_document(rows: DataFrame) -> DataFrame:
-    return rows
+    return info.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs without the rows of documents that link with one of smaller doc_id; of rows with one doc_id, one stays."""
     heads = jaccard_components(docs, scratch).where("doc_id = component_id").select("doc_id").distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = row.join(heads.select(F.col("doc_id").alias("_id")), "_id", "left_semi").groupBy("_id").agg(F.min("row").alias("row"))
+    kept = row.join(heads.select(F.col("doc_id").alias("_id")), "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.col("row.text").cast("string")).alias("row"))
     return kept.select("row.*").union(docs.where(F.col("doc_id").isNull()))
