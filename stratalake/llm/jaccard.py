@@ -3,12 +3,13 @@
 Two documents link when the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more. No pair is lost:
 
 1. Equal sets become one *node*. Shingles are 64-bit hashes, ordered by value. A set of n shingles gives its
-   ``n - ceil(0.8 n) + n // 10`` smallest ones: two linked sets have at least ``l = ceil(0.8 n) // 10`` of these in
-   common, n being the larger set's size. Shingles that one node alone gives are gone after one shuffle, and with them nodes
-   with fewer than l left. A node then leaves out its l - 1 most frequent ones: a common one still remains.
-2. *Leader rounds*: nodes with the same least key meet in blocks of bounded size; each is compared with the block's
-   leaders and joins one or leads. Leaders alone go on to the next round, so a group of many copies shrinks by the
-   block size each round and never forms all its pairs.
+   ``n - ceil(0.8 n) + n // 10`` smallest ones: two linked sets have at least ``ceil(0.8 n) // 10`` of these in common,
+   for either's n. Shingles that one node alone gives are gone after one shuffle, and with them the nodes with too few
+   left. The others are *live*. Of a live node's whole set, ``ceil(0.8 n)`` must be in another live node's; of these it
+   leaves out the ``ceil(0.8 n) - 1`` most frequent, and meets any partner at one of the rest, its *keys*.
+2. *Block rounds*: nodes with the same least key meet in blocks of bounded size, where links are followed but not
+   within a component. One node of each component goes on to the next round, so a group of many copies shrinks by up
+   to the block size each round and never forms all its pairs.
 3. *Tiles*: for every key, nodes of different components so far meet in tiles of a size band and the one below (sets
    further apart in size can't link); large tiles are cut in chunks, and pairs of chunks go to tasks of their own.
    Bit counts of the signatures bound the overlap from above; what passes is intersected exactly.
@@ -27,7 +28,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, utf8
@@ -141,55 +142,82 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(sets, "doc_id long, n long, node long, prefix array<long>")
 
 
-def candidate_keys(rows: DataFrame) -> DataFrame:
-    """(node, n, keys) for the nodes that may have a partner; keys are the shingles at which partners meet."""
-    flat = rows.where("prefix is not null").select("node", "n", F.explode("prefix").alias("h"))
-    counted = flat.selectExpr("node", "n", "h", "count(1) over (partition by h) as c").where("c > 1")
+def needed() -> Column:
+    """need() of column n."""
+    return F.ceil(F.col("n") * 4 / 5)
+
+
+def sharing(rows: DataFrame, least: Column) -> DataFrame:
+    """(node, n, m, shared): of the rows (node, n, h), what each node shares with another, rarest first, where these
+    are at least as many as ``least``."""
+    counted = rows.selectExpr("node", "n", "h", "count(1) over (partition by h) as c").where("c > 1")
     per = counted.groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("c", "h"))).alias("shared"))
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 10)).cast("int")
-    return per.select("node", "n", F.size("shared").alias("m"), "shared", least.alias("least")).where("m >= least").select("node", "n", F.expr("transform(slice(shared, 1, m - least + 1), x -> x.h)").alias("keys"))
+    return per.select("node", "n", F.size("shared").alias("m"), "shared").where(F.col("m") >= least)
+
+
+def live_nodes(rows: DataFrame) -> DataFrame:
+    """The nodes that share as much of their prefix as a partner would."""
+    flat = rows.where("prefix is not null").select("node", "n", F.explode("prefix").alias("h"))
+    return sharing(flat, F.greatest(F.lit(1), F.floor(needed() / 10))).select("node")
+
+
+def candidate_keys(sets: DataFrame) -> DataFrame:
+    """(node, keys) for the nodes with four fifths of their set among the other live nodes' sets."""
+
+    def unpack(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+            if sets:
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["node", "n", "h"])
+
+    shared = sharing(sets.select("node", "shingles").mapInArrow(unpack, "node long, n long, h long"), needed())
+    return shared.select("node", F.transform(F.slice("shared", F.lit(1), (F.col("m") - needed() + 1).cast("int")), lambda x: x["h"]).alias("keys"))
 
 
 def live_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """(node, n, keys, shingles, sig) of the live nodes, made again from one document of each."""
+    """(node, n, shingles, sig) of the live nodes, made again from one document of each."""
 
     def build(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in it:
             sets = [shingler.set(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("keys"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "keys", "shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles", "sig"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return texts.join(live, "doc_id").select("node", "n", "keys", "text").mapInArrow(build, "node long, n long, keys array<long>, shingles binary, sig binary")
+    return texts.join(live, "doc_id").select("node", "n", "text").mapInArrow(build, "node long, n long, shingles binary, sig binary")
+
 
+def join_block(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single linkage within each block: (a, b) from each node to the first of its component there.
 
-def lead(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leader clustering of each block: (a, b) is an edge from a node to its leader, or (leader, leader)."""
+    Nodes are compared with all before them, but for those of their component so far.
+    """
     for _, rows in streamed(it, 2):
         rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: (-r[3], r[2]))
         words = min(len(r[5]) // 8 for r in rows)
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         sigs = np.stack([fold(np.frombuffer(r[5], np.uint64), words) for r in rows])
         ones, ns = np.bitwise_count(sigs).sum(1, dtype=np.int64), np.array([r[3] for r in rows])
-        leaders, out = [], []
-        for i in range(len(rows)):
-            near = [leaders[j] for j in np.flatnonzero(may_link(sigs[i], int(ns[i]), sigs[leaders], ns[leaders], ones[leaders]))] if leaders else []
-            to = next((j for j in near if linked(sets[i], sets[j])), i)
-            if to == i:
-                leaders.append(i)
-            out.append((rows[i][2], rows[to][2]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-
-def leader_edges(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified edges of the leader rounds. Each round uses another order of the keys."""
+        comp = np.arange(len(rows))
+        for i in range(1, len(rows)):
+            near = np.flatnonzero(may_link(sigs[i], int(ns[i]), sigs[:i], ns[:i], ones[:i]))
+            for j in near:
+                if comp[i] != comp[j] and linked(sets[i], sets[j]):
+                    low, high = sorted((comp[i], comp[j]))
+                    comp[comp == high] = low
+        yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([rows[c][2] for c in comp], pa.int64())], names=["a", "b"])
+
+
+def block_edges(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges within components found in the block rounds. Each round uses another order of the keys."""
     nodes, found = sets, []
     for r in range(ROUNDS):
         keyed = nodes.withColumn("key", F.array_min(F.expr(f"transform(keys, k -> xxhash64(k, {r}))")))
         sizes = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{r}")
         blocks = keyed.join(sizes, "key").withColumn("block", F.expr(f"pmod(xxhash64(node), ceil(size / {BLOCK}))"))
         rows = blocks.select("key", "block", "node", "n", "shingles", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-        made = scratch.table(rows.mapInArrow(lead, "a long, b long"), f"leaders-{r}")
+        made = scratch.table(rows.mapInArrow(join_block, "a long, b long"), f"blocks-{r}")
         found.append(made.where("a != b"))
         if r + 1 < ROUNDS:
             nodes = nodes.join(made.where("a != b").select(F.col("a").alias("node")).distinct(), "node", "left_anti")
@@ -259,13 +287,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable by links."""
     bound_batches(docs.sparkSession)
-    first = document_sets(docs)
-    # Prefixes are used once and not stored: the narrow table is made by a pass of its own over the same texts.
-    live = scratch.table(candidate_keys(first), "live")
-    info = scratch.table(first.drop("prefix"), "info")
-    owners = scratch.table(info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "owners")
-    sets = scratch.table(live_sets(docs, live.join(owners, "node")).dropDuplicates(["node"]), "sets")
-    edges = scratch.table(leader_edges(sets, scratch), "edges")
+    first = scratch.table(document_sets(docs), "first")
+    info = first.drop("prefix")
+    live = scratch.table(live_nodes(first), "live")
+    owners = scratch.table(info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).where("doc_id is not null"), "owners")
+    whole = scratch.table(live_sets(docs, live.join(owners, "node")).dropDuplicates(["node"]), "whole")
+    sets = scratch.table(whole.join(candidate_keys(whole), "node"), "sets")
+    edges = scratch.table(block_edges(sets, scratch), "edges")
     labels = components(edges, scratch, "near")
     more = scratch.table(verified(tile_pairs(sets, labels, scratch), sets), "more")
     if not more.isEmpty():
