@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ from .common import Scratch, bound_batches, open_fs
 
 RECORD = "urn:page:"
 CHUNK = 1 << 20
-MANIFEST = "archive string, n_records long"
+MANIFEST = "archive string, n_records long, wave int"
+WAVES = 2
 INDEX = "archive string, ordinal long, offset long, length long, record_type string, record_id string"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
@@ -65,14 +67,18 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def write_monolithic(rows: DataFrame, folder: str, roll_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
-    """Archives of resolve()'s rows, each one gzip stream of about roll_bytes raw at most; returns their manifest."""
+    """Archives of resolve()'s rows, each one gzip stream of about roll_bytes raw at most; returns their manifest.
+
+    Tasks write to one of WAVES folders, which are normalised and dropped one after the other.
+    """
 
     def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, out, squeeze, n, raw = [], None, None, 0, 0
+        wave = TaskContext.get().partitionId() % WAVES
         for batch in it:
             for r in batch.to_pylist():
                 if out is None:
-                    fs, path = open_fs(uri := f"{folder}/mono-{uuid.uuid4().hex}.warc.gz")
+                    fs, path = open_fs(uri := f"{folder}/{wave}/mono-{uuid.uuid4().hex}.warc.gz")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out, squeeze, n, raw = fs.open_output_stream(path, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                 record = make_record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["refers_to"], date)
@@ -88,7 +94,7 @@ def write_monolithic(rows: DataFrame, folder: str, roll_bytes: int = 256 << 20,
             out.close()
             made.append((uri, n))
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made]), pa.array([x[1] for x in made], pa.int64())], names=["archive", "n_records"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made]), pa.array([x[1] for x in made], pa.int64()), pa.array([wave] * len(made), pa.int32())], names=["archive", "n_records", "wave"])
 
     bound_batches(rows.sparkSession)
     return rows.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, MANIFEST)
@@ -215,6 +221,9 @@ def read_records(index: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, scratch: Scratch, min_bytes: int = 1000) -> DataFrame:
     """Write all pages, normalise the archives and read them back, a row a page."""
     manifest = scratch.table(write_monolithic(resolve(pages, min_bytes), scratch.path("mono")), "manifest")
-    index = scratch.table(normalise(manifest, scratch.path("warc")), "index")
-    scratch.drop("mono", "manifest")
+    index = None
+    for wave in range(WAVES):
+        part = scratch.table(normalise(manifest.where(F.col("wave") == wave), scratch.path("warc")), f"index-{wave}")
+        index = part if index is None else index.union(part)
+        scratch.drop(f"mono/{wave}")
     return read_records(index)
