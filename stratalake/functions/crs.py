@@ -17,37 +17,48 @@ RD_LAT, RD_LON, RD_SCALE, RD_X, RD_Y = 52.15616055555555, 5.38763888888889, 0.99
 SHIFT, ROTATION, SCALE = (565.4171, 50.3319, 465.5524), (-0.398957, 0.343988, -1.87740), 4.0725
 
 
-def _geocentric(lat: Column, lon: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column, Column]:
+class Steps:
+    """Named intermediate columns: an expression used several times is computed once, and trees stay small."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.n = df, 0
+
+    def put(self, *values: Column) -> Column | tuple[Column, ...]:
+        names = [f"_step{self.n + i}" for i in range(len(values))]
+        self.n += len(values)
+        self.df = self.df.withColumns(dict(zip(names, values)))
+        return F.col(names[0]) if len(names) == 1 else tuple(map(F.col, names))
+
+    def done(self) -> DataFrame:
+        return self.df.drop(*[f"_step{i}" for i in range(self.n)])
+
+
+def _geocentric(s: Steps, lat: Column, lon: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column, Column]:
     a, f = ellipsoid[0], 1 / ellipsoid[1]
     e2 = f * (2 - f)
-    n = a / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    return n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1 - e2) * F.sin(lat)
+    n = s.put(a / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat)))
+    return s.put(n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1 - e2) * F.sin(lat))
 
 
-def _geodetic(x: Column, y: Column, z: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column]:
+def _geodetic(s: Steps, x: Column, y: Column, z: Column, ellipsoid: tuple[float, float]) -> tuple[Column, Column]:
     a, f = ellipsoid[0], 1 / ellipsoid[1]
     b, e2 = a * (1 - f), f * (2 - f)
-    p = F.sqrt(x * x + y * y)
-    t = F.atan2(z * a, p * b)
+    p = s.put(F.sqrt(x * x + y * y))
+    t = s.put(F.atan2(z * a, p * b))
     lat = F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), 3), p - e2 * a * F.pow(F.cos(t), 3))
-    return lat, F.atan2(y, x)
+    return s.put(lat, F.atan2(y, x))
 
 
-def _shifted(x: Column, y: Column, z: Column, sign: int) -> tuple[Column, Column, Column]:
+def _shifted(st: Steps, x: Column, y: Column, z: Column, sign: int) -> tuple[Column, Column, Column]:
     tx, ty, tz = SHIFT
     rx, ry, rz = (math.radians(v / 3600) for v in ROTATION)
     s = 1 + SCALE * 1e-6
     if sign > 0:
-        return tx + s * (x - rz * y + ry * z), ty + s * (rz * x + y - rx * z), tz + s * (-ry * x + rx * y + z)
-    x, y, z = (x - tx) / s, (y - ty) / s, (z - tz) / s
-    # The inverse rotation, to second order: the transposed matrix over one plus the squares of its angles.
-    q = 1 + rx * rx + ry * ry + rz * rz
-    cross = lambda u, v, w: (u + rz * v - ry * w + rx * (rx * u + ry * v + rz * w)) / q
-    return (
-        cross(x, y, z),
-        (y - rz * x + rx * z + ry * (rx * x + ry * y + rz * z)) / q,
-        (z + ry * x - rx * y + rz * (rx * x + ry * y + rz * z)) / q,
-    )
+        return st.put(tx + s * (x - rz * y + ry * z), ty + s * (rz * x + y - rx * z), tz + s * (-ry * x + rx * y + z))
+    x, y, z = st.put((x - tx) / s, (y - ty) / s, (z - tz) / s)
+    # The inverse of the rotation and scale matrix, exactly for the skew matrix of the three angles.
+    q, d = 1 + rx * rx + ry * ry + rz * rz, st.put(rx * x + ry * y + rz * z)
+    return st.put((x + rz * y - ry * z + rx * d) / q, (y - rz * x + rx * z + ry * d) / q, (z + ry * x - rx * y + rz * d) / q)
 
 
 def _sphere() -> dict[str, float]:
@@ -65,35 +76,37 @@ def _sphere() -> dict[str, float]:
     return {"e": e, "e2": e2, "n": n, "c": c, "R": math.sqrt(rho * nu), "lat": math.asin((w2 - 1) / (w2 + 1)), "lon": math.radians(RD_LON)}
 
 
-def rd_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:
+def rd_to_wgs84(s: Steps, x: Column, y: Column) -> tuple[Column, Column]:
     """(lon, lat) in degrees of RD coordinates."""
     k = _sphere()
     g = 2 * k["R"] * RD_SCALE * math.tan(math.pi / 4 - k["lat"] / 2)
     h = 4 * k["R"] * RD_SCALE * math.tan(k["lat"]) + g
     dx, dy = x - RD_X, y - RD_Y
-    i = F.atan2(dx, h + dy)
-    j = F.atan2(dx, g - dy) - i
+    i = s.put(F.atan2(dx, h + dy))
+    j = s.put(F.atan2(dx, g - dy) - i)
     chi = k["lat"] + 2 * F.atan((dy - dx * F.tan(j / 2)) / (2 * k["R"] * RD_SCALE))
-    lon = (j + 2 * i) / k["n"] + k["lon"]
+    chi = s.put(chi)
+    lon = s.put((j + 2 * i) / k["n"] + k["lon"])
     psi = 0.5 * F.log((1 + F.sin(chi)) / (k["c"] * (1 - F.sin(chi)))) / k["n"]
-    lat = 2 * F.atan(F.exp(psi)) - math.pi / 2
+    psi = s.put(psi)
+    lat = s.put(2 * F.atan(F.exp(psi)) - math.pi / 2)
     for _ in range(6):
         at = F.log(F.tan(lat / 2 + math.pi / 4) * F.pow((1 - k["e"] * F.sin(lat)) / (1 + k["e"] * F.sin(lat)), k["e"] / 2))
-        lat = lat - (at - psi) * F.cos(lat) * (1 - k["e2"] * F.sin(lat) * F.sin(lat)) / (1 - k["e2"])
-    lat, lon = _geodetic(*_shifted(*_geocentric(lat, lon, BESSEL), 1), WGS84)
+        lat = s.put(lat - (at - psi) * F.cos(lat) * (1 - k["e2"] * F.sin(lat) * F.sin(lat)) / (1 - k["e2"]))
+    lat, lon = _geodetic(s, *_shifted(s, *_geocentric(s, lat, lon, BESSEL), 1), WGS84)
     return F.degrees(lon), F.degrees(lat)
 
 
-def wgs84_to_rd(lon: Column, lat: Column) -> tuple[Column, Column]:
+def wgs84_to_rd(s: Steps, lon: Column, lat: Column) -> tuple[Column, Column]:
     k = _sphere()
-    lat, lon = _geodetic(*_shifted(*_geocentric(F.radians(lat), F.radians(lon), WGS84), -1), BESSEL)
+    lat, lon = _geodetic(s, *_shifted(s, *_geocentric(s, F.radians(lat), F.radians(lon), WGS84), -1), BESSEL)
     sa, sb = (1 + F.sin(lat)) / (1 - F.sin(lat)), (1 - k["e"] * F.sin(lat)) / (1 + k["e"] * F.sin(lat))
-    w = k["c"] * F.pow(sa * F.pow(sb, k["e"]), k["n"])
-    chi = F.asin((w - 1) / (w + 1))
-    d = k["n"] * (lon - k["lon"])
+    w = s.put(k["c"] * F.pow(sa * F.pow(sb, k["e"]), k["n"]))
+    chi = s.put(F.asin((w - 1) / (w + 1)))
+    d = s.put(k["n"] * (lon - k["lon"]))
     b = 1 + F.sin(chi) * math.sin(k["lat"]) + F.cos(chi) * math.cos(k["lat"]) * F.cos(d)
-    s = 2 * k["R"] * RD_SCALE
-    return RD_X + s * F.cos(chi) * F.sin(d) / b, RD_Y + s * (F.sin(chi) * math.cos(k["lat"]) - F.cos(chi) * math.sin(k["lat"]) * F.cos(d)) / b
+    b, m = s.put(b), 2 * k["R"] * RD_SCALE
+    return RD_X + m * F.cos(chi) * F.sin(d) / b, RD_Y + m * (F.sin(chi) * math.cos(k["lat"]) - F.cos(chi) * math.sin(k["lat"]) * F.cos(d)) / b
 
 
 def _krueger() -> tuple[float, list[float], list[float]]:
@@ -104,33 +117,34 @@ def _krueger() -> tuple[float, list[float], list[float]]:
     return radius, alpha, beta
 
 
-def wgs84_to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+def wgs84_to_utm(s: Steps, lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     radius, alpha, _ = _krueger()
     e = math.sqrt(1 / WGS84[1] * (2 - 1 / WGS84[1]))
     phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    t = s.put(F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi))))
+    xi, eta = s.put(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)))
     east = eta + sum(a * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, a in enumerate(alpha))
     north = xi + sum(a * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, a in enumerate(alpha))
     return 500000 + 0.9996 * radius * east, 0.9996 * radius * north
 
 
-def utm_to_wgs84(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
+def utm_to_wgs84(s: Steps, x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     radius, _, beta = _krueger()
     f = 1 / WGS84[1]
     e2 = f * (2 - f)
     xi, eta = y / (0.9996 * radius), (x - 500000) / (0.9996 * radius)
     xi_ = xi - sum(b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(beta))
     eta_ = eta - sum(b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(beta))
-    chi = F.asin(F.sin(xi_) / F.cosh(eta_))
-    psi = F.atanh(F.sin(chi))
+    xi_, eta_ = s.put(xi_, eta_)
+    chi = s.put(F.asin(F.sin(xi_) / F.cosh(eta_)))
+    psi = s.put(F.atanh(F.sin(chi)))
     lat = chi
     for _ in range(5):
-        lat = F.asin(F.tanh(psi + math.sqrt(e2) * F.atanh(math.sqrt(e2) * F.sin(lat))))
+        lat = s.put(F.asin(F.tanh(psi + math.sqrt(e2) * F.atanh(math.sqrt(e2) * F.sin(lat)))))
     return F.degrees(F.atan2(F.sinh(eta_), F.cos(xi_))) + (6 * zone - 183), F.degrees(lat)
 
 
-def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+def transform(s: Steps, x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     """x, y (lon, lat for geographic systems) of EPSG source in EPSG target."""
     zone = lambda epsg: epsg % 100 if epsg // 100 in (326, 258) and 1 <= epsg % 100 <= 60 else None
     for epsg in (source, target):
@@ -138,14 +152,15 @@ def transform(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
             raise ValueError(f"EPSG:{epsg} is not supported")
     if source == target:
         return x, y
-    lon, lat = rd_to_wgs84(x, y) if source == 28992 else utm_to_wgs84(x, y, zone(source)) if zone(source) else (x, y)
-    return wgs84_to_rd(lon, lat) if target == 28992 else wgs84_to_utm(lon, lat, zone(target)) if zone(target) else (lon, lat)
+    lon, lat = rd_to_wgs84(s, x, y) if source == 28992 else utm_to_wgs84(s, x, y, zone(source)) if zone(source) else (x, y)
+    return wgs84_to_rd(s, lon, lat) if target == 28992 else wgs84_to_utm(s, lon, lat, zone(target)) if zone(target) else (lon, lat)
 
 
 def transform_coordinates(df: DataFrame, source: int, target: int, xbot: str | None = None, ybot: str | None = None) -> DataFrame:
     roles = Roles.of(df)
     roles.need("x", "y")
-    made = {}
+    made, steps = {}, Steps(df)
     for a, b in [(roles.x, roles.y)] + ([(xbot, ybot)] if xbot and ybot else []):
-        made[a], made[b] = transform(col(a).cast("double"), col(b).cast("double"), source, target)
-    return df.withColumns(made)
+        made[a], made[b] = transform(steps, col(a).cast("double"), col(b).cast("double"), source, target)
+    steps.df = steps.df.withColumns(made)
+    return steps.done()

@@ -567,7 +567,7 @@ def mesh_cells(spark, d):
 @query("""select nr, x - 0.5 as xlo, x + 0.5 as xhi, y - 0.5 as ylo, y + 0.5 as yhi, surface - bottom as zlo, surface - top as zhi, lith from layers""")
 def layer_boxes(spark, d):
     boxes = mesh.layer_boxes(L(spark, d), 0.5)
-    ends = [f(F.transform("corners", lambda p, a=a: p[a])).alias(f"{a}{k}") for a in "xyz" for k, f in (("lo", F.array_min), ("hi", F.array_max))]
+    ends = [f(F.col(f"corners.{a}")).alias(f"{a}{k}") for a in "xyz" for k, f in (("lo", F.array_min), ("hi", F.array_max))]
     return boxes.select("nr", *ends, "lith")
 
 
