@@ -12,7 +12,8 @@ Two documents link when the sets of their 5-word shingles have a Jaccard similar
    to the block size each round and never forms all its pairs.
 3. *Tiles*: for every key, nodes of different components so far meet in tiles of a size band and the one below (sets
    further apart in size can't link); large tiles are cut in chunks, and pairs of chunks go to tasks of their own.
-   Bit counts of the signatures bound the overlap from above; what passes is intersected exactly.
+   Bit counts of the signatures bound the overlap from above; what passes is intersected exactly. Of two components
+   a tile first gives a few pairs; where none links and there are more, the next round gives more, until none is left.
 
 Defined cases: null and empty texts have an empty set and link with nothing; below five words the whole sequence is
 one shingle; rows with one doc_id are one document to the links, each row with its own n_shingles; rows without
@@ -37,7 +38,8 @@ from .graph import components
 WORDS = 5
 BLOCK = 1024
 ROUNDS = 2
-CACHED = 1_000_000
+FIRST_PAIRS = 16
+CACHED = 200_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -227,20 +229,22 @@ def block_edges(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def compare(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compare(it: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of a tile that are of different components and that the bit counts let pass.
 
+    Of two components a task gives at most ``most`` pairs, and one more marked ``rest`` where there are more.
     Rows: key, band, low chunk, high chunk, own band, own chunk, node, n, component, signature.
     """
+    given: dict[tuple, set] = {}
     for (_, band, low, high), rows in streamed(it, 4):
-        rows = sorted({r[6]: r for r in rows}.values(), key=lambda r: r[7])
+        rows = sorted({r[6]: r for r in rows}.values(), key=lambda r: (r[7], r[6]))
         if len({r[8] for r in rows}) < 2:
             continue
         words = min(len(r[9]) // 8 for r in rows)
         sigs = np.stack([fold(np.frombuffer(r[9], np.uint64), words) for r in rows])
         own, chunk, ns, comp = (np.array([r[i] for r in rows]) for i in (4, 5, 7, 8))
         ones = np.bitwise_count(sigs).sum(1, dtype=np.int64)
-        a, b = [], []
+        out = []
         for i in range(len(rows)):
             end = np.searchsorted(ns, int(ns[i]) * 5 // 4, "right")
             part = slice(i + 1, end)
@@ -249,16 +253,27 @@ def compare(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok &= chunk[part] != chunk[i]
             at = np.flatnonzero(ok) + i + 1
             at = at[may_link(sigs[i], int(ns[i]), sigs[at], ns[at], ones[at])] if len(at) else at
-            a += [rows[i][6]] * len(at)
-            b += [rows[j][6] for j in at]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def tile_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs between components from all tiles."""
+            for j in at.tolist():
+                if len(given) > CACHED // 2:
+                    given.clear()
+                before = given.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), set())
+                pair = rows[i][6], rows[j][6]
+                if pair not in before and len(before) <= most:
+                    before.add(pair)
+                    out.append((*pair, len(before) > most))
+        if out:
+            a, b, rest = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(rest)], names=["a", "b", "rest"])
+
+
+def tile_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(a, b, rest): candidate pairs between components from all tiles, most from two components in a tile."""
     node = sets.select("node", "n", "keys").join(labels, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), F.explode("keys").alias("key"))
     mixed = node.selectExpr("*", "min(comp) over (partition by key) as lo", "max(comp) over (partition by key) as hi").where("lo < hi").drop("lo", "hi")
+    # Shingles of one passage have the same nodes: of keys that agree in two hashes over their nodes, one is enough.
+    mixed = scratch.table(mixed, "mixed")
+    members = mixed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q"))
+    mixed = mixed.join(members.groupBy("c", "p", "q").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     own = mixed.withColumn("own", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int"))
     banded = scratch.table(own.withColumn("band", F.explode(F.array("own", F.col("own") + 1))), "banded")
     sizes = scratch.table(banded.groupBy("key", "band").agg(F.count("*").alias("size"), F.max((F.col("own") == F.col("band")).cast("int")).alias("home")).where("size > 1 and home = 1"), "tiles")
@@ -267,7 +282,7 @@ def tile_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFram
     tiles = tiles.select("key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "own", "chunk", "node", "n", "comp")
     rows = tiles.join(sets.select("node", "sig"), "node").select("key", "band", "low", "high", "own", "chunk", "node", "n", "comp", "sig")
     rows = rows.repartition("key", "band", "low", "high").sortWithinPartitions("key", "band", "low", "high")
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(lambda it: compare(it, most), "a long, b long, rest boolean").groupBy("a", "b").agg(F.max("rest").alias("rest"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,9 +310,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.table(whole.join(candidate_keys(whole), "node"), "sets")
     edges = scratch.table(block_edges(sets, scratch), "edges")
     labels = components(edges, scratch, "near")
-    more = scratch.table(verified(tile_pairs(sets, labels, scratch), sets), "more")
-    if not more.isEmpty():
-        labels = components(edges.union(more), scratch, "all")
+    most, round_ = FIRST_PAIRS, 0
+    while True:
+        pairs = scratch.table(tile_pairs(sets, labels, scratch, most), f"pairs-{round_}")
+        more = scratch.table(verified(pairs.select("a", "b"), sets), f"more-{round_}")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges, scratch, f"all-{round_}")
+        apart = pairs.where("rest").join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        if apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).isEmpty():
+            break
+        most, round_ = most * 16, round_ + 1
     linked_owners = owners.join(labels, "node")
     lowest = linked_owners.groupBy("root").agg(F.min("doc_id").alias("least"))
     roots = scratch.table(linked_owners.select("node", "root").join(scratch.table(lowest, "lowest"), "root").select("node", "least"), "roots")
@@ -309,5 +332,5 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs without the rows of documents that link with one of smaller doc_id; of rows with one doc_id, one stays."""
     heads = jaccard_components(docs, scratch).where("doc_id = component_id").select("doc_id").distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = row.join(heads.select(F.col("doc_id").alias("_id")), "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.col("row.text").cast("string")).alias("row"))
+    kept = row.join(heads.select(F.col("doc_id").alias("_id")), "_id", "left_semi").groupBy("_id").agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
     return kept.select("row.*").union(docs.where(F.col("doc_id").isNull()))
