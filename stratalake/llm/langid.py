@@ -34,12 +34,15 @@ LETTER = regex.compile(r"\p{L}")
 def dictionaries(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE, seed: int = 7) -> dict[str, bytes]:
     """Raw-content dictionaries from (text, lang) rows; at most about docs * piece characters a language reach the driver.
 
-    A row is drawn if its hash falls below a bound set from its language's count, so no language meets in one task.
+    A row is drawn if its hash falls below a bound set from its language's count: no text is shuffled for it.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").count()
+    share = {r["lang"]: min(1.0, docs / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return {}
+    bound = F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 33) / F.lit(float(1 << 31))
-    drawn = rows.withColumn("u", u).join(counts.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang")).where(F.col("u") * F.col("count") < docs)
+    drawn = rows.withColumn("u", u).where(F.col("u") < bound)
     # From the middle of the text, where a title or a licence line is less likely.
     start = F.greatest(F.lit(1), F.floor((F.char_length("text") - piece) / 2)).cast("int")
     pieces = drawn.select("lang", "u", F.substr("text", start, F.lit(piece)).alias("piece")).dropDuplicates(["lang", "piece"])
