@@ -57,11 +57,11 @@ def interpolate(at: float, xs: Column, ys: Column) -> Column:
 def grainsize_percentiles(df: DataFrame, percentiles: Sequence[float], only_sand: bool = False) -> DataFrame:
     """Add d<p> (d<p>_sand): the grain size below which p percent of the sample lies, classes without a value being 0."""
     classes = [c for c in CLASSES if not only_sand or 63 < c[1] <= 2000]
-    sizes = [63.0, *[s for _, s in classes]] if only_sand else [s for _, s in classes]
+    sizes = [63.0 if only_sand else 0.0, *[s for _, s in classes]]
     parts = F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n, _ in classes])
     df = df.withColumn("_parts", parts)
     sums = F.transform("_parts", lambda v, i: F.aggregate(F.slice("_parts", 1, i + 1), F.lit(0.0), lambda a, b: a + b))
-    df = df.withColumn("_sums", F.concat(F.array(F.lit(0.0)), sums) if only_sand else sums)
+    df = df.withColumn("_sums", F.concat(F.array(F.lit(0.0)), sums))
     df = df.withColumn("_share", F.transform("_sums", lambda v: F.try_divide(v, F.element_at("_sums", -1)) * 100))
     knots = F.array(*map(F.lit, sizes))
     made = {f"d{p:g}{'_sand' if only_sand else ''}": F.when(F.element_at("_sums", -1) > 0, interpolate(float(p), F.col("_share"), knots)) for p in percentiles}

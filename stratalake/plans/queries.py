@@ -341,15 +341,14 @@ def _grain(spark, d):
 def _percentiles_sql(names: list[str], only_sand: bool) -> str:
     picked = [(n, s, i) for i, (n, s) in enumerate(geotech.CLASSES) if not only_sand or 63 < s <= 2000]
     values = ", ".join(f"cast((p_partkey * {i + 3} + p_size * {i + 1}) % 17 as double)" for _, _, i in picked)
-    sizes = ([63.0] if only_sand else []) + [s for _, s, _ in picked]
-    head = "list_prepend(0.0::double, s)" if only_sand else "s"
+    sizes = [63.0 if only_sand else 0.0] + [s for _, s, _ in picked]
     out = []
     for n in names:
         p = float(n[1:].split("_")[0])
         j = f"len(list_filter(xp, lambda v: v <= {p}))"
         out.append(f"round(case when tot > 0 then case when {j} = 0 then g[1] when {j} = len(xp) then g[len(xp)] else g[{j}] + (g[{j} + 1] - g[{j}]) / (xp[{j} + 1] - xp[{j}]) * ({p} - xp[{j}]) end end, 6) as {n}")
     return f"""with a as (select p_partkey, [{values}] as v from part), b as (select p_partkey, list_transform(range(1, len(v) + 1), lambda i: list_sum(v[1:i])) as s, list_sum(v) as tot from a),
-c as (select p_partkey, tot, list_transform({head}, lambda q: q / tot * 100) as xp, [{', '.join(f'{s!r}::double' for s in sizes)}] as g from b where tot > 0)
+c as (select p_partkey, tot, list_transform(list_prepend(0.0::double, s), lambda q: q / tot * 100) as xp, [{', '.join(f'{s!r}::double' for s in sizes)}] as g from b where tot > 0)
 select p_partkey, {', '.join(out)} from c"""
 
 
