@@ -93,5 +93,67 @@ from p left join g on p.payload_digest = g.payload_digest and p.payload_bytes >=
 """
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACES = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op5_jaccard_join"] = f"""
+with recursive w as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACES}') as ws from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+u as (select a, b from e union all select b, a from e),
+r as (select doc_id as node, doc_id as low from n union select u.b, r.low from r join u on u.a = r.node where r.low < u.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.low, d.doc_id) as component_id
+from documents d left join n using (doc_id) left join (select node, min(low) as low from r group by 1) m on m.node = d.doc_id
+"""
+
+#: (feature, value, guard, fence below too) of the thresholds, as in quality.FEATURES.
+_F = (("word_length", "word_chars * 100 // n_words", 100), ("symbols", "n_symbols * 1000 // n_words", 50), ("dup_lines", "n_dup_lines * 1000 // n_lines", 150), ("repeats", "n_repeat_words * 1000 // n_words", 150))
+
+ORACLE["op8_quality_rules"] = f"""
+with d as (select row_number() over () as id, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{SPACES}') as ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{SPACES}')) as ls from d),
+g as (select id, i, array_to_string(ws[i:i + 2], ' ') as gram from (select id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+k as (select id, i from (select *, count(*) over (partition by id, gram) as c from g) where c > 1),
+h as (select id, count(distinct i + o) as n from k, (values (0), (1), (2)) v(o) group by id),
+c as (select w.id, doc_id, lang, source, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+      len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(h.n, 0) as n_repeat_words from w left join h using (id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+f as (select id, lang, source, unnest([{', '.join(f"struct_pack(feature := '{k}', v := {v})" for k, v, _ in _F)}], recursive := true) from b where not base_failed),
+q as (select lang, source, feature, case when v < 64 then v else (length(bin(v)) - 7) * 32 + (v >> (length(bin(v)) - 6)) + 32 end as bucket from f),
+l as (select 'group' as level, lang, source, feature, bucket, count(*) as n from q group by all
+      union all select 'lang', lang, null, feature, bucket, count(*) from q group by all union all select 'all', null, null, feature, bucket, count(*) from q group by all),
+o as (select *, sum(n) over (partition by level, lang, source, feature) as total, sum(n) over (partition by level, lang, source, feature order by bucket) as upto,
+      case when bucket < 64 then bucket else ((bucket - ((bucket - 32) // 32) * 32 + 1) << ((bucket - 32) // 32)) - 1 end as top from l),
+a as (select level, lang, source, feature, max(total) as total, min(case when upto * 4 >= total then top end) as q1, min(case when upto * 4 >= total * 3 then top end) as q3 from o group by all),
+x as (select z.lang, z.source, e.feature, case when g.total >= 200 then g.q1 when m.total >= 200 then m.q1 else e.q1 end as q1, case when g.total >= 200 then g.q3 when m.total >= 200 then m.q3 else e.q3 end as q3
+      from (select distinct lang, source from q) z join a e on e.level = 'all'
+      left join a m on m.level = 'lang' and m.lang is not distinct from z.lang and m.feature = e.feature
+      left join a g on g.level = 'group' and g.lang is not distinct from z.lang and g.source is not distinct from z.source and g.feature = e.feature),
+y as (select lang, source, {', '.join(f"max(case when feature = '{k}' then q3 + 3 * (q3 - q1) + {guard} end) as {k}_high" for k, _, guard in _F)},
+      max(case when feature = 'word_length' then q1 - 3 * (q3 - q1) - 100 end) as word_length_low from x group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(not base_failed and {' and '.join(f"{v.replace('n_words', 'nullif(n_words, 0)').replace('// n_lines', '// nullif(n_lines, 0)')} <= {k}_high" for k, v, _ in _F)} and word_chars * 100 // nullif(n_words, 0) >= word_length_low, false) as kept
+from b left join y on y.lang is not distinct from b.lang and y.source is not distinct from b.source
+"""
+
+LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op9_decontamination"] = f"""
+with i as (select coalesce(cast(item_id as varchar), 'null') as item, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{LETTERS}') as ws from benchmark),
+v as (select distinct item, least(len(ws), 10) as n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') as win from (select item, ws, unnest(range(1, greatest(2, len(ws) - 8))) as k from i where len(ws) > 0)),
+d as (select row_number() over () as id, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{LETTERS}') as ws from documents),
+m as (select distinct n from v),
+g as (select id, k, n, array_to_string(ws[k:k + n - 1], ' ') as win from (select id, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d, m where len(ws) >= n)),
+f as (select g.id, g.k, v.n, v.item from g join v on v.win = g.win and v.n = g.n),
+h as (select id, count(distinct p) as n from (select id, unnest(range(k, k + n)) as p from (select distinct id, k, n from f)) group by id),
+t as (select id, count(*) as n, string_agg(item, ',' order by item) as names from (select distinct id, item from f) group by id)
+select doc_id, len(ws) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items, sha256(coalesce(t.names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from d left join h using (id) left join t using (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
