@@ -4,17 +4,18 @@
 interpolated with the class frequencies, emissions use absolute discounting.
 
 *Store.* One pass writes each task's texts in blocks of about BLOCK_BYTES as files of word numbers in a numbering of
-the block's own, and a table (block, number, word, count): a row for each word of a block, not for each token. Words
-get their corpus counts and classes by joins of that table, and the later passes read the block files.
+the block's own, and a table (block, number, word, count): a row for each word of a block, not for each token. One
+join gives each block the corpus ids and counts of its words; the later passes read the files of the blocks.
 
-*Clustering.* The predictive exchange objective (Uszkoreit and Brants 2008) sums ``n(v, c) log n(v, c) - n(c) log
-n(c)`` over context words v and classes c. Contexts are the CONTEXTS most frequent words, on either side; every word
-of the corpus that meets one has a profile and is clustered. Each sweep moves half of the words (by hash), each to the
-class that raises the objective most, to first order, with the counts of the sweep's start and without the word's own
-share in its class. The state is a table of contexts by classes, of set size, and all that the driver holds.
+*Clustering.* The exchange objective sums ``n(v, c) log n(v, c) - n(c) log n(c)`` over classes v and c on either side.
+Every training word is clustered, from all its bigrams: its profile counts the classes before and after it, so it has
+at most 2 * WIDTH cells. The CLASSES most frequent words start as a class each and all others in none (LONE); each
+sweep moves half of the words (by hash), each to the class that raises the objective most, to first order, with the
+counts of the sweep's start and without the word's own share in its class. Profiles are summed in each block, then
+by word; the moved words go back to their blocks. The state is a table of classes by classes, all that the driver holds.
 
-Words that meet no context form a class of their own, as do unknown words' mass (the discounted count of that class)
-and the end of a text. Words: white-space runs with A-Z in lower case; each text ends with one end token.
+Words of held-out texts alone stay in LONE; the end of a text is a class of its own. Words: white-space runs with A-Z
+in lower case; each text ends with one end token.
 
 Defined cases: null and empty texts are one end token; repeated rows count each time; a null doc_id counts as an empty
 text in crc32; with no training rows every score is that of the uniform unknown word; an empty table gives no rows;
@@ -23,6 +24,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,12 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, crc_mod, open_fs, utf8
 
-CLASSES, CONTEXTS, SWEEPS = 48, 96, 6
+CLASSES, SWEEPS = 48, 6
 BLOCK_BYTES = 6 << 20
-LONE, END_CLASS = CLASSES, CLASSES + 1  # words without a profile, and the end of a text
+LONE, END_CLASS = CLASSES, CLASSES + 1  # words without training tokens or a class yet, and the end of a text
+WIDTH = END_CLASS + 1
 END_WORD = b"\n"  # no word holds white space
 BACKOFF = 0.02  # share of the class frequency in a transition
 DELTA = 0.1  # of the base model
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(uri: str, words: list[bytes], arrays: list[np.ndarray]) -> None:
@@ -65,13 +69,31 @@ def load(uri: str, with_words: bool = True) -> tuple[list[bytes], np.ndarray, np
     return words.split(b" "), flat, lengths, held != 0, [int(i) if k else None for i, k in zip(ids, known)]
 
 
+def put(uri: str, *arrays: np.ndarray) -> None:
+    """A file of arrays of their own types, compressed."""
+    fs, path = open_fs(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    raw = io.BytesIO()
+    for a in arrays:
+        np.save(raw, a)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(zstandard.ZstdCompressor(level=1).compress(raw.getvalue()))
+
+
+def take(uri: str, n: int) -> list[np.ndarray]:
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as f:
+        raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(f.read()))
+    return [np.load(raw) for _ in range(n)]
+
+
 def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Blocks of (doc_id, text, held_out) rows; returns (block, num, word, n): n counts training tokens only.
 
     A block's file holds its words, token numbers, text lengths, held-out flags and the halves of the doc_ids.
     """
     folder = scratch.path("blocks")
-    schema = pa.schema([("block", pa.string()), ("num", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("num", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
     def store(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[bytes, int] = {END_WORD: 0}
@@ -79,14 +101,14 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal numbers, tokens, lengths, held, ids, raw
-            uri = f"{folder}/{uuid.uuid4().hex}"
+            block = uuid.uuid4().int >> 65
             flat = np.concatenate(tokens)
             train = np.repeat(~np.array(held, bool), lengths)
             n = np.bincount(flat[train], minlength=len(numbers))
             known = np.array([i is not None for i in ids])
             wide = np.array([i or 0 for i in ids], np.int64)
-            save(uri, list(numbers), [flat, np.array(lengths), np.array(held), known, wide >> 32, (wide & 0xFFFFFFFF).astype(np.uint32).view(np.int32)])
-            made = pa.RecordBatch.from_arrays([pa.array([uri] * len(numbers)), pa.array(np.arange(len(numbers)), pa.int32()), pa.array(list(numbers), pa.binary()), pa.array(n, pa.int64())], schema=schema)
+            save(f"{folder}/{block}", list(numbers), [flat, np.array(lengths), np.array(held), known, wide >> 32, (wide & 0xFFFFFFFF).astype(np.uint32).view(np.int32)])
+            made = pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), block)), pa.array(np.arange(len(numbers)), pa.int32()), pa.array(list(numbers), pa.binary()), pa.array(n, pa.int64())], schema=schema)
             numbers, tokens, lengths, held, ids, raw = {END_WORD: 0}, [], [], [], [], 0
             return made
 
@@ -109,185 +131,205 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), (crc_mod("doc_id", 10) == 0).alias("held_out"))
-    return scratch.table(rows.mapInArrow(store, "block string, num int, word binary, n long"), "store")
+    return scratch.table(rows.mapInArrow(store, "block long, num int, word binary, n long"), "store")
 
 
-def profiles(store: DataFrame, contexts: list[bytes]) -> DataFrame:
-    """(word, slots, counts): a word's training counts after (slot v) and before (slot CONTEXTS + v) context word v.
+def bigrams(flat: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token classes and the classes before them."""
+    here = classes[flat].astype(np.int64)
+    return here, np.concatenate(([END_CLASS], here[:-1]))
 
-    A row a word and block is shuffled; the rows of a word, one a block at most, are summed in order of the word.
-    """
-    place = {w: i for i, w in enumerate(contexts)}
-    schema = pa.schema([("word", pa.binary()), ("slots", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
-    def lists(words: list[bytes], offsets: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        offsets = pa.array(offsets, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))], schema=schema)
+def recode(changes: DataFrame, folder: str, blocks: int, step: int) -> np.ndarray:
+    """Write the blocks' classes of a step; the training counts of class after class under them.
 
-    def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uri in (x for b in it for x in b.column(0).to_pylist()):
-            words, flat, lengths, held, _ = load(uri)
-            context = np.array([place.get(w, -1) for w in words])
-            train = np.repeat(~held, lengths)
-            codes = []
-            for word, other, base in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], CONTEXTS)):
-                c = context[other]
-                ok = train[1:] & train[:-1] & (c >= 0) & (word > 0)
-                codes.append(word[ok].astype(np.int64) * (2 * CONTEXTS) + base + c[ok])
-            keys, n = np.unique(np.concatenate(codes), return_counts=True)
-            nums, first = np.unique(keys // (2 * CONTEXTS), return_index=True)
-            ends = np.append(first, len(keys))
-            for i in range(0, len(nums), 20_000):
-                part = ends[i : i + 20_001]
-                yield lists([words[k] for k in nums[i : i + 20_000]], part - part[0], (keys % (2 * CONTEXTS))[part[0] : part[-1]], n[part[0] : part[-1]])
+    Step 0 takes (block, num, wid, n, home, turn, class) of all words, later ones (block, num, class) of the moved
+    words, and a row of number -1 for each block.
+    """
+    first = step == 0
 
-    def merge(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, {}
-        words, offsets, slots, counts = [], [0], [], []
+    def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(WIDTH * WIDTH, np.int64)
+        last, parts = None, []
 
         def close() -> None:
-            words.append(last)
-            slots.extend(total)
-            counts.extend(total.values())
-            offsets.append(len(slots))
+            nonlocal table
+            nums, *cols = (np.concatenate(c) for c in zip(*parts))
+            if first:
+                order = np.argsort(nums)
+                wid, n, home, turn, classes = (c[order] for c in cols)
+                put(f"{folder}/numbers/{last}", wid, n, home.astype(bool), turn.astype(np.int8))
+            else:
+                (classes,) = take(f"{folder}/classes{step - 1}/{last}", 1)
+                classes[nums[nums >= 0]] = cols[0][nums >= 0]
+            put(f"{folder}/classes{step}/{last}", classes.astype(np.int8))
+            _, flat, lengths, held, _ = load(f"{folder}/blocks/{last}", with_words=False)
+            here, before = bigrams(flat, classes)
+            train = np.repeat(~held, lengths)
+            table += np.bincount(before[train] * WIDTH + here[train], minlength=WIDTH * WIDTH)
 
         for batch in it:
-            for word, s, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if word != last:
-                    if last is not None:
+            if not batch.num_rows:
+                continue
+            block, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(edges, edges[1:]):
+                if block[i] != last:
+                    if parts:
                         close()
-                    last, total = word, {}
-                for k, n in zip(s, c):
-                    total[k] = total.get(k, 0) + n
-            if len(words) >= 20_000:
-                yield lists(words, offsets, slots, counts)
-                words, offsets, slots, counts = [], [0], [], []
-        if last is not None:
+                    last, parts = int(block[i]), []
+                parts.append([c[i:j] for c in cols])
+        if parts:
             close()
-        if words:
-            yield lists(words, offsets, slots, counts)
-
-    kind = "word binary, slots array<int>, counts array<long>"
-    blocks = store.where("num = 0").select("block")
-    found = blocks.repartition(max(1, blocks.count()), "block").mapInArrow(count, kind)
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(merge, kind)
-
-
-def place_words(batch: pa.RecordBatch, states: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, word row, slot, count) of a batch after the sweeps of these states (slots by classes)."""
-    slots, counts = batch.column("slots"), batch.column("counts")
-    sizes = np.diff(slots.offsets.to_numpy())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    slot, n = slots.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    starts = np.cumsum(sizes) - sizes
-    turn = batch.column("turn").to_numpy(zero_copy_only=False)
-    # First classes: a word goes with the context it meets most, for its share among the word's counts.
-    order = np.lexsort((slot, -n, row))
-    now = (slot[order[starts]] % CLASSES).astype(np.int64)
-    side = slot >= CONTEXTS
-    m = np.stack([np.bincount(row, n * ~side, len(sizes)), np.bincount(row, n * side, len(sizes))]).astype(np.float32)
-    for step, state in enumerate(states):
-        state = state.astype(np.float32)
-        both = np.stack([state[:CONTEXTS].sum(0), state[CONTEXTS:].sum(0)])
-        logs, sums = np.log(state + 0.5), np.log(both + 0.5 * CONTEXTS)
-        gain = np.add.reduceat(logs[slot] * n[:, None], starts, axis=0) - m.T @ sums
-        own = now[row]
-        mine = np.bincount(row, n * np.log(np.maximum(state[slot, own] - n, 0) + 0.5), len(sizes))
-        mine -= (m * np.log(np.maximum(both[:, now] - m, 0) + 0.5 * CONTEXTS)).sum(0)
-        gain[np.arange(len(sizes)), now] = mine
-        now = np.where(turn == step % 2, gain.argmax(1), now)
-    return now, row, slot, n
-
-
-def cluster(profile: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """(word, class) of the profiled words by exchange clustering. profile is a written table."""
-    rows = profile.withColumn("turn", F.expr("cast(pmod(xxhash64(word), 2) as int)"))
-    context = rows.sparkSession.sparkContext
-    states: list[np.ndarray] = []
-    for _ in range(sweeps):
-        seen = context.broadcast(states)
-
-        def total(it: Iterable[pa.RecordBatch], seen=seen) -> Iterator[pa.RecordBatch]:
-            table = np.zeros((2 * CONTEXTS, CLASSES))
-            for batch in it:
-                if batch.num_rows:
-                    now, row, slot, n = place_words(batch, seen.value)
-                    np.add.at(table, (slot, now[row]), n)
-            cells = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(table.ravel()[cells].astype(np.int64))], names=["cell", "n"])
-
-        state = np.zeros(2 * CONTEXTS * CLASSES)
-        for cell, n in rows.select("slots", "counts", "turn").mapInArrow(total, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-            state[cell] = n
-        states = [*states, state.reshape(2 * CONTEXTS, CLASSES)]
-    done = context.broadcast(states)
-
-    def assign(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(place_words(batch, done.value)[0], pa.int32())], names=["word", "class"])
-
-    return rows.mapInArrow(assign, "word binary, class int")
-
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(table[cells])], names=["cell", "n"])
 
-def coded_blocks(store: DataFrame, words: DataFrame) -> DataFrame:
-    """(block, nums, classes, counts): class and corpus count of each of a block's words."""
-    joined = store.select("block", "num", "word").join(words, "word")
-    return joined.groupBy("block").agg(F.collect_list("num").alias("nums"), F.collect_list("class").alias("classes"), F.collect_list("n").alias("counts"))
+    table = np.zeros(WIDTH * WIDTH)
+    rows = changes.repartition(blocks, "block").sortWithinPartitions("block")
+    for cell, n in rows.mapInArrow(write, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        table[cell] = n
+    return table.reshape(WIDTH, WIDTH)
 
 
-def blocks_of(it: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(token classes, token counts, classes before, lengths, held out, doc_ids) of coded blocks."""
-    for batch in it:
-        for i in range(batch.num_rows):
-            nums, classes, counts = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            _, flat, lengths, held, ids = load(batch.column(0)[i].as_py(), with_words=False)
-            code, n = np.empty(len(nums), np.int64), np.empty(len(nums), np.int64)
-            code[nums], n[nums] = classes, counts
-            here = code[flat]
-            yield here, n[flat], np.concatenate(([END_CLASS], here[:-1])), lengths, held, ids
+def profiles(blocks: DataFrame, folder: str, step: int) -> DataFrame:
+    """(wid, block, num, class, slots, counts) of the words that may move in a step, a row a word and block.
 
+    Bytes and uint32 numbers: the word's training counts after (slot v) and before (slot WIDTH + v) class v.
+    """
 
-def transitions(coded: DataFrame) -> np.ndarray:
-    """Training counts of class after class."""
-    width = END_CLASS + 1
+    def binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+        offsets = ((ends - ends[0]) * data.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[ends[0] : ends[-1]].tobytes())])
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(width * width, np.int64)
-        for here, _, before, lengths, held, _ in blocks_of(it):
-            train = np.repeat(~held, lengths)
-            table += np.bincount(before[train] * width + here[train], minlength=width * width)
-        cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(table[cells])], names=["cell", "n"])
+        for block in (x for b in it for x in b.column(0).to_pylist()):
+            wid, _, _, turn = take(f"{folder}/numbers/{block}", 4)
+            (classes,) = take(f"{folder}/classes{step}/{block}", 1)
+            _, flat, lengths, held, _ = load(f"{folder}/blocks/{block}", with_words=False)
+            here, before = bigrams(flat, classes)
+            ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] == step % 2))
+            base = flat[ok].astype(np.int64) * (2 * WIDTH)
+            keys, n = np.unique(np.concatenate([base + before[ok], base + WIDTH + here[ok + 1]]), return_counts=True)
+            nums, starts = np.unique(keys // (2 * WIDTH), return_index=True)
+            ends, slots, n = np.append(starts, len(keys)), (keys % (2 * WIDTH)).astype(np.uint8), n.astype(np.uint32)
+            for i in range(0, len(nums), 20_000):
+                part, cut = nums[i : i + 20_000], ends[i : i + 20_001]
+                yield pa.RecordBatch.from_arrays([pa.array(wid[part]), pa.array(np.full(len(part), block)), pa.array(part.astype(np.int32)), pa.array(classes[part].astype(np.int32)), binary(cut, slots), binary(cut, n)], names=["wid", "block", "num", "class", "slots", "counts"])
+
+    return blocks.mapInArrow(count, "wid long, block long, num int, class int, slots binary, counts binary")
+
+
+def place_words(profile: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The classes that raise the objective most, of words by their profiles (words by slots) and classes."""
+    state = np.concatenate([table[:, :CLASSES], table[:CLASSES].T])
+    both = np.stack([state[:WIDTH].sum(0), state[WIDTH:].sum(0)])
+    m = np.stack([profile[:, :WIDTH].sum(1), profile[:, WIDTH:].sum(1)], 1)
+    gain = profile @ np.log(state + 0.5) - m @ np.log(both + 0.5 * WIDTH)
+    at = np.flatnonzero(own < CLASSES)
+    p, now = profile[at], own[at]
+    mine = (p * np.log(np.maximum(state[:, now].T - p, 0) + 0.5)).sum(1)
+    gain[at, now] = mine - (m[at] * np.log(np.maximum(both[:, now].T - m[at], 0) + 0.5 * WIDTH)).sum(1)
+    return gain.argmax(1)
+
+
+def moves(profile: DataFrame, table: np.ndarray) -> DataFrame:
+    """(block, num, class) of the words that change their class, for each block that has them."""
+
+    def cells(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        size = np.dtype(kind).itemsize
+        return np.diff(ends) // size, np.frombuffer(data.slice(int(ends[0]), int(ends[-1] - ends[0])), kind)
+
+    def move(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wid, block, num, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        new = np.concatenate(([True], wid[1:] != wid[:-1]))
+        word = np.cumsum(new) - 1
+        sizes, slots = cells(batch.column(4), np.uint8)
+        _, counts = cells(batch.column(5), np.uint32)
+        profile = np.bincount(np.repeat(word, sizes) * (2 * WIDTH) + slots, counts, (word[-1] + 1) * 2 * WIDTH).reshape(-1, 2 * WIDTH)
+        to = place_words(profile, own[new], table)[word]
+        far = np.flatnonzero(to != own)
+        return pa.RecordBatch.from_arrays([pa.array(block[far]), pa.array(num[far]), pa.array(to[far], pa.int32())], names=["block", "num", "class"])
 
-    table = np.zeros(width * width)
-    for cell, n in coded.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        table[cell] = n
-    return table.reshape(width, width)
+    def merge(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of the last word, which may go on
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            wid = batch.column(0).to_numpy(zero_copy_only=False)
+            if kept and kept[0].column(0)[0].as_py() == wid[-1]:
+                kept.append(batch)
+                continue
+            cut = int(np.searchsorted(wid, wid[-1]))
+            yield move(pa.concat_batches([*kept, batch.slice(0, cut)])) if kept or cut else batch.select(["block", "num", "class"]).slice(0, 0)
+            kept = [batch.slice(cut)]
+        if kept:
+            yield move(pa.concat_batches(kept))
+
+    return profile.repartition("wid").sortWithinPartitions("wid").mapInArrow(merge, "block long, num int, class int")
+
+
+def blocks_of(it: Iterable[pa.RecordBatch], folder: str, step: int) -> Iterator[tuple]:
+    """(token classes, token counts, classes before, lengths, held out, doc_ids) of blocks."""
+    for block in (x for b in it for x in b.column(0).to_pylist()):
+        _, n, *_ = take(f"{folder}/numbers/{block}", 4)
+        (classes,) = take(f"{folder}/classes{step}/{block}", 1)
+        _, flat, lengths, held, ids = load(f"{folder}/blocks/{block}", with_words=False)
+        here, before = bigrams(flat, classes)
+        yield here, n[flat], before, lengths, held, ids
+
+
+def class_words(blocks: DataFrame, folder: str, step: int) -> DataFrame:
+    """(word, n, class) of all words, each from the block that is its home."""
+
+    def emit(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (x for b in it for x in b.column(0).to_pylist()):
+            _, n, home, _ = take(f"{folder}/numbers/{block}", 4)
+            (classes,) = take(f"{folder}/classes{step}/{block}", 1)
+            words = load(f"{folder}/blocks/{block}")[0]
+            at = np.flatnonzero(home)
+            for i in range(0, len(at), 20_000):
+                part = at[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in part], pa.binary()), pa.array(n[part]), pa.array(classes[part].astype(np.int32))], names=["word", "n", "class"])
+
+    return blocks.mapInArrow(emit, "word binary, n long, class int")
 
 
 def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tuple[DataFrame, dict]:
-    """Coded blocks and the model: N, V, transition and unknown-word log10 probabilities, class sums, discount."""
-    spark = docs.sparkSession
+    """Blocks and the model: N, V, transition and unknown-word log10 probabilities, class sums, discount."""
+    spark, folder = docs.sparkSession, scratch.uri
     store = write_store(docs, scratch)
-    counts = scratch.table(store.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = store.groupBy("word").agg(F.sum("n").alias("n"), F.min("block").alias("home")).withColumn("wid", F.monotonically_increasing_id())
+    counts = scratch.table(counts, "counts")
+    is_end = F.col("word") == F.lit(END_WORD)
+    frequent = counts.where((F.col("n") > 0) & ~is_end).orderBy(F.desc("n"), "word").limit(CLASSES).collect()
+    first = F.when(is_end, END_CLASS)
+    for i, r in enumerate(frequent):
+        first = first.when(F.col("word") == F.lit(bytes(r.word)), i)
+    counts = counts.select("word", "wid", "n", "home", F.expr("cast(pmod(xxhash64(word), 2) as int)").alias("turn"), first.otherwise(LONE).alias("class"))
+    blocks = scratch.table(store.where("num = 0").select("block"), "block_list")
+    size = max(1, blocks.count())
+    blocks = blocks.repartition(size, "block")
     bound_batches(spark, 20_000)
-    frequent = counts.where((F.col("n") > 0) & (F.col("word") != F.lit(END_WORD))).orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()
-    profile = scratch.table(profiles(store, [bytes(r.word) for r in frequent]), "profile")
-    classes = scratch.table(cluster(profile, sweeps), "classes")
-    named = F.when(F.col("word") == F.lit(END_WORD), END_CLASS).otherwise(F.coalesce("class", F.lit(LONE)))
-    words = scratch.table(counts.join(classes, "word", "left").select("word", "n", named.alias("class")), "words")
+    numbers = store.select("block", "num", "word").join(counts, "word").select("block", "num", "wid", "n", (F.col("home") == F.col("block")).cast("int").alias("home"), "turn", "class")
+    # The shuffle files of a sweep go when it ends, not when the driver next collects garbage.
+    kept = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    table = recode(numbers, folder, size, 0)
+    marks = blocks.select("block", F.lit(-1).alias("num"), F.lit(-1).alias("class"))
+    for step in range(sweeps):
+        table = recode(moves(profiles(blocks, folder, step), table).unionByName(marks), folder, size, step + 1)
+        scratch.drop(f"classes{step}")
+    spark.conf.set(CLEANUP, kept)
+    scratch.drop("store", "counts")
+    words = scratch.table(class_words(blocks, folder, sweeps), "words")
     sums = words.groupBy("class").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
-    width = END_CLASS + 1
-    total, types = np.zeros(width), np.zeros(width)
+    total, types = np.zeros(WIDTH), np.zeros(WIDTH)
     for r in sums:
         total[r["class"]], types[r["class"]] = r.n, r.v
     once, twice = sum(r.n1 for r in sums), sum(r.n2 for r in sums)
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-    coded = scratch.table(coded_blocks(store, words), "coded")
-    scratch.drop("store", "profile")
-    bound_batches(spark, 1)
-    table = transitions(coded)
     N = total.sum()
     prior = total / max(N, 1)
     rows = table.sum(1, keepdims=True)
@@ -295,20 +337,21 @@ def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tupl
     lost = np.where(total > 0, discount * types / np.maximum(total, 1), 0)
     lost[END_CLASS] = 0
     with np.errstate(divide="ignore"):
-        model = {"N": int(N), "V": int(types.sum()), "step": np.log10(step), "unknown": np.log10(step @ lost) if N else np.zeros(width), "total": total, "discount": discount}
-    return coded, model
+        model = {"N": int(N), "V": int(types.sum()), "step": np.log10(step), "unknown": np.log10(step @ lost) if N else np.zeros(WIDTH), "total": total, "discount": discount}
+    return blocks, model
 
 
 def score_texts(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    coded, model = class_model(docs, scratch, sweeps)
+    blocks, model = class_model(docs, scratch, sweeps)
+    folder = scratch.uri
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         N, V, d, total = m["N"], m["V"], m["discount"], m["total"]
-        for here, n, before, lengths, held, ids in blocks_of(it):
+        for here, n, before, lengths, held, ids in blocks_of(it, folder, sweeps):
             base = np.log10((n + DELTA) / (N + DELTA * (V + 1)))
             off = np.where(here == END_CLASS, 0, d)
             with np.errstate(divide="ignore"):
@@ -319,6 +362,6 @@ def score_texts(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(ids), N)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
 
     bound_batches(docs.sparkSession, 1)
-    out = scratch.table(coded.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-    scratch.drop("blocks", "coded", "words", "counts", "classes")
+    out = scratch.table(blocks.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    scratch.drop("blocks", "block_list", "numbers", "words", f"classes{sweeps}")
     return out

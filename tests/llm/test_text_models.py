@@ -55,6 +55,18 @@ def test_brown_probabilities_sum_to_one(spark):
     assert len({w["class"] for w in words}) > 3
 
 
+def test_brown_clusters_words_that_meet_no_frequent_word(spark):
+    # 150 frequent words, and words of a small language that never stand beside one of them.
+    rows = [(i, " ".join(f"big{(i * 7 + j) % 150}" for j in range(150)), "en", "s") for i in range(40)]
+    rows += [(100 + i, " ".join(f"{'ab'[j % 2]}{(i * 3 + j) % 14}" for j in range(10)), "xx", "s") for i in range(20)]
+    scratch = Scratch(spark, "t")
+    brown.class_model(docs(spark, rows), scratch, sweeps=4)
+    words = {bytes(w.word).decode(): (w.n, w["class"]) for w in spark.read.parquet(scratch.path("words")).collect()}
+    train = Counter(w for d, t, *_ in rows if not held(d, 10) for w in t.split())
+    assert {w: n for w, (n, _) in words.items() if n and w != "\n"} == train
+    assert all(c < brown.CLASSES for w, (n, c) in words.items() if n and w != "\n")
+
+
 def test_brown_without_rows_or_training(spark):
     assert brown.score_texts(docs(spark, []), Scratch(spark, "t")).count() == 0
     only = [i for i in range(200) if held(i, 10)][:3]
