@@ -5,8 +5,9 @@ with every dictionary; the sum over all its chunks is the text's size in that la
 each chunk is short enough for the dictionary to matter. The smallest size wins; where the runner-up is within
 ``margin`` of it, the operator marks the answer as rejected.
 
-The dictionaries are fitted on a bounded sample, as a documented parameter: about DOCS documents of each language,
-those of least hash, a piece of PIECE characters from each. All rows are encoded and counted.
+The dictionaries are fitted on a bounded sample, as a documented parameter: about DOCS distinct pieces of each
+language, those of least hash, of PIECE characters from the middle of a text. Copies count once, empty
+texts never. All rows are encoded and counted.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if no language was
 learnt; equal sizes go to the language first by code point; repeated rows are judged each; lang, source and doc_id
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -31,21 +33,43 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
+def least(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, bound): the n-th least distinct hash u of each language, or its last if there are fewer.
+
+    Each task keeps the n least of its own, so n numbers a language and task are shuffled.
+    """
+
+    def keep(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in it:
+            lang, u = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            own: dict[str, list[int]] = {}
+            for i, k in enumerate(lang):
+                own.setdefault(k, []).append(i)
+            for k, at in own.items():
+                found[k] = np.unique(np.concatenate([found.get(k, u[:0]), u[at]]))[:n]
+        for k, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.string()), pa.array(v, pa.int64())], names=["lang", "u"])
+
+    kept = rows.select("lang", "u").mapInArrow(keep, "lang string, u long").distinct()
+    ranked = kept.groupBy("lang").agg(F.sort_array(F.collect_list("u")).alias("u"))
+    return ranked.select("lang", F.get("u", F.least(F.lit(n), F.size("u")) - 1).alias("bound"))
+
+
 def dictionaries(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE, seed: int = 7) -> dict[str, bytes]:
-    """Raw-content dictionaries from (text, lang) rows; at most about docs * piece characters a language reach the driver.
+    """Raw-content dictionaries from (text, lang) rows; at most docs * piece characters a language reach the driver.
 
-    A row is drawn if its hash falls below a bound set from its language's count: no text is shuffled for it.
+    The distinct hashes of a language's pieces are ranked, not its rows; only the pieces of the least are collected.
     """
-    rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = {r["lang"]: min(1.0, docs / r["count"]) for r in rows.groupBy("lang").count().collect()}
-    if not share:
-        return {}
-    bound = F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 33) / F.lit(float(1 << 31))
-    drawn = rows.withColumn("u", u).where(F.col("u") < bound)
     # From the middle of the text, where a title or a licence line is less likely.
     start = F.greatest(F.lit(1), F.floor((F.char_length("text") - piece) / 2)).cast("int")
-    pieces = drawn.select("lang", "u", F.substr("text", start, F.lit(piece)).alias("piece")).dropDuplicates(["lang", "piece"])
+    rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("lang", F.substr("text", start, F.lit(piece)).alias("piece")).where("piece != ''").withColumn("u", F.xxhash64(F.lit(seed), "piece"))
+    bound = {r["lang"]: r["bound"] for r in least(rows, docs).collect()}
+    if not bound:
+        return {}
+    top = F.element_at(F.create_map(*[F.lit(v) for kv in bound.items() for v in kv]), F.col("lang"))
+    pieces = rows.where(F.col("u") <= top).dropDuplicates(["lang", "piece"])
     out: dict[str, list[str]] = {}
     for r in sorted(pieces.collect(), key=lambda r: (r.lang, -r.u, r.piece)):
         out.setdefault(r.lang, []).append(r.piece)

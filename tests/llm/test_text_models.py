@@ -161,6 +161,14 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.language_id(docs(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 
 
+def test_language_dictionaries_hold_distinct_pieces_despite_copies(spark):
+    rows = [("copied text number", "xx")] * 20_000 + [(f"text {i} of few", "xx") for i in range(40)] + [("", "xx")] * 500
+    rows += [(f"eine Zeile {i}", "de") for i in range(1000)]
+    got = langid.dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(got["xx"].decode().split("\n")) == sorted({t for t, k in rows if k == "xx" and t})
+    assert len(set(got["de"].decode().split("\n"))) == langid.DOCS
+
+
 def test_secret_forest_on_held_out_findings(spark):
     f = secrets.Features(["report", "water", "value", "system", "password"])
     findings = secrets.generated_findings(3000)
