@@ -1,6 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest trained from labelled findings.
 
-A candidate is a long run of key characters with digits or mixed case, or what follows ``password=`` and the like. Its
+A candidate is a long run of key characters with digits or mixed case, a private key as far as its END line, or what
+follows ``password=`` and the like: names with affixes, in quotes or not, a value in quotes to the closing quote on its
+line, any other to white space, a quote or one of ``,;|``. None has an upper length. Its
 features are its length, character classes and the transitions between them, how surprising its letter pairs are
 against the dictionary's, how much of it dictionary words cover, the path it stands in and the document's own, and
 the words beside it. Spark's random forest learns from a table of labelled findings; :func:`generated_findings` makes
@@ -11,7 +13,7 @@ The dictionary is the DICTIONARY most frequent words of letters, counted over al
 documented parameter, which bounds what is broadcast.
 
 Defined cases: null and empty texts have no candidates; a null path is an empty one; repeated rows give repeated
-findings; several candidates in a text are rows of their own, overlapping ones the first and longest; an empty table
+findings; several candidates in a text are rows of their own, those in a private key or an assignment are part of it; an empty table
 gives no rows; other columns are not read. Findings carry a SHA-256 of the candidate and not the candidate.
 """
 
@@ -36,11 +38,14 @@ from .common import bound_batches, utf8
 DICTIONARY = 20_000
 FLUSH = 500_000
 TREES, DEPTH, THRESHOLD, SEED = 40, 8, 0.5, 11
-CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|(?:(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)(?P<value>[^\s\"',;|]{8,200})"
-    r"|(?P<run>[A-Za-z0-9+/_\-]{16,500}={0,2})"
+#: A private key, or a name with a key word in it and the value assigned to it, if there is one.
+NAMED = re.compile(
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?"
+    r"|(?P<name>(?i:password|passwd|pwd|secret|token|api[_\-]?key)[A-Za-z0-9_\-]*+)"
+    r"(?:[\"']?\s*+[=:]\s*+(?:\"(?P<double>(?:[^\"\\\n]|\\.)++)\"|'(?P<single>(?:[^'\\\n]|\\.)++)'|[\"']?(?P<value>[^\s\"',;|]+)))?"
 )
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+NAME_CHARACTERS = frozenset(string.ascii_letters + string.digits + "_-")
 #: Fixed word lists of the features.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "auth", "bearer", "credential", "private", "access")
 HARMLESS = ("example", "sample", "dummy", "test", "placeholder", "sha", "sha1", "sha256", "md5", "commit", "checksum", "hash", "uuid", "digest", "integrity", "revision", "version", "file", "image", "page", "issue")
@@ -108,15 +113,28 @@ class Features:
         ]
 
 
+def runs(text: str, begin: int, end: int) -> Iterator[tuple[int, int, str]]:
+    for m in RUN.finditer(text, begin, end):
+        s = m.group()
+        if any(c.isdigit() for c in s) or s != s.lower() and s != s.upper() and s[1:] != s[1:].lower():
+            yield *m.span(), "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "key id" if re.fullmatch("[A-Z0-9]+", s) else "run"
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(from, to, kind) of the candidates of a text."""
-    for m in CANDIDATE.finditer(text):
+    done = 0
+    for m in NAMED.finditer(text):
+        kind = "private key" if m["name"] is None else "assigned value"
+        if kind == "assigned value" and m.lastgroup == "name":
+            continue  # nothing is assigned
+        begin = m.start()
+        while m["name"] is not None and begin > done and text[begin - 1] in NAME_CHARACTERS:
+            begin -= 1
+        yield from runs(text, done, begin)
         a, b = m.span(m.lastgroup) if m.lastgroup else m.span()
-        s = text[a:b]
-        if m.lastgroup == "run" and not (any(c.isdigit() for c in s) or s != s.lower() and s != s.upper() and s[1:] != s[1:].lower()):
-            continue
-        kind = "private key" if m.lastgroup is None else "assigned value" if m.lastgroup == "value" else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "key id" if re.fullmatch("[A-Z0-9]+", s) else "run"
         yield a, b, kind
+        done = m.end()
+    yield from runs(text, done, len(text))
 
 
 def generated_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
