@@ -1,3 +1,4 @@
+import itertools
 from fractions import Fraction
 
 from stratalake.llm import mixing, urls
@@ -84,3 +85,18 @@ def test_mined_rules(spark):
     assert best[("h:casino",)] == "block" and best[("h:wiki",)] == "allow" and ("p:win",) not in best
     index = urls.RuleIndex(rules)
     assert index.best(["h:casino", "x"])[1] == "block" and index.best(["nothing"]) is None
+
+
+def test_url_rules_are_all_the_irredundant_ones(spark):
+    four = [(["a", "b", "c", "d"], "block")] * 40 + [([x for x in "abcd" if x != out], "allow") for out in "abcd" for _ in range(40)]
+    mixed = [([f"t{k}" for k in range(7) if (i * 37 + i // 5) >> k & 1], "block" if i * 37 % 11 < 5 or i % 16 > 11 else "allow") for i in range(300)]
+    for rows in (four, mixed):
+        rows = [(t, v) for t, v in rows if t]
+        names = sorted({x for t, _ in rows for x in t})
+        keys = [frozenset(k) for n in range(1, len(names) + 1) for k in itertools.combinations(names, n)]
+        count = {(k, v): sum(k <= set(t) and v in (w, None) for t, w in rows) for k in keys for v in (None, "block", "allow")}
+        sure = {(k, v): count[k, v] / count[k, None] for k in keys for v in ("block", "allow") if count[k, v] >= 0.02 * len(rows)}
+        want = {(tuple(sorted(k)), v): c for (k, v), c in sure.items() if c >= 0.6 and not any(s < k and w == v and d >= c for (s, w), d in sure.items())}
+        got = {(k, v): c for k, v, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.6)}
+        assert got == want
+        assert any(len(k) > 3 for k, _ in got)
