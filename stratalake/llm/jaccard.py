@@ -130,7 +130,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             ns, nodes, prefixes = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingler.set(text)
-                node = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), len(s))).astype(np.int64) if len(s) else None
+                node = node_of(s)
                 ns.append(len(s))
                 nodes.append(node)
                 new = node is not None and doc_id is not None and node not in seen
@@ -177,13 +177,22 @@ def candidate_keys(sets: DataFrame) -> DataFrame:
     return shared.select("node", F.transform(F.slice("shared", F.lit(1), (F.col("m") - needed() + 1).cast("int")), lambda x: x["h"]).alias("keys"))
 
 
+def node_of(s: np.ndarray) -> np.int64 | None:
+    return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), len(s))).astype(np.int64) if len(s) else None
+
+
 def live_sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """(node, n, shingles, sig) of the live nodes, made again from one document of each."""
+    """(node, n, shingles, sig) of the live nodes, made again from one document of each.
+
+    Rows may share a doc_id: of the texts that meet a node, those whose set is the node's are taken.
+    """
 
     def build(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in it:
             sets = [shingler.set(t) for t in batch.column("text").to_pylist()]
+            own = [i for i, (s, node) in enumerate(zip(sets, batch.column("node").to_pylist())) if node_of(s) == node]
+            batch, sets = batch.take(pa.array(own, pa.int64())), [sets[i] for i in own]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles", "sig"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))

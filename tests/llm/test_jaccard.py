@@ -82,3 +82,12 @@ def test_bit_counts_never_hide_a_link():
 
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
+
+
+def test_live_sets_of_rows_with_one_doc_id(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "ab"]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    sets = [jaccard.Shingler().set(t.encode()) for t in texts]
+    want = sorted((int(jaccard.node_of(s)), s.tobytes()) for s in sets)
+    live = spark.createDataFrame([(n, len(s), 1) for (n, _), s in zip(want, sets)], "node long, n long, doc_id long")
+    assert sorted((r.node, bytes(r.shingles)) for r in jaccard.live_sets(docs, live).collect()) == want
