@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -13,19 +15,24 @@ from pyspark.sql import functions as F
 #: White space that separates words: space, and U+0009 to U+000D. ``bytes.split()`` splits at the same six.
 SPACE = " \t\n\x0b\x0c\r"
 #: ASCII capitals and the letters they become; other letters keep their case.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is taken and set.
+    Only where it is unset and everything runs on one machine (tests) a temporary folder is taken and set. A path
+    without a scheme is one of the default file system, as for Spark.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratalake-")
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Scratch:
@@ -38,9 +45,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write df as Parquet and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -51,12 +58,30 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def slices(it: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, as texts may be very long; Spark itself bounds a batch's bytes."""
+    for batch in it:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def bound_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches small, as texts may be very long: rows a batch, and 16 MB where Spark can count bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, a query's shuffle files go when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; ``file:`` with one or three slashes, and what Arrow knows besides."""
     if uri.startswith("file:"):
