@@ -50,7 +50,7 @@ def texts(seed):
 @pytest.mark.parametrize("block", [1024, 5])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "FIRST_PAIRS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block * 40)
     rows = [(i + 10, t) for i, t in enumerate(texts(block))]
     rows += [(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "A  B"), (5, "a b"), (6, "ÄÖ x"), (7, "äö x"), (None, "a b"), (None, None)]
     df = spark.createDataFrame([(*r, "en", None, "x", 1) for r in rows], SCHEMA)
@@ -88,6 +88,40 @@ def test_live_sets_of_rows_with_one_doc_id(spark):
     texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "ab"]
     docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
     sets = [jaccard.Shingler().set(t.encode()) for t in texts]
-    want = sorted((int(jaccard.node_of(s)), s.tobytes()) for s in sets)
-    live = spark.createDataFrame([(n, len(s), 1) for (n, _), s in zip(want, sets)], "node long, n long, doc_id long")
-    assert sorted((r.node, bytes(r.shingles)) for r in jaccard.live_sets(docs, live).collect()) == want
+    live = spark.createDataFrame([(jaccard.node_of(s), i, len(s), 1) for i, s in enumerate(sets)], "hash binary, node long, n long, doc_id long")
+    assert sorted((r.node, bytes(r.shingles)) for r in jaccard.live_sets(docs, live).collect()) == [(i, s.tobytes()) for i, s in enumerate(sets)]
+
+
+def test_rows_with_one_doc_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " tail"), (8, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, Scratch(spark, "t")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+
+
+def test_copies_that_link_through_one_text_give_one_link_each(spark, monkeypatch):
+    """Two thousand copies, each with a part of its own: they link with the base, hardly with each other."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    r, n = random.Random(5), 2000
+    base = [f"w{i}" for i in range(104)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, n):
+        copy = list(base)
+        for i in r.sample(range(2, 102), 2):
+            copy[i] = f"x{k}.{i}"
+        rows.append((k, " ".join(copy)))
+    scratch, made = Scratch(spark, "t"), []
+    whole = jaccard.tile_edges
+    monkeypatch.setattr(jaccard, "tile_edges", lambda *a: made.append(whole(*a)) or made[0])
+    monkeypatch.setattr(Scratch, "drop", lambda *a: None)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch)
+    assert {x.component_id for x in got.collect()} == {0}
+    keys = spark.read.parquet(scratch.path("mixed")).count()
+    assert made[0].count() < 4 * n and keys > 1
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "end")], "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.jaccard_components(docs, Scratch(spark, "t")).collect()))
+    assert got == [(1, 70001, 1), (2, 70002, 1), (3, 1, 3)]
