@@ -5,10 +5,9 @@ sequences of ``seq_len`` tokens. A keyed Feistel network with cycle-walking send
 *slot*, a bijection on 0..n-1 that needs no table. Slots are dealt to shards by range; a shard is a file of
 sequences of equal length, so that slot s lies at ``(s % shard_sequences) * stride`` and a run resumes at any slot.
 
-The texts are tokenised twice: once for the number of tokens of each scan partition, which fixes where each partition
-starts in the stream, and once to cut the pieces. That moves the tokens once and stores them once. Both passes must
-see the same partitions, so a table that isn't a plain file scan is written first, and the second pass compares its
-totals with the first's.
+The texts are tokenised once, to a table of token ids with each text's place among those of its scan task; the tasks'
+totals (a number each) then fix where every text starts in the stream, however the table is read again. The sequences
+are moved and written in WAVES ranges of shards, so that the shuffle of one is gone before the next begins.
 
 Defined cases: null and empty texts give no tokens, and so no end token; repeated rows are repeated in the stream; a
 text longer than a sequence runs on into the next ones; the last sequence is padded with the end token and has
@@ -18,24 +17,23 @@ text longer than a sequence runs on into the next ones; the last sequence is pad
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, open_fs
+from .common import Scratch, freed_shuffles, open_fs, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's publisher gives for splitting texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 MAX_VOCABULARY = 64 << 20
-CACHED_WORDS = 300_000
+WAVES = 4
 SEQUENCE = "slot long, sequence long, shard int, path string, offset long, n_tokens int, doc_ids array<long>"
 
 
@@ -68,11 +66,7 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 class Tokeniser:
-    """Token ids of texts as little-endian 16-bit bytes; pieces that begin with a single space are cached.
-
-    The pattern always cuts before a space that has no white space beside it, so a text with no space beside other
-    white space is the concatenation of its pieces. Other texts are encoded whole.
-    """
+    """Token ids of texts as little-endian 16-bit bytes."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
@@ -81,29 +75,26 @@ class Tokeniser:
         if max(ranks.values()) >= END:
             raise ValueError("the vocabulary must leave the end token free and fit 16 bits")
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.beside = re.compile(r" \s|\s ")
-        self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if self.beside.search(text):
-            return np.asarray(self.encoding.encode_ordinary(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        cache, out = self.cache, []
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        for piece in (first, *map(" ".__add__, rest)):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = np.asarray(self.encoding.encode_ordinary(piece), "<u2").tobytes()
-                if len(piece) < 100:
-                    cache[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-
-def _is_scan(docs: DataFrame) -> bool:
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    return not any(word in plan.toString() for word in ("Join", "Aggregate", "Repartition", "Sort", "Window", "LogicalRDD", "Union", "Generate")) and bool(docs.inputFiles())
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+
+def token_table(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """(part, start, doc_id, ids): the tokens of each text with an end token, after ``start`` others of its task."""
+
+    def encode(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, part, at = Tokeniser(words.value), TaskContext.get().partitionId(), 0
+        for batch in slices(it):
+            rows = [(i, t) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if t]
+            ids = [tokens.encode(t) + END.to_bytes(2, "little") for _, t in rows]
+            ends = np.cumsum([len(x) // 2 for x in ids], dtype=np.int64)
+            starts = at + np.concatenate(([0], ends))
+            at = int(starts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(starts[:-1]), pa.array([i for i, _ in rows], pa.int64()), pa.array(ids, pa.binary())], names=["part", "start", "doc_id", "ids"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(encode, "part int, start long, doc_id long, ids binary")
 
 
 def materialise_order(
@@ -116,57 +107,41 @@ def materialise_order(
 ) -> DataFrame:
     """Write the shards of (doc_id, text) rows; a row a sequence, with its slot, shard, path, offset and documents.
 
-    The vocabulary is broadcast; its size is checked. The totals by partition (a number a task) pass the driver.
+    The vocabulary is broadcast; its size is checked. The totals by scan task (a number each) pass the driver.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not _is_scan(docs):
-        docs = scratch.table(docs, "docs")
-    bound_batches(spark)
     fs, path = open_fs(vocabulary if ":" in vocabulary else f"file:{vocabulary}")
     with fs.open_input_file(path) as f:
         if f.size() > MAX_VOCABULARY:
             raise ValueError(f"the vocabulary has {f.size()} bytes; at most {MAX_VOCABULARY} are broadcast")
         words = spark.sparkContext.broadcast(f.read())
-
-    def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = Tokeniser(words.value), 0
-        for batch in it:
-            total += sum(len(tokens.encode(t)) // 2 + 1 for t in batch.column("text").to_pylist() if t)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64())})
-
-    totals = dict(map(tuple, docs.mapInArrow(count, "part int, n long").collect()))
+    table = scratch.table(token_table(docs, words), "tokens", compression="zstd")
+    ends = table.groupBy("part").agg(F.max(F.col("start") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
     starts, total = {}, 0
-    for part in sorted(totals):
-        starts[part], total = total, total + totals[part]
+    for r in sorted(ends):
+        starts[r.part], total = total, total + r.n
     if not total:
         return spark.createDataFrame([], SEQUENCE)
     n = -(-total // seq_len)
-    at = spark.sparkContext.broadcast((starts, totals))
+    at = spark.sparkContext.broadcast(starts)
     fields = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("sequence", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def cut(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = Tokeniser(words.value), TaskContext.get().partitionId()
-        begin = here = at.value[0].get(part, 0)
-        for batch in it:
-            sequence, pos, ids, pieces = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                data, done = tokens.encode(text) + END.to_bytes(2, "little"), 0
-                while done < len(data):
-                    s, p = divmod(here, seq_len)
-                    piece = data[done : done + 2 * (seq_len - p)]
-                    sequence.append(s)
-                    pos.append(p)
-                    ids.append(doc_id)
-                    pieces.append(piece)
-                    done, here = done + len(piece), here + len(piece) // 2
-            if pieces:
-                slot = feistel(np.array(sequence), n, key)
-                yield pa.RecordBatch.from_arrays([pa.array((slot // shard_sequences).astype(np.int32)), pa.array(slot), pa.array(sequence, pa.int64()), pa.array(pos, pa.int32()), pa.array(ids, pa.int64()), pa.array(pieces, pa.binary())], schema=fields)
-        if here - begin != at.value[1].get(part, 0):
-            raise ValueError("the table's partitions changed between the two passes")
+    def cut(it: Iterable[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """Pieces of the sequences that lie in the shards from low to below high."""
+        for batch in slices(it):
+            part, start, doc_id, ids = (c.to_pylist() for c in batch.columns)
+            begin = np.array([at.value[p] + s for p, s in zip(part, start)], np.int64)
+            end = begin + [len(x) // 2 for x in ids]
+            first, last = begin // seq_len, (end - 1) // seq_len
+            row = np.repeat(np.arange(len(ids)), last - first + 1)
+            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+            slot = feistel(sequence, n, key)
+            own = np.flatnonzero((slot // shard_sequences >= low) & (slot // shard_sequences < high))
+            row, sequence, slot = row[own], sequence[own], slot[own]
+            a = np.maximum(begin[row], sequence * seq_len)
+            b = np.minimum(end[row], (sequence + 1) * seq_len)
+            pieces = [ids[r][2 * i : 2 * j] for r, i, j in zip(row.tolist(), (a - begin[row]).tolist(), (b - begin[row]).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array((slot // shard_sequences).astype(np.int32)), pa.array(slot), pa.array(sequence), pa.array((a - sequence * seq_len).astype(np.int32)), pa.array([doc_id[r] for r in row.tolist()], pa.int64()), pa.array(pieces, pa.binary())], schema=fields)
 
     folder, stride = scratch.path("shards"), 2 * seq_len
     out = pa.schema([("slot", pa.int64()), ("sequence", pa.int64()), ("shard", pa.int32()), ("path", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))])
@@ -180,7 +155,7 @@ def materialise_order(
             file.write(data + END.to_bytes(2, "little") * (seq_len - len(data) // 2))
             return x[0], x[1], x[2], name, x[0] % shard_sequences * stride, len(data) // 2, list(dict.fromkeys(x[4]))
 
-        for batch in it:
+        for batch in slices(it):
             for shard, slot, sequence, _, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0] == slot:
                     held[3].append(ids)
@@ -203,9 +178,18 @@ def materialise_order(
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    pieces = docs.mapInArrow(cut, "shard int, slot long, sequence long, pos int, doc_id long, ids binary")
-    dealt = pieces.repartitionById(-(-n // shard_sequences), F.col("shard")).sortWithinPartitions("slot", "pos")
-    return scratch.table(dealt.mapInArrow(write, SEQUENCE), "manifest")
+    shards = -(-n // shard_sequences)
+    waves = min(WAVES, shards)
+    out_rows = None
+    with freed_shuffles(spark):
+        for w in range(waves):
+            low, high = w * shards // waves, (w + 1) * shards // waves
+            pieces = table.mapInArrow(lambda it, low=low, high=high: cut(it, low, high), "shard int, slot long, sequence long, pos int, doc_id long, ids binary")
+            dealt = pieces.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("slot", "pos")
+            wave = scratch.table(dealt.mapInArrow(write, SEQUENCE), f"manifest-{w}")
+            out_rows = wave if out_rows is None else out_rows.union(wave)
+    scratch.drop("tokens")
+    return out_rows
 
 
 def read_slots(manifest: DataFrame, start: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
