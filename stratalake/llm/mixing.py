@@ -9,8 +9,8 @@ hash, and the flow says how far each epoch reaches. The running sums are made in
 pattern is one task's work.
 
 Defined cases: a null text has size 0; documents of size 0 are taken 0 times; null sources form a source of their own,
-last in order; documents without any source get nothing; ties of the hash are ordered by doc_id and then size, and
-rows that still tie are interchangeable; repeated rows are documents of their own; an empty table gives no rows;
+last in order; documents without any source get nothing; the hash is of doc_id and text, ties are ordered by doc_id and
+then size, and rows that still tie are interchangeable; repeated rows are documents of their own; an empty table gives no rows;
 columns beyond those named are kept by :func:`take` and not read elsewhere.
 """
 
@@ -30,7 +30,7 @@ from .common import Scratch
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 EPOCHS = 2
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 SEED = 20_240_229
 
 
@@ -140,7 +140,8 @@ def connected(members: dict[object, tuple]) -> list[list]:
 
 
 def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Add source_size, target and taken to rows with doc_id, size and members (array of sources); reads sized twice."""
+    """Add source_size, target and taken to rows with doc_id, size and members (array of sources), and perhaps ``spread``
+    (long), which tells rows of one doc_id apart; reads sized twice."""
     spark = sized.sparkSession
     sized = sized.withColumn("pattern", F.sort_array(F.array_distinct(F.coalesce("members", F.array().cast("array<string>")))))
     patterns = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -162,9 +163,10 @@ def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[
     plan = [(list(p), max(1, -(-rows[p] // BUCKET_ROWS)), sum(sizes[s] for s in p), float(sum(goal[s] for s in p)), reach.get(p, [0] * epochs)) for p in members]
     schema = "pattern array<string>, buckets long, source_size long, target double, reach array<long>"
     limits = scratch.table(spark.createDataFrame(plan, schema), "limits").withColumn("key", pattern_key()).drop("pattern")
-    spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 33) / F.lit(float(1 << 31))
+    told = ["spread"] if "spread" in sized.columns else []
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", *told), 33) / F.lit(float(1 << 31))
     placed = scratch.table(
-        sized.withColumn("key", pattern_key()).join(limits, "key").withColumn("u", spread).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))),
+        sized.withColumn("key", pattern_key()).join(limits, "key").withColumn("u", spread).drop(*told).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))),
         "placed",
     )
     sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("sum"))
@@ -185,15 +187,19 @@ def pattern_key():
     return F.concat_ws("\x01", F.transform("pattern", lambda s: F.when(s.isNull(), F.lit("\x02")).otherwise(F.concat(F.lit("\x03"), s))))
 
 
+def text_hash():
+    return F.xxhash64(F.col("text").cast("string")).alias("spread")
+
+
 def mix(docs: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each (doc_id, text, source) row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.array(F.col("source").cast("string")).alias("members"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.array(F.col("source").cast("string")).alias("members"), text_hash())
     return choose(scratch.table(rows, "sized"), scratch, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def take(docs: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
     """docs as the mix has them: rows not taken go, rows taken n times come n times."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.array(F.col("source").cast("string")).alias("members"))
+    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.array(F.col("source").cast("string")).alias("members"), text_hash())
     chosen = choose(sized, scratch, seed).where("taken > 0")
     return chosen.select("row", F.explode(F.expr("sequence(1, cast(taken / size as int))"))).select("row.*")
