@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, open_fs
+from .common import Scratch, slices, open_fs
 
 RECORD = "urn:page:"
 CHUNK = 1 << 20
@@ -36,18 +36,19 @@ INDEX = "archive string, ordinal long, offset long, length long, record_type str
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
-def resolve(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def resolve(pages: DataFrame, scratch: Scratch, min_bytes: int = 1000) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of (page_id, url, html) rows.
 
     Of equal payloads of min_bytes or more, the rows with the largest page_id are responses (refers_to null); the
-    others refer to it. Digests are grouped with map-side sums; the join has an exchange of its own on either side,
-    so that Spark can split the partition of a digest that a third of all pages share.
+    others refer to it. Digests are grouped with map-side sums. Those that repeat are a written table, whose size Spark
+    knows: it is broadcast below Spark's limit, so that no payload moves; above it, the join has an exchange of its own
+    on either side, and Spark can split the partition of a digest that a third of all pages share.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.col("payload_digest").alias("same"), "first")  # grouped by two, joined by one: a fresh exchange
-    joined = rows.join(groups, (F.col("payload_digest") == F.col("same")) & (F.col("payload_bytes") >= min_bytes), "left")
+    groups = scratch.table(groups.select(F.unhex("payload_digest").alias("same"), "first"), "repeated")
+    joined = rows.join(groups, (F.unhex("payload_digest") == F.col("same")) & (F.col("payload_bytes") >= min_bytes), "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -75,7 +76,7 @@ def write_monolithic(rows: DataFrame, folder: str, roll_bytes: int = 256 << 20,
     def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, out, squeeze, n, raw = [], None, None, 0, 0
         wave = TaskContext.get().partitionId() % WAVES
-        for batch in it:
+        for batch in slices(it):
             for r in batch.to_pylist():
                 if out is None:
                     fs, path = open_fs(uri := f"{folder}/{wave}/mono-{uuid.uuid4().hex}.warc.gz")
@@ -96,7 +97,6 @@ def write_monolithic(rows: DataFrame, folder: str, roll_bytes: int = 256 << 20,
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made]), pa.array([x[1] for x in made], pa.int64()), pa.array([wave] * len(made), pa.int32())], names=["archive", "n_records", "wave"])
 
-    bound_batches(rows.sparkSession)
     return rows.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, MANIFEST)
 
 
@@ -220,7 +220,7 @@ def read_records(index: DataFrame) -> DataFrame:
 
 def archive_pages(pages: DataFrame, scratch: Scratch, min_bytes: int = 1000) -> DataFrame:
     """Write all pages, normalise the archives and read them back, a row a page."""
-    manifest = scratch.table(write_monolithic(resolve(pages, min_bytes), scratch.path("mono")), "manifest")
+    manifest = scratch.table(write_monolithic(resolve(pages, scratch, min_bytes), scratch.path("mono")), "manifest")
     index = None
     for wave in range(WAVES):
         part = scratch.table(normalise(manifest.where(F.col("wave") == wave), scratch.path("warc")), f"index-{wave}")

@@ -30,7 +30,7 @@ def test_round_trip(spark, pages):
 
 def test_members_and_sidecar(spark, pages):
     scratch = Scratch(spark, "t")
-    manifest = scratch.table(warc.write_monolithic(warc.resolve(pages[0]), scratch.path("mono"), roll_bytes=2000), "manifest")
+    manifest = scratch.table(warc.write_monolithic(warc.resolve(pages[0], scratch), scratch.path("mono"), roll_bytes=2000), "manifest")
     assert manifest.count() > 1
     index = scratch.table(warc.normalise(manifest, scratch.path("warc")), "index").collect()
     assert len(index) == 12
