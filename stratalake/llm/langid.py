@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod
+from .common import slices, crc_mod
 
 DOCS, PIECE, CHUNK, LEVEL = 256, 512, 2048, 3
 UNKNOWN = "und"
@@ -103,12 +103,11 @@ class Classifier:
 def identify(docs: DataFrame, labelled: DataFrame, margin: float = 0.01) -> DataFrame:
     """docs' (doc_id, text) rows with lang_pred, score, margin and rejected (the margin is narrow)."""
     spark = docs.sparkSession
-    bound_batches(spark)
     model = spark.sparkContext.broadcast(dictionaries(labelled))
 
     def predict(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Classifier(model.value)
-        for batch in it:
+        for batch in slices(it):
             got = [coder.predict(t) for t in batch.column(1).to_pylist()]
             lang, score, gap = (list(x) for x in zip(*got)) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array([g < margin for g in gap], pa.bool_())], names=["doc_id", "lang_pred", "score", "margin", "rejected"])

@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, utf8
+from .common import Scratch, slices, utf8
 
 DICTIONARY = 20_000
 FLUSH = 500_000
@@ -60,7 +60,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
         seen: Counter = Counter()
         letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
         out = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen]), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        for batch in it:
+        for batch in slices(it):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(text.translate(letters).split())
@@ -69,10 +69,18 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
                 seen.clear()
         yield out()
 
-    bound_batches(docs.sparkSession)
     words = docs.select(utf8("text").alias("text")).mapInArrow(count, "word string, n long").where("length(word) between 4 and 20")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    scratch = Scratch(docs.sparkSession, "dictionary")
+    counts = scratch.table(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    # A histogram of the counts, eight cells to a doubling, leaves few words more than wanted to be put in order.
+    cell, low, n = F.floor(F.log2("n") * 8), 0, 0
+    for r in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        low, n = r["cell"], n + r["count"]
+        if n >= size:
+            break
+    top = counts.where(cell >= low).orderBy(F.desc("n"), "word").limit(size).collect()
+    scratch.drop("")
+    return [r.word for r in top]
 
 
 class Features:
@@ -206,13 +214,13 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], f
 def scan(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row a candidate of (doc_id, text, source) rows: doc_id, begin, end, kind, sha256, probability, is_secret."""
     spark = docs.sparkSession
-    features = Features(dictionary(docs))
-    model = train(spark, findings or generated_findings(), features)
-    shared = spark.sparkContext.broadcast(features)
+    words = dictionary(docs)
+    model = train(spark, findings or generated_findings(), Features(words))
+    shared = spark.sparkContext.broadcast(words)
 
     def find(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        for batch in it:
+        f = Features(shared.value)
+        for batch in slices(it):
             rows = []
             for doc_id, text, path in zip(*(c.to_pylist() for c in batch.columns)):
                 for a, b, kind in candidates(text or ""):
@@ -220,7 +228,6 @@ def scan(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())))], names=["doc_id", "begin", "end", "kind", "sha256", "f"])
 
-    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     found = texts.mapInArrow(find, "doc_id long, begin long, end long, kind string, sha256 string, f array<double>")
     scored = model.transform(found.withColumn("features", array_to_vector("f")))
