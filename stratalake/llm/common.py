@@ -65,12 +65,6 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordB
             yield batch.slice(i, rows)
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, as texts may be very long: rows a batch, and 16 MB where Spark can count bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within this, a query's shuffle files go when it ends, not when the driver next collects garbage."""

@@ -46,6 +46,64 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_mix_over_several_buckets(spark, monkeypatch):
+    """taken against running sums in Python, in the order of the same hash; one doc_id has many rows."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rows = [(i if i % 5 else 77, "w " * (20 + i % 17) + f"x{i}", f"s{i % 3}") for i in range(300)] + [(None, f"null {i}", "s1") for i in range(40)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
+    got = sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(df, Scratch(spark, "t")).collect())
+    told = df.select("doc_id", "text", "source", mixing.text_hash())
+    placed = told.selectExpr("doc_id", "size(split(text, ' ')) as n", "text", "source", f"shiftrightunsigned(xxhash64({mixing.SEED}, doc_id, spread), 33) as u").collect()
+    assert max(map([(r.source, r.u * 40 >> 31) for r in placed].count, {(r.source, r.u * 40 >> 31) for r in placed})) < 20
+    want, total = [], sum(len(t.split()) for _, t, _ in rows)
+    order, weights = ["s0", "s1", "s2"], [5, 2, 1]
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in order}
+    left, open_, goal = Fraction(3, 2) * total, dict(zip(order, weights)), {}
+    while full := [s for s in open_ if left * open_[s] / sum(open_.values()) > 2 * size[s]]:
+        for s in full:
+            goal[s] = 2 * size[s]
+        left -= sum(2 * size[s] for s in full)
+        for s in full:
+            del open_[s]
+    goal |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    for s in order:
+        need, at = int(goal[s] + Fraction(1, 2)), 0
+        reach = [min(need, size[s]), max(0, need - size[s])]
+        for r in sorted((r for r in placed if r.source == s), key=lambda r: (r.u, r.doc_id is not None, r.doc_id or 0)):
+            n = len(r.text.split())
+            want.append((str(r.doc_id), n, n * sum(x > 0 and 2 * at + n <= 2 * x for x in reach)))
+            at += n
+    assert got == sorted(want)
+
+
+def test_mined_rules_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    baskets = []
+    for _ in range(300):
+        have = {t for t in "abcdefg" if r.random() < 0.35}
+        block = {"a", "b"} <= have or "c" in have and r.random() < 0.9
+        baskets.append((sorted(have), "block" if block else "allow"))
+    baskets += [(["a", "b"], "block")] * 20 + [([], "allow"), (["z"], "block")]
+    count: dict = {}
+    for have, label in baskets:
+        for k in range(1, len(have) + 1):
+            for key in itertools.combinations(have, k):
+                for x in (None, label):
+                    count[key, x] = count.get((key, x), 0) + 1
+    least = -(-len(baskets) * 5 // 100)
+    sure = {(k, x): n / count[k, None] for (k, x), n in count.items() if x and n >= least}
+    want = []
+    for (key, x), c in sure.items():
+        parts = [sure.get((p, x), 0) for k in range(1, len(key)) for p in itertools.combinations(key, k)]
+        if c >= 0.8 and all(c > p for p in parts):
+            want.append((key, x, round(c, 9), round(count[key, x] / len(baskets), 9)))
+    df = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
+    got = [(k, x, round(c, 9), round(s, 9)) for k, x, c, s in urls.mine(df, 0.05, 0.8)]
+    assert sorted(got) == sorted(want) and any(len(k) > 1 for k, *_ in got)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, 10, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["b", "a"]) for i in range(90)] + [(100, 5, []), (101, 5, None)]
     df = spark.createDataFrame(rows, "doc_id long, size long, members array<string>")
