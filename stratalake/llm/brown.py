@@ -11,8 +11,10 @@ join gives each block the corpus ids and counts of its words; the later passes r
 Every training word is clustered, from all its bigrams: its profile counts the classes before and after it, so it has
 at most 2 * WIDTH cells. The CLASSES most frequent words start as a class each and all others in none (LONE); each
 sweep moves half of the words (by hash), each to the class that raises the objective most, to first order, with the
-counts of the sweep's start and without the word's own share in its class. Profiles are summed in each block, then
-by word; the moved words go back to their blocks. The state is a table of classes by classes, all that the driver holds.
+counts of the sweep's start and without the word's own share in its class. The objective is then summed anew: from
+the third sweep on, when each word has had a class, moves that do not raise it together are taken back. Profiles are summed in each block, then by word, a running sum for the
+word at hand; the moved words go back to their blocks. The state is a table of classes by classes, all that the driver
+holds.
 
 Words of held-out texts alone stay in LONE; the end of a text is a class of its own. Words: white-space runs with A-Z
 in lower case; each text ends with one end token.
@@ -34,16 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, crc_mod, open_fs, utf8
+from .common import Scratch, crc_mod, freed_shuffles, open_fs, slices, utf8
 
 CLASSES, SWEEPS = 48, 6
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 32 << 20  # the larger, the fewer rows for a word
 LONE, END_CLASS = CLASSES, CLASSES + 1  # words without training tokens or a class yet, and the end of a text
 WIDTH = END_CLASS + 1
 END_WORD = b"\n"  # no word holds white space
 BACKOFF = 0.02  # share of the class frequency in a transition
 DELTA = 0.1  # of the base model
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(uri: str, words: list[bytes], arrays: list[np.ndarray]) -> None:
@@ -112,7 +113,7 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
             numbers, tokens, lengths, held, ids, raw = {END_WORD: 0}, [], [], [], [], 0
             return made
 
-        for batch in it:
+        for batch in slices(it):
             for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or b"").lower().split()
                 words.append(END_WORD)
@@ -129,7 +130,6 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
         if ids:
             yield flush()
 
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), (crc_mod("doc_id", 10) == 0).alias("held_out"))
     return scratch.table(rows.mapInArrow(store, "block long, num int, word binary, n long"), "store")
 
@@ -140,13 +140,20 @@ def bigrams(flat: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return here, np.concatenate(([END_CLASS], here[:-1]))
 
 
-def recode(changes: DataFrame, folder: str, blocks: int, step: int) -> np.ndarray:
+def objective(table: np.ndarray) -> float:
+    """What exchange raises: the log likelihood of the classes' order, but for what no move changes."""
+    n = table[table > 0]
+    each = [x[x > 0] for x in (table.sum(1), table.sum(0))]
+    return float((n * np.log(n)).sum() - sum((x * np.log(x)).sum() for x in each))
+
+
+def recode(changes: DataFrame, folder: str, blocks: int, step: int, base: int | None = None) -> np.ndarray:
     """Write the blocks' classes of a step; the training counts of class after class under them.
 
-    Step 0 takes (block, num, wid, n, home, turn, class) of all words, later ones (block, num, class) of the moved
-    words, and a row of number -1 for each block.
+    Without a base it takes (block, num, wid, n, home, turn, class) of all words, else (block, num, class) of the words
+    moved since the step ``base``, and a row of number -1 for each block.
     """
-    first = step == 0
+    first = base is None
 
     def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(WIDTH * WIDTH, np.int64)
@@ -160,7 +167,7 @@ def recode(changes: DataFrame, folder: str, blocks: int, step: int) -> np.ndarra
                 wid, n, home, turn, classes = (c[order] for c in cols)
                 put(f"{folder}/numbers/{last}", wid, n, home.astype(bool), turn.astype(np.int8))
             else:
-                (classes,) = take(f"{folder}/classes{step - 1}/{last}", 1)
+                (classes,) = take(f"{folder}/classes{base}/{last}", 1)
                 classes[nums[nums >= 0]] = cols[0][nums >= 0]
             put(f"{folder}/classes{step}/{last}", classes.astype(np.int8))
             _, flat, lengths, held, _ = load(f"{folder}/blocks/{last}", with_words=False)
@@ -191,8 +198,8 @@ def recode(changes: DataFrame, folder: str, blocks: int, step: int) -> np.ndarra
     return table.reshape(WIDTH, WIDTH)
 
 
-def profiles(blocks: DataFrame, folder: str, step: int) -> DataFrame:
-    """(wid, block, num, class, slots, counts) of the words that may move in a step, a row a word and block.
+def profiles(blocks: DataFrame, folder: str, step: int, turns: int) -> DataFrame:
+    """(wid, block, num, class, slots, counts) of the words whose turn it is to move, a row a word and block.
 
     Bytes and uint32 numbers: the word's training counts after (slot v) and before (slot WIDTH + v) class v.
     """
@@ -207,7 +214,7 @@ def profiles(blocks: DataFrame, folder: str, step: int) -> DataFrame:
             (classes,) = take(f"{folder}/classes{step}/{block}", 1)
             _, flat, lengths, held, _ = load(f"{folder}/blocks/{block}", with_words=False)
             here, before = bigrams(flat, classes)
-            ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] == step % 2))
+            ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] == turns))
             base = flat[ok].astype(np.int64) * (2 * WIDTH)
             keys, n = np.unique(np.concatenate([base + before[ok], base + WIDTH + here[ok + 1]]), return_counts=True)
             nums, starts = np.unique(keys // (2 * WIDTH), return_index=True)
@@ -241,31 +248,41 @@ def moves(profile: DataFrame, table: np.ndarray) -> DataFrame:
         size = np.dtype(kind).itemsize
         return np.diff(ends) // size, np.frombuffer(data.slice(int(ends[0]), int(ends[-1] - ends[0])), kind)
 
-    def move(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wid, block, num, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        new = np.concatenate(([True], wid[1:] != wid[:-1]))
-        word = np.cumsum(new) - 1
-        sizes, slots = cells(batch.column(4), np.uint8)
-        _, counts = cells(batch.column(5), np.uint32)
-        profile = np.bincount(np.repeat(word, sizes) * (2 * WIDTH) + slots, counts, (word[-1] + 1) * 2 * WIDTH).reshape(-1, 2 * WIDTH)
-        to = place_words(profile, own[new], table)[word]
-        far = np.flatnonzero(to != own)
-        return pa.RecordBatch.from_arrays([pa.array(block[far]), pa.array(num[far]), pa.array(to[far], pa.int32())], names=["block", "num", "class"])
+    def moved(profile: np.ndarray, own: np.ndarray, word: np.ndarray, block: np.ndarray, num: np.ndarray) -> pa.RecordBatch:
+        to = place_words(profile, own, table)
+        far = np.flatnonzero((to != own)[word])
+        return pa.RecordBatch.from_arrays([pa.array(block[far]), pa.array(num[far]), pa.array(to[word[far]], pa.int32())], names=["block", "num", "class"])
 
     def merge(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []  # of the last word, which may go on
+        held: tuple | None = None  # of the last word, which may go on: number, class, sums, places
+
+        def close() -> pa.RecordBatch:
+            places = [np.concatenate(x) for x in zip(*held[3])]
+            return moved(held[2][None], np.array([held[1]]), np.zeros(len(places[0]), np.int64), *places)
+
         for batch in it:
             if not batch.num_rows:
                 continue
-            wid = batch.column(0).to_numpy(zero_copy_only=False)
-            if kept and kept[0].column(0)[0].as_py() == wid[-1]:
-                kept.append(batch)
+            wid, block, num, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            new = np.concatenate(([True], wid[1:] != wid[:-1]))
+            word = np.cumsum(new) - 1
+            sizes, slots = cells(batch.column(4), np.uint8)
+            _, counts = cells(batch.column(5), np.uint32)
+            sums = np.bincount(np.repeat(word, sizes) * (2 * WIDTH) + slots, counts, (word[-1] + 1) * 2 * WIDTH).reshape(-1, 2 * WIDTH)
+            begin = 0
+            if held and held[0] == wid[0]:
+                begin = int(np.searchsorted(word, 1))
+                held = (*held[:2], held[2] + sums[0], [*held[3], (block[:begin], num[:begin])])
+            if begin == len(wid):
                 continue
-            cut = int(np.searchsorted(wid, wid[-1]))
-            yield move(pa.concat_batches([*kept, batch.slice(0, cut)])) if kept or cut else batch.select(["block", "num", "class"]).slice(0, 0)
-            kept = [batch.slice(cut)]
-        if kept:
-            yield move(pa.concat_batches(kept))
+            if held:
+                yield close()
+            end, first = int(np.searchsorted(word, word[-1])), int(word[begin])
+            if end > begin:
+                yield moved(sums[first:-1], own[new][first:-1], word[begin:end] - first, block[begin:end], num[begin:end])
+            held = wid[-1], own[-1], sums[-1], [(block[end:], num[end:])]
+        if held:
+            yield close()
 
     return profile.repartition("wid").sortWithinPartitions("wid").mapInArrow(merge, "block long, num int, class int")
 
@@ -311,19 +328,19 @@ def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tupl
     blocks = scratch.table(store.where("num = 0").select("block"), "block_list")
     size = max(1, blocks.count())
     blocks = blocks.repartition(size, "block")
-    bound_batches(spark, 20_000)
     numbers = store.select("block", "num", "word").join(counts, "word").select("block", "num", "wid", "n", (F.col("home") == F.col("block")).cast("int").alias("home"), "turn", "class")
-    # The shuffle files of a sweep go when it ends, not when the driver next collects garbage.
-    kept = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    table = recode(numbers, folder, size, 0)
     marks = blocks.select("block", F.lit(-1).alias("num"), F.lit(-1).alias("class"))
-    for step in range(sweeps):
-        table = recode(moves(profiles(blocks, folder, step), table).unionByName(marks), folder, size, step + 1)
-        scratch.drop(f"classes{step}")
-    spark.conf.set(CLEANUP, kept)
+    with freed_shuffles(spark):
+        table = recode(numbers, folder, size, 0)
+        base, trace = 0, [objective(table)]
+        for step in range(1, sweeps + 1):
+            new = recode(moves(profiles(blocks, folder, base, step % 2), table).unionByName(marks), folder, size, step, base)
+            better = step <= 2 or objective(new) > trace[-1]
+            scratch.drop(f"classes{base if better else step}")
+            base, table = (step, new) if better else (base, table)
+            trace.append(objective(table))
     scratch.drop("store", "counts")
-    words = scratch.table(class_words(blocks, folder, sweeps), "words")
+    words = scratch.table(class_words(blocks, folder, base), "words")
     sums = words.groupBy("class").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()
     total, types = np.zeros(WIDTH), np.zeros(WIDTH)
     for r in sums:
@@ -337,7 +354,7 @@ def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tupl
     lost = np.where(total > 0, discount * types / np.maximum(total, 1), 0)
     lost[END_CLASS] = 0
     with np.errstate(divide="ignore"):
-        model = {"N": int(N), "V": int(types.sum()), "step": np.log10(step), "unknown": np.log10(step @ lost) if N else np.zeros(WIDTH), "total": total, "discount": discount}
+        model = {"N": int(N), "V": int(types.sum()), "step": np.log10(step), "unknown": np.log10(step @ lost) if N else np.zeros(WIDTH), "total": total, "discount": discount, "classes": base, "objective": trace}
     return blocks, model
 
 
@@ -351,7 +368,7 @@ def score_texts(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> Data
     def score(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         N, V, d, total = m["N"], m["V"], m["discount"], m["total"]
-        for here, n, before, lengths, held, ids in blocks_of(it, folder, sweeps):
+        for here, n, before, lengths, held, ids in blocks_of(it, folder, m["classes"]):
             base = np.log10((n + DELTA) / (N + DELTA * (V + 1)))
             off = np.where(here == END_CLASS, 0, d)
             with np.errstate(divide="ignore"):
@@ -361,7 +378,6 @@ def score_texts(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> Data
             sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64), base, own)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(ids), N)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
 
-    bound_batches(docs.sparkSession, 1)
     out = scratch.table(blocks.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-    scratch.drop("blocks", "block_list", "numbers", "words", f"classes{sweeps}")
+    scratch.drop("blocks", "block_list", "numbers", "words", f"classes{model['classes']}")
     return out

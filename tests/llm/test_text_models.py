@@ -67,6 +67,48 @@ def test_brown_clusters_words_that_meet_no_frequent_word(spark):
     assert all(c < brown.CLASSES for w, (n, c) in words.items() if n and w != "\n")
 
 
+def test_brown_sweeps_never_lower_the_objective(spark):
+    _, m = brown.class_model(docs(spark, corpus()), Scratch(spark, "t"), sweeps=8)
+    trace = m["objective"]
+    assert len(trace) == 9 and trace[2:] == sorted(trace[2:]) and trace[-1] > trace[2]
+
+
+def test_brown_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown, "BLOCK_BYTES", 900)  # several blocks
+    monkeypatch.setattr(Scratch, "drop", lambda *a: None)
+    rows, scratch = corpus(), Scratch(spark, "t")
+    got = brown.score_texts(docs(spark, rows), scratch, sweeps=3).collect()
+    words = {bytes(w.word): (w.n, w["class"]) for w in spark.read.parquet(scratch.path("words")).collect()}
+    tokens = [[*(t or "").encode().lower().split(), b"\n"] for _, t, *_ in rows]
+    train = [ws for (d, *_), ws in zip(rows, tokens) if not held(d, 10)]
+    count = Counter(w for ws in train for w in ws)
+    assert {w: n for w, (n, _) in words.items() if n} == count
+    of = lambda w: words[w][1]
+    pairs, total, types = Counter(), Counter(), Counter()
+    for ws in train:
+        pairs.update(zip([brown.END_CLASS, *map(of, ws[:-1])], map(of, ws)))
+        total.update(map(of, ws))
+    types.update(of(w) for w in count)
+    n, after = sum(total.values()), Counter()
+    for (a, _), k in pairs.items():
+        after[a] += k
+    once, twice = (sum(c == k for w, c in count.items()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+
+    def step(a, c):
+        prior = total[c] / n
+        return (1 - brown.BACKOFF) * pairs[a, c] / after[a] + brown.BACKOFF * prior if after[a] else prior
+
+    def p(a, w):
+        c = of(w)
+        if count[w]:
+            return step(a, c) * (count[w] - (0 if c == brown.END_CLASS else d)) / total[c]
+        return sum(step(a, x) * d * types[x] / total[x] for x in total if x != brown.END_CLASS)
+
+    want = sorted((str(r[0]), len(ws), round(sum(log10(p(a, w)) for a, w in zip([brown.END_CLASS, *map(of, ws[:-1])], ws)), 6)) for r, ws in zip(rows, tokens))
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
 def test_brown_without_rows_or_training(spark):
     assert brown.score_texts(docs(spark, []), Scratch(spark, "t")).count() == 0
     only = [i for i in range(200) if held(i, 10)][:3]
@@ -141,6 +183,31 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.drop_leaks(d, b).count() == sum(not r[-1] for r in leak_brute(rows, items))
 
 
+def test_many_items_share_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = [(i, passage + f" own{i}") for i in range(3000)]
+    rows = [(1, f"so {passage} own7 far"), (2, "nothing here")]
+    d, b = docs(spark, [(*r, "en", "s") for r in rows]), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontamination(d, b).collect()}
+    every = sha256(",".join(sorted(str(i) for i in range(3000))).encode()).hexdigest()
+    assert got == {1: (33, 31, 3000, every), 2: (2, 0, 0, sha256(b"").hexdigest())}
+
+
+def test_a_very_long_text_is_scanned_whole(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    text = "filler text " * 200_000 + item + " q1 q2" * 50_000
+    d = docs(spark, [(1, text, "en", "s")])
+    (r,) = decontam.decontamination(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (r.n_words, r.n_hit) == (500_012, 12)
+
+
+def test_dictionary_is_the_most_frequent_words(spark):
+    words = [f"{'abcdefgh'[i % 8]}{'abcdefgh'[i // 8 % 8]}{'abcdefgh'[i // 64]}word" for i in range(300)]
+    rows = [(i, " ".join(w for k, w in enumerate(words) if i % (k + 1) == 0), "en", "s") for i in range(1, 200)]
+    count = Counter(w for _, t, *_ in rows for w in t.split())
+    assert secrets.dictionary(docs(spark, rows), 50) == [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:50]]
+
+
 def test_excise_cuts_spans(spark):
     item = "one two three four five six seven eight nine ten eleven"
     d = docs(spark, [(1, "Ahead: One two, three four FIVE six seven eight nine ten. After all " + "more " * 30, "en", "s"), (2, item, "en", "s"), (3, None, "en", "s")])
