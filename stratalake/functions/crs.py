@@ -156,6 +156,13 @@ def transform(s: Steps, x: Column, y: Column, source: int, target: int) -> tuple
     return wgs84_to_rd(s, lon, lat) if target == 28992 else wgs84_to_utm(s, lon, lat, zone(target)) if zone(target) else (lon, lat)
 
 
+def transformed(df: DataFrame, x: Column, y: Column, source: int, target: int) -> tuple[DataFrame, Column, Column]:
+    """df with named steps (``_step<i>``), and the columns x and y in another system made from them."""
+    steps = Steps(df)
+    x, y = steps.put(*transform(steps, x.cast("double"), y.cast("double"), source, target))
+    return steps.df, x, y
+
+
 def transform_coordinates(df: DataFrame, source: int, target: int, xbot: str | None = None, ybot: str | None = None) -> DataFrame:
     roles = Roles.of(df)
     roles.need("x", "y")

@@ -147,3 +147,30 @@ def hex_double(x: Column) -> Column:
 def point_wkb(x: Column, y: Column) -> Column:
     """WKB of a point in big-endian order, made without Python."""
     return F.when(x.isNotNull() & y.isNotNull(), F.unhex(F.concat(F.lit("0000000001"), hex_double(x.cast("double")), hex_double(y.cast("double")))))
+
+
+def double_of(digits: Column) -> Column:
+    """The double of 16 hex digits, most significant first; null for infinite ones and those that are no number."""
+    high = F.conv(F.substring(digits, 1, 3), 16, 10).cast("long")
+    exponent, fraction = high % 2048, F.conv(F.substring(digits, 4, 13), 16, 10).cast("double")
+    size = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-1074))).when(exponent < 2047, (1 + fraction / F.lit(float(1 << 52))) * F.pow(F.lit(2.0), exponent - 1023))
+    return F.when(high >= 2048, -size).otherwise(size)
+
+
+def wkb_point(wkb: Column) -> tuple[Column, Column]:
+    """x and y of a point's WKB in either byte order, with or without a reference system; nulls for other kinds."""
+
+    def pair(h: Column) -> Column:
+        def digits(begin: Column | int, n: int) -> Column:
+            raw = F.substr(h, F.lit(begin) if isinstance(begin, int) else begin, F.lit(2 * n))
+            turned = F.regexp_replace(F.reverse(raw), "(.)(.)", "$2$1")  # the bytes from the last to the first
+            return F.when(F.substring(h, 1, 2) == "01", turned).otherwise(raw)
+
+        code = F.conv(digits(3, 4), 16, 10).cast("long")
+        begin = F.when(F.floor(code / F.lit(0x20000000)) % 2 == 1, F.lit(19)).otherwise(F.lit(11))
+        point = ((code % 65536) % 1000) == 1
+        return F.when(point, F.transform(F.array(digits(begin, 8), digits(begin + 16, 8)), double_of))
+
+    # Bound by lambdas, so that each text is made once.
+    xy = F.get(F.transform(F.array(F.hex(wkb)), pair), F.lit(0))
+    return F.get(xy, F.lit(0)), F.get(xy, F.lit(1))

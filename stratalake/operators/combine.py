@@ -56,13 +56,20 @@ def split_at_voxel_units(data: DataFrame, header: DataFrame, model: VoxelModel,
     h = Roles.of(header)
     points = header.select(col(h.nr).alias(nr), col(h.x).cast("double").alias("x"), col(h.y).cast("double").alias("y"))
     bounds = unit_boundaries(model.select_with_points(points, nr), nr, variable, model.z.step)
-    surfaces = data.groupBy(nr).agg(F.first(col(roles.surface)).alias("_surface"))
+    if h.surface in header.columns:
+        surfaces = header.select(col(h.nr).alias(nr), col(h.surface).alias("_surface"))
+    else:
+        surfaces = data.groupBy(nr).agg(F.first(col(roles.surface)).alias("_surface"))
     bounds = bounds.join(surfaces, nr).where(F.col("elevation") < F.col("_surface"))
     new = bounds.select(nr, (F.col("_surface") - F.col("elevation")).alias(depth), col(variable), F.lit(1).alias("_src"))
     rows = data.withColumns({variable: F.lit(None).cast(model.df.schema[variable].dataType), "_src": F.lit(0)}).unionByName(new, allowMissingColumns=True)
-    below = Window.partitionBy(col(nr)).orderBy(col(depth), F.col("_src")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the deepest row up, so that the frame ends at the current row and grows by one.
+    up = Window.partitionBy(col(nr)).orderBy(F.desc(depth), F.desc("_src"))
     fill = [c for c in rows.columns if c not in (nr, depth, "_src")]
-    filled = rows.select(nr, col(depth), "_src", *[F.first(col(c), ignorenulls=True).over(below).alias(c) for c in fill]).where(col(roles.surface).isNotNull())
-    first = F.row_number().over(Window.partitionBy(col(nr), col(depth)).orderBy("_src"))
-    out = filled.withColumn("_first", first).where("_first = 1").select(*map(col, data.columns), col(variable))
+    below = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = F.lead(F.struct(col(depth), F.lit(1))).over(up)
+    filled = rows.select(nr, col(depth), *[F.last(col(c), ignorenulls=True).over(below).alias(c) for c in fill], above.alias("_above"))
+    # Of rows at one depth the last on the way up stays: one of the survey's own, if there is any.
+    last = F.col("_above").isNull() | ~F.col("_above")[depth].eqNullSafe(col(depth))
+    out = filled.where(col(roles.surface).isNotNull() & last).select(*map(col, data.columns), col(variable))
     return reset_tops(out) if roles.layered else out

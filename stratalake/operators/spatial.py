@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crs import transformed
 from ..functions.geometry import Geometry, as_geometries
 from ..predicates import negate
 from ..roles import Roles, col
@@ -129,20 +130,54 @@ def select_within_polygons(df: DataFrame, polygons, buffer: float = 0, invert: b
     return _chosen(df, within_union(*_xy(df), [p for g in as_geometries(polygons) for p in g.polygons], buffer), invert)
 
 
-def spatial_join(df: DataFrame, geometries: Sequence[tuple], label_id: str, how: str = "inner", drop_label_if_exists: bool = False) -> DataFrame:
-    """Add a label for each of the labelled polygons [(label, geometry), ...] that a row's point lies in or on.
-
-    Labels are gathered by one expression and unfolded, so no join or shuffle is needed.
+#: How a point can meet a geometry: in or on it, in it, near it, or apart from it.
+PREDICATES = ("intersects", "within", "dwithin", "disjoint")
+
+
+def meets(x: Column, y: Column, shape: Geometry, predicate: str = "intersects", distance: float = 0) -> Column:
+    """Whether a point meets a geometry of any kind; ``dwithin``: no further than distance."""
+    if predicate not in PREDICATES:
+        raise ValueError(f"no predicate {predicate!r}; there are {', '.join(PREDICATES)}")
+    if predicate == "disjoint":
+        return ~meets(x, y, shape)
+    at = [intersects_polygon(x, y, p.rings) for p in shape.polygons] if predicate != "within" else [inside_rings(x, y, p.rings) & ~_any([on_ring(x, y, r) for r in p.rings]) for p in shape.polygons]
+    if not shape.polygons:
+        points = [(x == a) & (y == b) for a, b in shape.points] if not shape.paths else []
+        at = points + [on_ring(x, y, path) for path in shape.paths]
+    if predicate == "dwithin":
+        edges = [*shape.paths, *[r for p in shape.polygons for r in p.rings]] or [[p, p] for p in shape.points]
+        at = at + [segment_distance2(x, y, p, q) <= distance * distance for path in edges for p, q in zip(path, path[1:])]
+    return _any(at)
+
+
+def spatial_join(
+    df: DataFrame,
+    geometries: Sequence[tuple],
+    label_id: str,
+    how: str = "inner",
+    drop_label_if_exists: bool = False,
+    predicate: str = "intersects",
+    distance: float = 0,
+    crs: int | None = None,
+    geometry_crs: int | None = None,
+) -> DataFrame:
+    """Add a label for each of the labelled geometries [(label, geometry), ...] that a row's point meets.
+
+    Labels are gathered by one expression and unfolded, so no join or shuffle is needed. Where the geometries are in
+    another reference system than the rows, the rows' coordinates are brought into it for the test.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how can't be {how!r}")
+    columns = df.columns
     x, y = _xy(df)
+    if crs and geometry_crs and crs != geometry_crs:
+        df, x, y = transformed(df, x, y, crs, geometry_crs)
     name = label_id
     if label_id in df.columns:
         if drop_label_if_exists:
             df = df.drop(label_id)
         else:
             df, name = df.withColumnRenamed(label_id, f"{label_id}_left"), f"{label_id}_right"
-    found = [F.when(_any([intersects_polygon(x, y, p.rings) for g in as_geometries(shape) for p in g.polygons]), F.lit(label)) for label, shape in geometries]
+    found = [F.when(_any([meets(x, y, g, predicate, distance) for g in as_geometries(shape)]), F.lit(label)) for label, shape in geometries]
     labels = F.filter(F.array(*found), lambda v: v.isNotNull())
-    return df.withColumn("_labels", labels).select("*", (F.explode if how == "inner" else F.explode_outer)("_labels").alias(name)).drop("_labels")
+    return df.withColumn("_labels", labels).select("*", (F.explode if how == "inner" else F.explode_outer)("_labels").alias(name)).drop("_labels", *[c for c in df.columns if c not in columns and c != f"{label_id}_left"])

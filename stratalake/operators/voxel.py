@@ -15,6 +15,8 @@ from ..roles import Roles, col
 from .layers import run_label
 
 AXES = ("x", "y", "z")
+#: Classes that a dense table of counts may have: they become columns' values in the plan.
+MAX_VALUES = 10_000
 
 
 @dataclass(frozen=True)
@@ -199,12 +201,13 @@ class VoxelModel:
         axes = {}
         out = out.withColumns({"_hi": F.coalesce(high, F.lit(False)), "_lo": F.coalesce(low, F.lit(False))})
         if any(isinstance(v, DataFrame) for v in (upper, lower)):
-            # A coordinate stays if both conditions leave a cell there, one after the other.
+            # A coordinate stays if both conditions leave a cell there, one after the other. The coordinates of an axis
+            # are as few as the grid is wide, so they are summed up in the tasks and become a filter.
             for flag in ("_hi", "_lo"):
+                sets = out.agg(*[F.collect_set(F.when(F.col(flag), F.col(a))).alias(a) for a in AXES]).first()
                 for a in AXES:
-                    out = out.withColumn("_any", F.max(F.col(flag).cast("int")).over(Window.partitionBy(a))).where("_any = 1").drop("_any")
-            row = out.agg(*[f(a).alias(f"{a}{k}") for a in AXES for k, f in (("lo", F.min), ("n", F.count_distinct))]).first()
-            axes = {a: Axis(row[f"{a}lo"], getattr(self, a).step, row[f"{a}n"]) for a in AXES if row[f"{a}n"]}
+                    out = out.where(F.col(a).isin(sets[a]) if sets[a] else F.lit(False))
+            axes = {a: Axis(min(sets[a]), getattr(self, a).step, len(sets[a])) for a in AXES if sets[a]}
             return self._cut(out.select(*AXES, *map(col, self.variables)), **axes)
         # Numbers cut the z axis alone, and the scan with it.
         kept = [c for c in self.z.centres if {"overlap": c - h < upper and c + h > lower, "majority": lower <= c <= upper, "inner": c + h <= upper and c - h >= lower}[how]]
@@ -233,10 +236,14 @@ class VoxelModel:
             return out.crossJoin(F.broadcast(out.agg(F.sum("n").alias("_all")))).select("value", (F.col("n") / F.col("_all")).alias("share"))
         rest = [a for a in AXES if a != dim]
         values = self.df.where(col(variable).isNotNull()).select(v).distinct()
-        known = [r.value for r in values.orderBy("value").limit(100_000).collect()]
-        count = F.explode(F.array(*[F.struct(F.lit(k).alias("value"), F.col(f"`_{i}`").alias("n")) for i, k in enumerate(known)]))
-        wide = self.df.groupBy(*rest).agg(*[F.sum(F.when(col(variable) == k, 1).otherwise(0)).alias(f"_{i}") for i, k in enumerate(known)])
-        out = wide.select(*rest, count.alias("c")).select(*rest, "c.value", "c.n")
+        known = sorted(r.value for r in values.limit(MAX_VALUES + 1).collect())
+        if len(known) > MAX_VALUES:
+            raise ValueError(f"{variable} has more than {MAX_VALUES} values: count them with dim=None, or class them first")
+        cells = self.df.groupBy(*rest, v).agg(F.count("*").alias("n"))
+        pair = F.when(F.col("value").isNotNull(), F.struct("value", "n"))
+        counts = cells.groupBy(*rest).agg(F.map_from_entries(F.collect_list(pair)).alias("n"))
+        every = F.explode(F.array(*map(F.lit, known)).cast(f"array<{self.df.schema[variable].dataType.simpleString()}>"))
+        out = counts.select(*rest, every.alias("value"), "n").withColumn("n", F.coalesce(F.element_at("n", F.col("value")), F.lit(0)))
         if not normalize:
             return out
         return out.select(*rest, "value", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*rest))).alias("share"))

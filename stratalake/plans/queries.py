@@ -348,7 +348,7 @@ def _percentiles_sql(names: list[str], only_sand: bool) -> str:
         j = f"len(list_filter(xp, lambda v: v <= {p}))"
         out.append(f"round(case when tot > 0 then case when {j} = 0 then g[1] when {j} = len(xp) then g[len(xp)] else g[{j}] + (g[{j} + 1] - g[{j}]) / (xp[{j} + 1] - xp[{j}]) * ({p} - xp[{j}]) end end, 6) as {n}")
     return f"""with a as (select p_partkey, [{values}] as v from part), b as (select p_partkey, list_transform(range(1, len(v) + 1), lambda i: list_sum(v[1:i])) as s, list_sum(v) as tot from a),
-c as (select p_partkey, tot, list_transform(list_prepend(0.0::double, s), lambda q: q / tot * 100) as xp, [{', '.join(f'{s!r}::double' for s in sizes)}] as g from b where tot > 0)
+c as (select p_partkey, tot, list_transform(list_prepend(0.0::double, s), lambda q: q / nullif(tot, 0) * 100) as xp, [{', '.join(f'{s!r}::double' for s in sizes)}] as g from b)
 select p_partkey, {', '.join(out)} from c"""
 
 
@@ -605,14 +605,6 @@ def raster_values(spark, d):
     return voxel.sample_raster(H(spark, d).select("nr", "x", "y"), grid, "height")
 
 
-@query()
-def transform_coordinates(spark, d):
-    from ..functions import crs
-
-    moved = H(spark, d).withColumns({"x": F.col("x") * 1000 + 100000, "y": F.col("y") * 1000 + 400000})
-    return crs.transform_coordinates(moved, 28992, 4326).select("nr", F.round("x", 6).alias("lon"), F.round("y", 6).alias("lat"))
-
-
 @query("select nr, rule, count(*) as n from (" + BROKEN + """, w as (select nr, unnest(list_filter([case when top >= bottom then 'top is not above bottom' end,
 case when top <= lag(top) over q then 'top is not below the top before' end, case when bottom <= lag(bottom) over q then 'bottom is not below the bottom before' end], lambda r: r is not null)) as rule from b window q as (partition by nr order by pos)) select * from w) group by nr, rule""")
 def validation_errors(spark, d):
@@ -620,8 +612,12 @@ def validation_errors(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import collection_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import collection_queries  # noqa: F401
+
     return dict(ORACLE)
