@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sqlite3
+import tempfile
 import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
@@ -15,10 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import Collection
-from ..functions.geometry import from_wkb
+from ..functions.geometry import from_wkb, wkb_point
+from ..functions.geotech import CLASSES, COARSEST
 from ..operators.layers import adjust_depths
 from ..roles import check_roles, col
 
+#: Columns that files may have between them.
+MAX_COLUMNS = 10_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only on one machine a temporary folder stands in for it.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="stratalake-"))
+    return df.checkpoint()
+
+
+def names_in(rows: DataFrame, maps: str) -> list[str]:
+    """The keys of a map column, in order: the columns that files have between them."""
+    found = sorted(r[0] for r in rows.select(F.explode(F.map_keys(maps))).distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"the files have more than {MAX_COLUMNS} different columns between them")
+    return found
+
+
 # Tables
 
 
@@ -146,7 +174,7 @@ def parse_gef(text: str) -> tuple[dict, list[dict]]:
 
 
 def read_gef(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows of GEF files or folders. The columns are those that any of the files has (one pass over the headers)."""
+    """Rows of GEF files or folders, each parsed once. The columns are those that any of the files has."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][eE][fF]").load(paths).select("path", "content")
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,8 +185,8 @@ def read_gef(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     flat = [(path, header["nr"], header["x"], header["y"], header["surface"], header["end"], i, {k: v for k, v in r.items() if v is not None}) for i, r in enumerate(rows)]
                     yield pd.DataFrame(flat, columns=["path", "nr", "x", "y", "surface", "end", "_pos", "values"])
 
-    rows = files.mapInPandas(parse, "path string, nr string, x double, y double, surface double, end double, _pos int, values map<string,double>")
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("values"))).distinct().limit(1000).collect())
+    rows = settled(files.mapInPandas(parse, "path string, nr string, x double, y double, surface double, end double, _pos int, values map<string,double>"))
+    names = names_in(rows, "values")
     return rows.select("nr", "x", "y", "surface", "end", *[F.element_at("values", n).alias(n) for n in names], "_pos")
 
 
@@ -177,7 +205,7 @@ class XmlSchema:
     delimited block of numbers.
     """
 
-    payload: str
+    payload: str | None
     paths: dict[str, str]
     rows: str | None = None
     attributes: list[str] = field(default_factory=list)
@@ -198,7 +226,32 @@ SCHEMAS = {
     "sfr": _schema("offset", "soilUncovering/SoilUncovering/endDepthSoilFace", "SoilLayer", "soilNameNEN5104", landuse="siteCharacteristic/SiteCharacteristic/soilUse", outcrop_type="soilUncovering/SoilUncovering/outcropType"),
     "cpt": _schema("offset", "conePenetrometerSurvey/trajectory/finalDepth", None, None, predrilled_depth="conePenetrometerSurvey/trajectory/predrilledDepth"),
 }
-SCHEMAS["bhrgt_samples"] = XmlSchema("dispatchDocument", SCHEMAS["bhrgt"].paths, "investigatedInterval", ["beginDepth", "endDepth", "fractionSmaller63um", "fractionLarger63um"])
+#: Samples have a share for each grain-size class, and what is coarser than 63 um or 63 mm as a whole.
+SCHEMAS["bhrgt_samples"] = XmlSchema("dispatchDocument", SCHEMAS["bhrgt"].paths, "investigatedInterval", ["beginDepth", "endDepth", "fractionLarger63um", *[n for n, _ in CLASSES], COARSEST])
+#: Files that a company delivers keep the same parts elsewhere.
+COMPANIES = {
+    ("bhrgt", "Wiertsema"): XmlSchema(
+        "sourceDocument",
+        SCHEMAS["bhrgt"].paths | {"nr": "objectIdAccountableParty", "location": "deliveredLocation/location/Point/pos", "crs": "deliveredLocation/location/Point@srsName"},
+        SCHEMAS["bhrgt"].rows,
+        SCHEMAS["bhrgt"].attributes,
+    )
+}
+
+
+def schema_of(kind: str | XmlSchema, company: str | None = None) -> XmlSchema:
+    """A schema by its kind of survey, and the company whose files are read."""
+    if isinstance(kind, XmlSchema):
+        return kind
+    if kind not in SCHEMAS:
+        raise ValueError(f"no schema {kind!r}; there are {', '.join(SCHEMAS)}")
+    if company is None:
+        return SCHEMAS[kind]
+    if (kind, company) not in COMPANIES:
+        raise ValueError(f"no schema of {company!r} for {kind!r}; there are {', '.join(f'{c} ({k})' for k, c in COMPANIES)}")
+    return COMPANIES[kind, company]
+
+
 NUMERIC = {"surface", "end", "begin_depth", "ghg", "glg", "groundwater_level", "predrilled_depth"}
 MISSING = -999999.0
 
@@ -246,22 +299,27 @@ def parse_survey(payload: ET.Element, schema: XmlSchema) -> tuple[dict[str, Any]
     return head, rows
 
 
-def read_xml(spark: SparkSession, paths: str | list[str], kind: str | XmlSchema, read_all: bool = True, crs: int | None = None) -> Collection:
+def read_xml(spark: SparkSession, paths: str | list[str], kind: str | XmlSchema, read_all: bool = True, crs: int | None = None, company: str | None = None) -> Collection:
     """Surveys of XML files as a collection in one reference system; end as an elevation.
 
-    ElementTree resolves no external entities. Locations of geographic systems come as latitude, longitude.
+    ElementTree resolves no external entities. Locations of geographic systems come as latitude, longitude. A file
+    without the schema's payload is an error; a schema without one reads the document's own elements.
     """
-    if isinstance(kind, str) and kind not in SCHEMAS:
-        raise ValueError(f"no schema {kind!r}; there are {', '.join(SCHEMAS)}")
-    schema = SCHEMAS[kind] if isinstance(kind, str) else kind
-    files = spark.read.format("binaryFile").load(paths).select("content")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return surveys_of(files, schema_of(kind, company), read_all, crs)
+
+
+def surveys_of(files: DataFrame, schema: XmlSchema, read_all: bool = True, crs: int | None = None) -> Collection:
+    """The surveys of XML files given as rows (path, content)."""
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for content in pdf["content"]:
+            for path, content in zip(pdf["path"], pdf["content"]):
                 root = ET.fromstring(bytes(content))
-                holder = next((e for e in root.iter() if local(e) == schema.payload), root)
+                holder = next((e for e in root.iter() if local(e) == schema.payload), None) if schema.payload else root
+                if holder is None:
+                    raise ValueError(f"{path} has no {schema.payload}: the schema is one for other files")
                 for payload in list(holder) if read_all else list(holder)[:1]:
                     head, rows = parse_survey(payload, schema)
                     a, b = (*map(_number, re.split(r"[\s,;]+", (head.pop("location", None) or "").strip())), None, None)[:2]
@@ -275,12 +333,13 @@ def read_xml(spark: SparkSession, paths: str | list[str], kind: str | XmlSchema,
             if out:
                 yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "epsg", "meta", "_pos", "row"])
 
-    rows = files.mapInPandas(parse, "nr string, x double, y double, surface double, end double, epsg int, meta map<string,string>, _pos int, row map<string,string>")
+    rows = settled(files.select("path", "content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, epsg int, meta map<string,string>, _pos int, row map<string,string>"))
     systems = [r[0] for r in rows.select("epsg").distinct().limit(3).collect() if r[0] is not None]
     if len(systems) > 1:
         raise ValueError(f"the files are in several reference systems: {systems}")
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("row"))).distinct().limit(1000).collect())
-    heads = sorted(r[0] for r in rows.select(F.explode(F.map_keys("meta"))).distinct().limit(1000).collect())
+    # A schema's attributes are columns also where no survey has a value.
+    names = sorted({*names_in(rows, "row"), *schema.attributes})
+    heads = names_in(rows, "meta")
     rename = {"upperBoundary": "top", "lowerBoundary": "bottom", "beginDepth": "top", "endDepth": "bottom"}
     number = lambda n, c: c.try_cast("double") if n in rename or n.startswith("fraction") or schema.values else c
     data = rows.select("nr", "x", "y", "surface", "end", *[number(n, F.element_at("row", n)).alias(rename.get(n, n)) for n in names], *[F.element_at("meta", h).alias(h) for h in heads])
@@ -313,8 +372,8 @@ def read_boris_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "top", "bottom", "values"])
 
-    rows = files.mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>")
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("values"))).distinct().limit(1000).collect())
+    rows = settled(files.mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>"))
+    names = names_in(rows, "values")
     return rows.select("nr", "x", "y", "surface", "end", "top", "bottom", *[F.element_at("values", n).alias(n) for n in names])
 
 
@@ -368,6 +427,64 @@ def geometry_of(blob: bytes):
     return from_wkb(bytes(blob[8 + envelope :]))
 
 
+#: The tables of a register's cone penetration tests, the main layer first.
+CPT_TABLES = (
+    "geotechnical_cpt_survey", "delivered_location", "bro_location", "bro_point", "delivered_vertical_position",
+    "cone_penetrometer_survey", "trajectory", "processing", "cone_penetrometer", "zero_load_measurement", "parameters",
+    "cone_penetration_test", "cone_penetration_test_result", "dissipation_test", "dissipation_test_result",
+    "additional_investigation", "removed_layer", "registration_history", "nga_properties",
+)
+
+
+class CptGeopackage:
+    """A GeoPackage of cone penetration tests: its tables by name, and the locations as a Spark join.
+
+    A child table holds its parent's key as ``<parent>_fk``; a parent's own key is ``<table>_pk``, that of the main
+    layer ``fid``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        with Geopackage(spark, path) as g:
+            there = set(g.layers()) | {r[0] for r in g.db.execute("select name from sqlite_master where type = 'table'")}
+            if CPT_TABLES[0] not in there:
+                raise ValueError(f"{path} has no layer {CPT_TABLES[0]}")
+            self.tables = {t: g.read_table(t) for t in CPT_TABLES if t in there}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in CPT_TABLES:
+            raise KeyError(f"{name} is no table; there are {', '.join(CPT_TABLES)}")
+        return self.tables[name]
+
+    @property
+    def surveys(self) -> DataFrame:
+        """The main layer, without its geometry blob."""
+        return self[CPT_TABLES[0]].drop("geom")
+
+    def with_child(self, parent: DataFrame, parent_name: str, child_name: str) -> DataFrame:
+        """parent joined with the rows of a child table; columns of both names come from the parent."""
+        key = "fid" if parent_name == CPT_TABLES[0] else f"{parent_name}_pk"
+        child = self[child_name]
+        child = child.select(col(f"{parent_name}_fk").alias("_fk"), *[col(c) for c in child.columns if c not in (*parent.columns, "geom", f"{parent_name}_fk")])
+        return parent.join(child, parent[key] == F.col("_fk")).drop("_fk")
+
+    def select_location_info(self) -> DataFrame:
+        """A survey's delivered positioning, reference system and coordinates, a row a point."""
+        out, before = self.surveys.select("fid"), CPT_TABLES[0]
+        for name in CPT_TABLES[1:4]:
+            out, before = self.with_child(out, before, name), name
+        return out.select("fid", "horizontal_positioning_date", "horizontal_positioning_method", "crs", "x_or_lon", "y_or_lat")
+
+
+def read_geoparquet(spark: SparkSession, path: str) -> DataFrame:
+    """A GeoParquet table with its geometries as WKB, and for points their coordinates x and y (null for others)."""
+    df = spark.read.parquet(path)
+    name = next((c for c, t in df.dtypes if t == "binary" and c.lower() in ("geometry", "geom")), None)
+    if name is None:
+        raise ValueError(f"{path} has no column of geometries")
+    x, y = wkb_point(col(name))
+    return df.withColumns({k: v for k, v in (("x", x), ("y", y)) if k not in df.columns})
+
+
 def read_collection_geopackage(spark: SparkSession, path: str, crs: int | None = None, vertical_datum: int | None = None) -> Collection:
     with Geopackage(spark, path) as g:
         head, data = (t.drop("fid", "geom") for t in (g.read_table("header"), g.read_table("data")))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 import struct
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +69,39 @@ def to_kingdom(df: DataFrame, path: str, tdstart: int = 1, vw: float = 1500, vs:
     kingdom_tdchart(df, tdstart, vw, vs).orderBy("id", "MD").write.mode("overwrite").csv(f"{path}/tdchart", header=True)
 
 
-def to_geoparquet(header: DataFrame, path: str) -> None:
-    """The header with its points as WKB, made by column expressions."""
+def to_geoparquet(header: DataFrame, path: str, crs: int | None = None) -> None:
+    """The header with its points as WKB, in Parquet files that carry the ``geo`` metadata, a file a partition.
+
+    Spark's writer has no key for a file's metadata, so tasks write their files with Arrow under names of their own;
+    files of tasks that did not succeed are deleted.
+    """
     roles = Roles.of(header)
-    header.withColumn("geometry", point_wkb(col(roles.x), col(roles.y))).write.mode("overwrite").parquet(path)
+    made = header.withColumn("geometry", point_wkb(col(roles.x), col(roles.y)))
+    column = {"encoding": "WKB", "geometry_types": ["Point"]}
+    if crs:
+        column["crs"] = {"type": "ProjectedCRS" if crs not in (4326, 4258) else "GeographicCRS", "name": f"EPSG:{crs}", "id": {"authority": "EPSG", "code": crs}}
+    geo = json.dumps({"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": column}})
+    folder = header.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(header.sparkSession._jsc.hadoopConfiguration())
+    system.delete(folder, True)
+    system.mkdirs(folder)
+    uri = system.makeQualified(folder).toString()
+
+    def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
+        fs, inside = (pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
+        for batch in it:
+            if writer is None:
+                writer = pq.ParquetWriter(f"{inside}/{name}", batch.schema.with_metadata({"geo": geo}), filesystem=fs)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    kept = {r.name for r in made.mapInArrow(write, "name string").collect()}
+    for status in system.listStatus(folder):
+        if status.getPath().getName() not in kept:
+            system.delete(status.getPath(), True)
 
 
 def to_geopackage(tables: dict[str, DataFrame], path: str, crs: int | None = None) -> None:
