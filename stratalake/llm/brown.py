@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, freed_shuffles, open_fs, slices, utf8
+from .common import Scratch, crc_mod, lean, open_fs, slices, utf8
 
 CLASSES, SWEEPS = 48, 6
 BLOCK_BYTES = 32 << 20  # the larger, the fewer rows for a word
@@ -131,7 +131,8 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), (crc_mod("doc_id", 10) == 0).alias("held_out"))
-    return scratch.table(rows.mapInArrow(store, "block long, num int, word binary, n long"), "store")
+    with lean(docs.sparkSession):
+        return scratch.table(rows.mapInArrow(store, "block long, num int, word binary, n long"), "store")
 
 
 def bigrams(flat: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +331,7 @@ def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tupl
     blocks = blocks.repartition(size, "block")
     numbers = store.select("block", "num", "word").join(counts, "word").select("block", "num", "wid", "n", (F.col("home") == F.col("block")).cast("int").alias("home"), "turn", "class")
     marks = blocks.select("block", F.lit(-1).alias("num"), F.lit(-1).alias("class"))
-    with freed_shuffles(spark):
+    with lean(spark):
         table = recode(numbers, folder, size, 0)
         base, trace = 0, [objective(table)]
         for step in range(1, sweeps + 1):

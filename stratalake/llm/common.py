@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: White space that separates words: space, and U+0009 to U+000D. ``bytes.split()`` splits at the same six.
 SPACE = " \t\n\x0b\x0c\r"
 #: ASCII capitals and the letters they become; other letters keep their case.
+BATCH_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,14 +68,18 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordB
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this, a query's shuffle files go when it ends, not when the driver next collects garbage."""
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within this, Arrow batches hold BATCH_BYTES at most, as each task has some of them outside the heap, and a query's
+    shuffle files go when it ends, not when the driver next collects garbage. The session's own settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), CLEANUP: "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -109,3 +115,28 @@ def with_extra(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of df apart from those an operator sets itself; names compare without case, as Spark's do."""
     low = {x.lower() for x in taken}
     return [c for c in df.columns if c.lower() not in low]
+
+
+def least(rows: DataFrame, group: str, n: int, parts: int = 64) -> DataFrame:
+    """(group, bound): the n-th least distinct hash ``u`` of each group, or its last if there are fewer.
+
+    Each task keeps the n least of its own, and so does each of ``parts`` ranges of hashes after it: no more than
+    n * parts numbers of a group meet.
+    """
+
+    def keep(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in it:
+            names, u = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            own: dict[str, list[int]] = {}
+            for i, k in enumerate(names):
+                own.setdefault(k, []).append(i)
+            for k, at in own.items():
+                found[k] = np.unique(np.concatenate([found.get(k, u[:0]), u[at]]))[:n]
+        for k, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.string()), pa.array(v, pa.int64())], names=[group, "u"])
+
+    schema = f"`{group}` string, u long"
+    kept = rows.select(group, "u").mapInArrow(keep, schema).repartition(parts, "u").mapInArrow(keep, schema)
+    ranked = kept.groupBy(group).agg(F.sort_array(F.collect_list("u")).alias("u"))
+    return ranked.select(group, F.get("u", F.least(F.lit(n), F.size("u")) - 1).alias("bound"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, freed_shuffles, slices, utf8
+from .common import Scratch, lean, slices, utf8
 from .graph import components
 
 WORDS = 5
@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     What is left in scratch afterwards is what the result reads: a row a document and a row a node.
     """
-    with freed_shuffles(docs.sparkSession):
+    with lean(docs.sparkSession):
         first = scratch.table(document_sets(docs), "first")
         info = scratch.table(first.drop("prefix"), "info")
         live = scratch.table(live_nodes(first), "live")

@@ -19,43 +19,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, crc_mod
+from .common import crc_mod, least, slices
 
 DOCS, PIECE, CHUNK, LEVEL = 256, 512, 2048, 3
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def least(rows: DataFrame, n: int) -> DataFrame:
-    """(lang, bound): the n-th least distinct hash u of each language, or its last if there are fewer.
-
-    Each task keeps the n least of its own, so n numbers a language and task are shuffled.
-    """
-
-    def keep(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
-        for batch in it:
-            lang, u = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            own: dict[str, list[int]] = {}
-            for i, k in enumerate(lang):
-                own.setdefault(k, []).append(i)
-            for k, at in own.items():
-                found[k] = np.unique(np.concatenate([found.get(k, u[:0]), u[at]]))[:n]
-        for k, v in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.string()), pa.array(v, pa.int64())], names=["lang", "u"])
-
-    kept = rows.select("lang", "u").mapInArrow(keep, "lang string, u long").distinct()
-    ranked = kept.groupBy("lang").agg(F.sort_array(F.collect_list("u")).alias("u"))
-    return ranked.select("lang", F.get("u", F.least(F.lit(n), F.size("u")) - 1).alias("bound"))
-
-
 def dictionaries(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE, seed: int = 7) -> dict[str, bytes]:
     """Raw-content dictionaries from (text, lang) rows; at most docs * piece characters a language reach the driver.
 
@@ -65,7 +41,7 @@ def dictionaries(labelled: DataFrame, docs: int = DOCS, piece: int = PIECE, seed
     start = F.greatest(F.lit(1), F.floor((F.char_length("text") - piece) / 2)).cast("int")
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.select("lang", F.substr("text", start, F.lit(piece)).alias("piece")).where("piece != ''").withColumn("u", F.xxhash64(F.lit(seed), "piece"))
-    bound = {r["lang"]: r["bound"] for r in least(rows, docs).collect()}
+    bound = {r["lang"]: r["bound"] for r in least(rows, "lang", docs).collect()}
     if not bound:
         return {}
     top = F.element_at(F.create_map(*[F.lit(v) for kv in bound.items() for v in kv]), F.col("lang"))

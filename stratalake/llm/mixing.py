@@ -31,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 EPOCHS = 2
 BUCKET_ROWS = 10_000
+MAX_PATTERNS = 200_000  # of sources that documents belong to: what the driver holds
 SEED = 20_240_229
 
 
@@ -144,7 +145,9 @@ def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[
     (long), which tells rows of one doc_id apart; reads sized twice."""
     spark = sized.sparkSession
     sized = sized.withColumn("pattern", F.sort_array(F.array_distinct(F.coalesce("members", F.array().cast("array<string>")))))
-    patterns = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    patterns = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(patterns) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: too many for one flow; class the sources first")
     members = {tuple(r.pattern): tuple(r.pattern) for r in patterns}
     supply, rows = {tuple(r.pattern): r.size for r in patterns}, {tuple(r.pattern): r.n for r in patterns}
     sizes: dict[str | None, int] = defaultdict(int)

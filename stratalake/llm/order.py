@@ -26,7 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, freed_shuffles, open_fs, slices
+from .common import Scratch, lean, open_fs, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's publisher gives for splitting texts.
@@ -115,7 +115,8 @@ def materialise_order(
         if f.size() > MAX_VOCABULARY:
             raise ValueError(f"the vocabulary has {f.size()} bytes; at most {MAX_VOCABULARY} are broadcast")
         words = spark.sparkContext.broadcast(f.read())
-    table = scratch.table(token_table(docs, words), "tokens", compression="zstd")
+    with lean(spark):
+        table = scratch.table(token_table(docs, words), "tokens", compression="zstd")
     ends = table.groupBy("part").agg(F.max(F.col("start") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
     starts, total = {}, 0
     for r in sorted(ends):
@@ -181,7 +182,7 @@ def materialise_order(
     shards = -(-n // shard_sequences)
     waves = min(WAVES, shards)
     out_rows = None
-    with freed_shuffles(spark):
+    with lean(spark):
         for w in range(waves):
             low, high = w * shards // waves, (w + 1) * shards // waves
             pieces = table.mapInArrow(lambda it, low=low, high=high: cut(it, low, high), "shard int, slot long, sequence long, pos int, doc_id long, ids binary")

@@ -134,16 +134,17 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumns({"base_failed": base_failed(), "kept": verdict()}).select(*counted.columns, "base_failed", "kept")
 
 
-def quality_rules(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The counts and verdict of each (doc_id, text, lang, source) row."""
+def quality_rules(docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP) -> DataFrame:
+    """The counts and verdict of each (doc_id, text, lang, source) row. A language and source with fewer than min_group
+    rows that pass the base rule take the thresholds of the language, one with fewer those of all rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     counted = scratch.table(with_counts(rows).drop("text"), "counts")
-    return judge(counted, scratch.table(thresholds(sketches(counted)), "thresholds"))
+    return judge(counted, scratch.table(thresholds(sketches(counted), min_group), "thresholds"))
 
 
-def keep_good(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keep_good(docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of docs that pass, with all their columns as they were."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").alias("_text"))
     counted = scratch.table(with_counts(rows, "_text").drop("_text"), "counted")
-    limits = scratch.table(thresholds(sketches(counted)), "thresholds")
+    limits = scratch.table(thresholds(sketches(counted), min_group), "thresholds")
     return judge(counted, limits).where("kept").select("row.*")

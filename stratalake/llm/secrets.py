@@ -5,9 +5,10 @@ follows ``password=`` and the like: names with affixes, in quotes or not, a valu
 line, any other to white space, a quote or one of ``,;|``. None has an upper length. Its
 features are its length, character classes and the transitions between them, how surprising its letter pairs are
 against the dictionary's, how much of it dictionary words cover, the path it stands in and the document's own, and
-the words beside it. Spark's random forest learns from a table of labelled findings; :func:`generated_findings` makes
-one by rule (keys of public formats in assignments against digests, identifiers, placeholders, paths and words) for
-use where there is no reviewed one, as here, where the tables hold no labelled findings.
+the words beside it. Spark's random forest learns from a table of labelled findings. Where there is no reviewed one, as
+here, where the tables hold no labelled findings, :func:`planted_findings` makes one: keys of public formats in
+assignments, against digests, identifiers, placeholders, paths and words, put into the text of PIECES distinct
+documents (those of least hash: a documented bound) and found there by the scan's own candidates.
 
 The dictionary is the DICTIONARY most frequent words of letters, counted over all texts: the size of the model, a
 documented parameter, which bounds what is broadcast.
@@ -24,6 +25,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -33,9 +35,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8
+from .common import Scratch, lean, least, slices, utf8
 
 DICTIONARY = 20_000
+PIECES, PIECE = 2000, 400
 FLUSH = 500_000
 TREES, DEPTH, THRESHOLD, SEED = 40, 8, 0.5, 11
 #: A private key, or a name with a key word in it and the value assigned to it, if there is one.
@@ -71,7 +74,8 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 
     words = docs.select(utf8("text").alias("text")).mapInArrow(count, "word string, n long").where("length(word) between 4 and 20")
     scratch = Scratch(docs.sparkSession, "dictionary")
-    counts = scratch.table(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    with lean(docs.sparkSession):
+        counts = scratch.table(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     # A histogram of the counts, eight cells to a doubling, leaves few words more than wanted to be put in order.
     cell, low, n = F.floor(F.log2("n") * 8), 0, 0
     for r in sorted(counts.groupBy(cell.alias("cell")).count().collect(), reverse=True):
@@ -205,6 +209,45 @@ def generated_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str,
     return out
 
 
+def planted_findings(docs: DataFrame, n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+    """Generated findings as the scan meets them in documents' own words; (candidate, before, after, path, label).
+
+    At most PIECES pieces of PIECE characters reach the driver, from the middle of the texts.
+    """
+    start = F.greatest(F.lit(1), F.floor((F.char_length("text") - PIECE) / 2)).cast("int")
+    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    rows = rows.select(F.substr("text", start, F.lit(PIECE)).alias("piece"), "source").where("piece like '% %'").withColumn("u", F.xxhash64(F.lit(seed), "piece"))
+    bound = least(rows.withColumn("all", F.lit("")), "all", PIECES).first()
+    if bound is None:
+        return generated_findings(n, seed)
+    pieces = rows.where(F.col("u") <= bound["bound"]).groupBy("piece").agg(F.min("source").alias("source")).orderBy("piece").collect()
+    r, out = random.Random(seed), []
+    for i, (candidate, before, after, path, label) in enumerate(generated_findings(n, seed)):
+        piece, source = pieces[i % len(pieces)]
+        at = piece.index(" ", r.randrange(piece.rindex(" ") + 1))
+        lead = " ".join(before.split(" ")[3:])  # the keywords, without the words before them
+        text = f"{piece[:at]} {lead}{candidate} {after.lstrip()}{piece[at:]}"
+        begin = at + 1 + len(lead)
+        for a, b, _ in candidates(text):
+            if a < begin + len(candidate) and b > begin:
+                out.append((text[a:b], text[max(0, a - 60) : a], text[b : b + 30], path or source, label))
+    return out
+
+
+def held_out(docs: DataFrame, threshold: float = THRESHOLD) -> dict[str, float]:
+    """Precision and recall on planted findings in documents that the forest has not learnt from, and their number."""
+    found = planted_findings(docs)
+    apart = lambda f: zlib.crc32(f[1][:20].encode()) % 4 == 0  # noqa: E731  the piece's own words
+    features = Features(dictionary(docs))
+    model = train(docs.sparkSession, [f for f in found if not apart(f)], features)
+    rows = [(features.of(*f[:4]), float(f[4])) for f in found if apart(f)]
+    test = docs.sparkSession.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
+    said = model.transform(test).select("label", (vector_to_array("probability")[1] >= threshold).alias("p")).groupBy("label", "p").count().collect()
+    n = {(r["label"], r["p"]): r["count"] for r in said}
+    right = n.get((1.0, True), 0)
+    return {"precision": right / max(1, right + n.get((0.0, True), 0)), "recall": right / max(1, right + n.get((1.0, False), 0)), "n": sum(n.values())}
+
+
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], features: Features, seed: int = SEED) -> RandomForestClassificationModel:
     rows = [(features.of(*f[:4]), float(f[4])) for f in findings]
     data = spark.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
@@ -215,7 +258,7 @@ def scan(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None
     """A row a candidate of (doc_id, text, source) rows: doc_id, begin, end, kind, sha256, probability, is_secret."""
     spark = docs.sparkSession
     words = dictionary(docs)
-    model = train(spark, findings or generated_findings(), Features(words))
+    model = train(spark, findings or planted_findings(docs), Features(words))
     shared = spark.sparkContext.broadcast(words)
 
     def find(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

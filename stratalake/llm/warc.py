@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, open_fs
+from .common import Scratch, lean, open_fs, slices
 
 RECORD = "urn:page:"
 CHUNK = 1 << 20
@@ -220,10 +220,11 @@ def read_records(index: DataFrame) -> DataFrame:
 
 def archive_pages(pages: DataFrame, scratch: Scratch, min_bytes: int = 1000) -> DataFrame:
     """Write all pages, normalise the archives and read them back, a row a page."""
-    manifest = scratch.table(write_monolithic(resolve(pages, scratch, min_bytes), scratch.path("mono")), "manifest")
-    index = None
-    for wave in range(WAVES):
-        part = scratch.table(normalise(manifest.where(F.col("wave") == wave), scratch.path("warc")), f"index-{wave}")
-        index = part if index is None else index.union(part)
-        scratch.drop(f"mono/{wave}")
+    with lean(pages.sparkSession):
+        manifest = scratch.table(write_monolithic(resolve(pages, scratch, min_bytes), scratch.path("mono")), "manifest")
+        index = None
+        for wave in range(WAVES):
+            part = scratch.table(normalise(manifest.where(F.col("wave") == wave), scratch.path("warc")), f"index-{wave}")
+            index = part if index is None else index.union(part)
+            scratch.drop(f"mono/{wave}")
     return read_records(index)

@@ -33,3 +33,43 @@ def test_stages_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     seen = {d for r in out.collect() for d in r.doc_ids}
     assert seen == set(ids[3]) and sorted(r.slot for r in out.collect()) == list(range(out.count()))
+
+
+def write(spark, path, docs, schema, items=()):
+    spark.createDataFrame(docs, schema).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_empty_documents(spark, tmp_path):
+    sf = write(spark, tmp_path, [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_empty_benchmark_and_clashing_columns(spark, tmp_path):
+    text = lambda i: " ".join(f"w{(i * 31 + j * 17) % 997}x{j}" for j in range(80))
+    schema = "doc_id long, text string, lang string, source string, row string, size string, members string, words string, node string, key string, u string, n_words string, kept string"
+    rows = [(i, text(i), "en", "s", *("abcdefghi"[k] * 2 for k in range(9))) for i in range(30)] + [(31, text(5), "en", "s", *["zz"] * 9)]
+    sf = write(spark, tmp_path, rows, schema)
+    now, columns = spark.read.parquet(f"{sf}/documents.parquet"), None
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, now, sf)
+        columns = columns or out.columns
+        assert out.columns == columns == [c.split()[0] for c in schema.split(", ")]
+        out.write.parquet(str(tmp_path / f"out{i}"))
+        now = spark.read.parquet(str(tmp_path / f"out{i}"))
+    kept = [tuple(r) for r in now.collect()]
+    assert set(kept) <= set(rows) and {r[0] for r in kept} <= set(range(30)) and len(set(kept)) > 20
+    assert {d for r in corpus_pipeline.run(spark, sf).collect() for d in r.doc_ids} == {r[0] for r in kept}
+
+
+def test_a_stage_drops_what_the_one_before_left(spark, tmp_path):
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:").replace("//", "/")) / "stratalake"
+    before = set(root.glob("pipeline-*")) if root.exists() else set()
+    sf = write(spark, tmp_path, [(i, " ".join(f"w{(i * 31 + j * 17) % 997}x{j}" for j in range(80)), "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    manifest = corpus_pipeline.run(spark, sf)
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("pipeline-*")) - before if any(p.rglob("*.parquet")) or any(p.rglob("*.bin"))}
+    assert "pipeline-order" in left and not left & {"pipeline-quality", "pipeline-near", "pipeline-mix"}
+    assert all(Path(r.path.removeprefix("file:").replace("//", "/")).exists() for r in manifest.select("path").distinct().collect())

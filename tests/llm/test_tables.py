@@ -158,3 +158,21 @@ def test_url_rules_are_all_the_irredundant_ones(spark):
         got = {(k, v): c for k, v, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.6)}
         assert got == want
         assert any(len(k) > 3 for k, _ in got)
+
+
+def test_long_urls_and_ties(spark):
+    long = "http://a.net/" + "x" * 100_000 + "?" + "&".join(f"q{i}=1" for i in range(2000))
+    rows = [(1, long), (2, "http://b.de/p/q?id=1"), (2, "http://b.de/p/q?id=1"), (3, "http://"), (4, "no scheme"), (5, "http://c.org/fr/"), (None, "http://d.net/")]
+    got = sorted((str(r.page_id), r.host, len(r.path), r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got[0] == ("1", "a.net", 100_001, "net/", "block") and got[1][:3] == got[2][:3] == ("2", "b.de", 4) and got[1] == got[2]
+    assert got[3][1:3] == ("", 0) and got[4][1:3] == ("", 0) and got[5][3:] == ("org/fr/", "allow") and got[6][3] == "net/"
+
+
+def test_too_many_patterns_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    df = spark.createDataFrame([(i, 10, [f"s{i}"]) for i in range(6)], "doc_id long, size long, members array<string>")
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.choose(df, Scratch(spark, "t"))
+    assert mixing.choose(df.limit(5), Scratch(spark, "t")).count() == 5

@@ -54,3 +54,11 @@ def test_several_members_and_cut_streams():
 def test_empty_table(spark):
     out = warc.archive_pages(spark.createDataFrame([], SCHEMA), Scratch(spark, "t"))
     assert out.count() == 0
+
+
+def test_payloads_of_several_megabytes(spark):
+    texts = ["".join(chr(97 + (i * i * k) % 26) for i in range(3_000_000)) for k in (1, 3)]
+    df = spark.createDataFrame([(1, "u", texts[0]), (2, "v", texts[1]), (3, "w", texts[0])], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(df, Scratch(spark, "t")).collect())
+    digests = [hashlib.sha1(t.encode()).hexdigest() for t in texts]
+    assert got == [(1, 3_000_000, digests[0], "revisit", 3), (2, 3_000_000, digests[1], "response", None), (3, 3_000_000, digests[0], "response", None)]
