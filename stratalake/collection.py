@@ -15,6 +15,7 @@ from .operators import header as header_
 from .operators import layers, selection, spatial, validation
 from .predicates import column_name_from
 from .roles import Roles, col
+from .storage import settled
 
 
 class AlignmentWarning(UserWarning):
@@ -194,6 +195,10 @@ class Collection:
 
     # Storage
 
+    def settled(self) -> Collection:
+        """Both tables computed once and checkpointed, for several operations on what took long to select."""
+        return replace(self, header=settled(self.header), data=settled(self.data))
+
     def to_parquet(self, path: str, data_table: bool = True) -> None:
         (self.data if data_table else self.header).write.mode("overwrite").parquet(path)
 

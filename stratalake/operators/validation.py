@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,8 @@ def rules(df: DataFrame, order: Column | None = None) -> dict[str, Column]:
 def flagged(df: DataFrame, order: Column | None = None) -> DataFrame:
     """df with the list _errors of the rules that each row breaks."""
     if order is None:
+        if len(df.inputFiles()) > 1:
+            warnings.warn("rows of several files have no order of their own: give a column for it", UserWarning, stacklevel=3)
         df = df.withColumn("_pos", F.monotonically_increasing_id())
     broken = [F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules(df, order).items()]
     return df.withColumn("_errors", F.filter(F.array(*broken), lambda e: e.isNotNull())).drop("_pos")

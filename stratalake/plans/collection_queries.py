@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import Collection
-from ..functions import crs, geometry, units
+from ..functions import crs, geometry, text, units
 from ..operators import header, spatial, validation
 from ..sources import mesh
 from . import derive
@@ -107,6 +107,17 @@ def depth_relative_to_surface(spark, d):
     return header.depth_relative_to_surface(L(spark, d)).select("nr", "x", "y", "top", "bottom", "lith")
 
 
+@query(r"select page_id, regexp_replace(url, '[^\p{L}\p{N}_.,:;!?()\-]', '', 'g') as cleaned from pages")
+def clean_string(spark, d):
+    return derive.table(spark, d, "pages").select("page_id", text.clean_string(F.col("url")).alias("cleaned"))
+
+
+@query("select n_nationkey, case when n_nationkey % 3 = 0 then 'Unknown_height_system_(meters)' when n_nationkey % 3 = 1 then 'LAT depth' else n_name end as datum from nation")
+def vertical_datum(spark, d):
+    named = F.when(F.col("n_nationkey") % 3 == 1, "LAT").when(F.col("n_nationkey") % 3 == 2, F.col("n_name"))
+    return derive.table(spark, d, "nation").select("n_nationkey", text.parse_vertical_datum(named).alias("datum"))
+
+
 # Meshes
 
 

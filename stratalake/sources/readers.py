@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sqlite3
-import tempfile
 import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
@@ -20,25 +19,12 @@ from ..functions.geometry import from_wkb, wkb_point
 from ..functions.geotech import CLASSES, COARSEST
 from ..operators.layers import adjust_depths
 from ..roles import check_roles, col
+from ..storage import settled
 
 #: Columns that files may have between them.
 MAX_COLUMNS = 10_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only on one machine a temporary folder stands in for it.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="stratalake-"))
-    return df.checkpoint()
-
-
 def names_in(rows: DataFrame, maps: str) -> list[str]:
     """The keys of a map column, in order: the columns that files have between them."""
     found = sorted(r[0] for r in rows.select(F.explode(F.map_keys(maps))).distinct().limit(MAX_COLUMNS + 1).collect())

@@ -9,7 +9,7 @@ import pytest
 from stratalake.plans import queries as plans
 
 SF, SF_MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-TABLES = "customer supplier part orders lineitem events documents embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 #: Rare cases show in larger tables only: samples without any grains, units below all layers.
 MORE = ["grain_percentiles", "grain_percentiles_sand", "voxel_boundary_join", "voxel_slice_grid_drop"]
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stratalake.collection import Collection
 from stratalake.functions.geotech import CLASSES, COARSEST, grainsize_fractions, grainsize_percentiles
+from stratalake.operators import validation
 from stratalake.operators.voxel import VoxelModel
+from stratalake import roles
 from stratalake.sources import api, mesh, readers, sinks
 from stratalake.streaming import surveys
 
@@ -250,3 +252,74 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(120)
     last = {r.nr: r.t for r in spark.table("thick").groupBy("nr").agg(F.max("thickness").alias("t")).collect()}
     assert last == {"A": 2.5, "B": 2.0, "C": 1.0}
+
+
+def test_settled_collections_and_files_without_order(spark, tmp_path):
+    rows = [("A", 1.0, 2.0, 0.5, float(i), i + 1.0, "KZ"[i % 2]) for i in range(6)]
+    df = spark.createDataFrame(rows, "nr string, x double, y double, surface double, top double, bottom double, lith string")
+    c = Collection.of(df).slice_by_values("lith", "Z").settled()
+    assert c.data.count() == 3 and len(c) == 1 and "Scan ExistingRDD" in c.data._jdf.queryExecution().toString()
+    df.repartition(3).write.parquet(str(tmp_path / "several"))
+    with pytest.warns(UserWarning, match="no order"):
+        validation.errors(spark.read.parquet(str(tmp_path / "several")))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert validation.errors(spark.read.parquet(str(tmp_path / "one"))).count() == 0
+
+
+def test_two_tables_and_cores(spark, tmp_path):
+    put(tmp_path / "h.csv", "id,x,y,mv\n1,10,20,1.5\n2,30,40,2.5\n")
+    put(tmp_path / "d.csv", "id,van,tot\n1,0,1\n1,1,2\n2,0,3\n")
+    c = readers.read_header_and_data(spark, str(tmp_path / "h.csv"), str(tmp_path / "d.csv"), {"id": "nr", "mv": "surface", "van": "top", "tot": "bottom"})
+    assert sorted((r.nr, r.x, r.surface, r.bottom) for r in c.data.collect()) == [("1", 10, 1.5, 1), ("1", 10, 1.5, 2), ("2", 30, 2.5, 3)]
+    rows = spark.createDataFrame([("c", 1.0, 2.0, 10.0, 12.0), ("c", 1.5, 2.5, 12.0, 15.0)], "hole string, x double, y double, van double, tot double")
+    cores = readers.read_cores(rows, {"hole": "nr", "van": "top", "tot": "bottom"})
+    head = cores.header.first()
+    assert cores.has_inclined and (head.x, head.y, head.surface, head.end) == (1.0, 2.0, -10.0, -15.0)
+    assert sorted((r.top, r.bottom) for r in cores.data.collect()) == [(0.0, 2.0), (2.0, 5.0)]
+
+
+def test_exports(spark, tmp_path):
+    rows = [("A", 1.0, 2.0, 0.5, 0.0, 1.0, "K"), ("A", 1.0, 2.0, 0.5, 1.0, 2.0, "Z")]
+    df = spark.createDataFrame(rows, "nr string, x double, y double, surface double, top double, bottom double, lith string")
+    c = Collection.of(df)
+    c.to_parquet(str(tmp_path / "p"))
+    c.to_csv(str(tmp_path / "c"), data_table=False)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2 and spark.read.csv(str(tmp_path / "c"), header=True).columns == c.header.columns
+    lines = sinks.segment_wkt(sinks.segments_3d(df)).orderBy("top").collect()
+    assert lines[0].wkt == "LINESTRING Z (1.0 2.0 0.51, 1.0 2.0 -0.49)"
+    sinks.to_kingdom(df, str(tmp_path / "k"))
+    assert spark.read.csv(str(tmp_path / "k/intervals"), header=True).count() == 2
+    assert [(r.id, r.MD) for r in spark.read.csv(str(tmp_path / "k/tdchart"), header=True, inferSchema=True).orderBy("id", "MD").collect()] == [(1, 0), (1, 1)]
+
+
+def test_aliases(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1.0)], "bohrung string, Tiefe double")
+    try:
+        roles.add_aliases(depth="tiefe", nr=["bohrung"], save_to=str(tmp_path / "names.json"))
+        assert (roles.Roles.of(df).nr, roles.Roles.of(df).depth) == ("bohrung", "Tiefe")
+        with pytest.raises(KeyError):
+            roles.add_aliases(colour="red")
+        roles.reset_aliases()
+        roles.load_aliases(str(tmp_path / "names.json"))
+        assert roles.Roles.of(df).depth == "Tiefe"
+    finally:
+        roles.reset_aliases(str(tmp_path / "names.json"))
+    with pytest.raises(KeyError):
+        roles.Roles.of(df)
+    assert not (tmp_path / "names.json").exists()
+
+
+def test_model_of_lower_left_corners(spark):
+    cells = spark.createDataFrame([(float(x), float(y), float(z), x + y) for x in (0, 100, 200) for y in (0, 100) for z in (-1, 0)], "x double, y double, z double, lith int")
+    m = VoxelModel.from_lower_left(cells, 100, 1, crs=28992, bbox=(0, 0, 150, 200))
+    assert (m.bounds, m.z_bounds, m.shape) == ((0, 0, 200, 200), (-1, 1), (2, 2, 2))
+
+
+def test_too_many_classes_are_an_error(spark, monkeypatch):
+    from stratalake.operators import voxel
+
+    m = VoxelModel.from_table(spark.createDataFrame([(0.5, 0.5, float(z), z if z % 2 else None) for z in range(9)], "x double, y double, z double, lith int"))
+    assert sorted((r.value, r.n) for r in m.value_counts("lith", dim="z").collect()) == [(1, 1), (3, 1), (5, 1), (7, 1)]
+    monkeypatch.setattr(voxel, "MAX_VALUES", 3)
+    with pytest.raises(ValueError):
+        m.value_counts("lith", dim="z")
