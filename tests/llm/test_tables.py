@@ -100,7 +100,7 @@ def test_mined_rules_equal_brute_force(spark):
         if c >= 0.8 and all(c > p for p in parts):
             want.append((key, x, round(c, 9), round(count[key, x] / len(baskets), 9)))
     df = spark.createDataFrame(baskets, "tokens array<string>, verdict string")
-    got = [(k, x, round(c, 9), round(s, 9)) for k, x, c, s in urls.mine(df, 0.05, 0.8)]
+    got = [(k, x, round(c, 9), round(s, 9)) for k, x, c, s in urls.mine(df, 0.05, 0.8).rules]
     assert sorted(got) == sorted(want) and any(len(k) > 1 for k, *_ in got)
 
 
@@ -139,7 +139,7 @@ def test_mined_rules(spark):
     spam = [(["h:casino", "p:win", f"p:{i}"], "block") for i in range(40)]
     good = [(["h:wiki", "p:win" if i % 2 else "p:page", f"p:{i}"], "allow") for i in range(60)]
     rules = urls.mine(spark.createDataFrame(spam + good, "tokens array<string>, verdict string"), 0.05, 0.8)
-    best = {key: verdict for key, verdict, *_ in rules}
+    best = {key: verdict for key, verdict, *_ in rules.rules}
     assert best[("h:casino",)] == "block" and best[("h:wiki",)] == "allow" and ("p:win",) not in best
     index = urls.RuleIndex(rules)
     assert index.best(["h:casino", "x"])[1] == "block" and index.best(["nothing"]) is None
@@ -155,7 +155,7 @@ def test_url_rules_are_all_the_irredundant_ones(spark):
         count = {(k, v): sum(k <= set(t) and v in (w, None) for t, w in rows) for k in keys for v in (None, "block", "allow")}
         sure = {(k, v): count[k, v] / count[k, None] for k in keys for v in ("block", "allow") if count[k, v] >= 0.02 * len(rows)}
         want = {(tuple(sorted(k)), v): c for (k, v), c in sure.items() if c >= 0.6 and not any(s < k and w == v and d >= c for (s, w), d in sure.items())}
-        got = {(k, v): c for k, v, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.6)}
+        got = {(k, v): c for k, v, c, _ in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.6).rules}
         assert got == want
         assert any(len(k) > 3 for k, _ in got)
 
@@ -176,3 +176,23 @@ def test_too_many_patterns_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError, match="patterns"):
         mixing.choose(df, Scratch(spark, "t"))
     assert mixing.choose(df.limit(5), Scratch(spark, "t")).count() == 5
+
+
+def test_tokens_of_the_same_urls_are_one_class(spark):
+    rows = [([*(f"q{i}" for i in range(300)), "shared"], "block")] * 40 + [(["shared", "other", *(f"r{i}" for i in range(60))], v) for v in ("block", "allow") for _ in range(20)]
+    found = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8)
+    assert [r[0] for r in found.rules] == [("q0",)] and found.classes["q77"] == "q0" and found.classes["r5"] == "other"
+    index = urls.RuleIndex(found)
+    assert index.best(["q123", "x"]) == (0, "block") and index.text(0, ["q123", "x", "q9"]) == "q123" and index.best(["other"]) is None
+
+
+def test_wide_urls_need_more_support_for_combinations(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    monkeypatch.setattr(urls, "WIDEST", 8)
+    rows = [([f"t{k}" for k in range(60) if r.random() < (0.6 if k < 6 else 0.12)], r.choice(["block", "allow"])) for _ in range(400)]
+    rows = [(t, "block" if {"t0", "t1", "t2"} <= set(t) else v) for t, v in rows]
+    found = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.9)
+    best = {k: (v, c) for k, v, c, _ in found.rules}
+    assert best[("t0", "t1", "t2")] == ("block", 1.0) and all(len(k) <= 8 for k in best)
