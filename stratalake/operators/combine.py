@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..roles import Roles, col
-from .voxel import VoxelModel, label_runs
+from .voxel import VoxelModel
 
 
 def add_nearest_voxels(data: DataFrame, model: VoxelModel, data_vars: str | list[str], tolerances: tuple[float, float, float] | None = None) -> DataFrame:
@@ -32,10 +32,13 @@ def add_nearest_voxels(data: DataFrame, model: VoxelModel, data_vars: str | list
     return joined.select(*map(col, data.columns), *map(col, names))
 
 
-def unit_boundaries(columns: DataFrame, nr: str, variable: str, dz: float) -> DataFrame:
-    """(nr, variable, elevation): the lower boundary of each run of equal values going up; runs of nulls are left out."""
-    runs = label_runs(columns, nr, "z", variable).where(col(variable).isNotNull())
-    return runs.groupBy(nr, "run", variable).agg((F.min("z") - dz / 2).alias("elevation")).drop("run")
+def unit_boundaries(model: VoxelModel, variable: str) -> DataFrame:
+    """(x, y, variable, elevation): the lower boundary of each run of equal values going up a voxel column; runs of nulls
+    are left out."""
+    below = F.lag(col(variable)).over(Window.partitionBy("x", "y").orderBy("z"))
+    cells = model[variable].withColumn("_below", below)
+    starts = cells.where(col(variable).isNotNull() & (F.col("_below").isNull() | (F.col("_below") != col(variable))))
+    return starts.select("x", "y", variable, (F.col("z") - model.z.step / 2).alias("elevation"))
 
 
 def reset_tops(data: DataFrame) -> DataFrame:
@@ -54,13 +57,14 @@ def split_at_voxel_units(data: DataFrame, header: DataFrame, model: VoxelModel,
     roles.need("surface", "depth")
     nr, depth = roles.nr, roles.depth
     h = Roles.of(header)
-    points = header.select(col(h.nr).alias(nr), col(h.x).cast("double").alias("x"), col(h.y).cast("double").alias("y"))
-    bounds = unit_boundaries(model.select_with_points(points, nr), nr, variable, model.z.step)
-    if h.surface in header.columns:
-        surfaces = header.select(col(h.nr).alias(nr), col(h.surface).alias("_surface"))
-    else:
-        surfaces = data.groupBy(nr).agg(F.first(col(roles.surface)).alias("_surface"))
-    bounds = bounds.join(surfaces, nr).where(F.col("elevation") < F.col("_surface"))
+    # The runs of a column are found once, however many surveys stand in it.
+    known = h.surface is not None
+    points = header.select(col(h.nr).alias(nr), col(h.x).cast("double").alias("_x"), col(h.y).cast("double").alias("_y"), *([col(h.surface).alias("_surface")] if known else []))
+    points = model.snap(points, F.col("_x"), F.col("_y"))
+    bounds = points.join(unit_boundaries(model, variable), (F.col("_cx") == F.col("x")) & (F.col("_cy") == F.col("y")))
+    if not known:
+        bounds = bounds.join(data.groupBy(nr).agg(F.first(col(roles.surface)).alias("_surface")), nr)
+    bounds = bounds.where(F.col("elevation") < F.col("_surface"))
     new = bounds.select(nr, (F.col("_surface") - F.col("elevation")).alias(depth), col(variable), F.lit(1).alias("_src"))
     rows = data.withColumns({variable: F.lit(None).cast(model.df.schema[variable].dataType), "_src": F.lit(0)}).unionByName(new, allowMissingColumns=True)
     # From the deepest row up, so that the frame ends at the current row and grows by one.

@@ -65,9 +65,7 @@ class VoxelModel:
         if bbox:
             df = df.where((F.col("x") >= bbox[0]) & (F.col("y") >= bbox[1]) & (F.col("x") <= bbox[2]) & (F.col("y") <= bbox[3]))
         df = df.withColumns({n: F.nanvl(col(n), F.lit(None)) for n, t in df.dtypes if t in ("double", "float") and n in names})
-        row = df.agg(*[f(a).alias(f"{a}{k}") for a in AXES for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count_distinct))]).first()
-        axes = {a: Axis(row[f"{a}lo"], (row[f"{a}hi"] - row[f"{a}lo"]) / (row[f"{a}n"] - 1) if row[f"{a}n"] > 1 else 1.0, row[f"{a}n"]) for a in AXES}
-        return cls(df, crs=crs, **axes)
+        return cls(df, crs=crs, **axes_of(df, AXES))
 
     @classmethod
     def from_lower_left(cls, df: DataFrame, cellsize: float, dz: float, crs: int | None = None, bbox: tuple[float, float, float, float] | None = None, data_vars: Sequence[str] | None = None) -> VoxelModel:
@@ -249,6 +247,13 @@ class VoxelModel:
         return out.select(*rest, "value", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*rest))).alias("share"))
 
 
+def axes_of(df: DataFrame, names: Sequence[str]) -> dict[str, Axis]:
+    """The axes of a table of cells: one pass, with the coordinates of an axis as a set in each task, which is no larger
+    than the grid is wide (distinct counts would lay every row out once an axis)."""
+    row = df.agg(*[f.alias(f"{a}{k}") for a in names for k, f in (("lo", F.min(a)), ("hi", F.max(a)), ("n", F.size(F.collect_set(a))))]).first()
+    return {a: Axis(row[f"{a}lo"], (row[f"{a}hi"] - row[f"{a}lo"]) / (row[f"{a}n"] - 1) if row[f"{a}n"] > 1 else 1.0, row[f"{a}n"]) for a in names}
+
+
 def _axis_of(centres: Sequence[float], step: float) -> Axis:
     """The axis of kept centres, which stay regular where every one is kept."""
     if len(centres) > 1:
@@ -269,8 +274,7 @@ def sample_raster(df: DataFrame, raster: DataFrame, name: str = "value") -> Data
     """Add the value of the nearest cell of a raster (x, y, value); null outside it."""
     if not {"x", "y", "value"} <= set(raster.columns):
         raise TypeError("a raster has the columns x, y and value")
-    r = raster.agg(*[f(a).alias(f"{a}{k}") for a in ("x", "y") for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count_distinct))]).first()
-    axes = {a: Axis(r[f"{a}lo"], (r[f"{a}hi"] - r[f"{a}lo"]) / (r[f"{a}n"] - 1) if r[f"{a}n"] > 1 else 1.0, r[f"{a}n"]) for a in ("x", "y")}
+    axes = axes_of(raster, ("x", "y"))
     roles = Roles.of(df)
     x, y = col(roles.x).cast("double"), col(roles.y).cast("double")
     inside = (x >= axes["x"].low) & (x <= axes["x"].high) & (y >= axes["y"].low) & (y <= axes["y"].high)
