@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -37,15 +39,68 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(or_, conditions) if conditions else F.lit(False)
 
 
+#: From this many edges on, a geometry is a constant of edges by strips of y in place of a term an edge.
+MANY_EDGES = 60
+Edge = tuple[float, float, float, float]
+Test = Callable[[Column, Column, Column, Column], Column]
+
+
+def _distance2(x: Column, y: Column, px: Column, py: Column, qx: Column, qy: Column) -> Column:
+    """segment_distance2 for edges that are columns."""
+    dx, dy = qx - px, qy - py
+    t = F.coalesce(F.try_divide((x - px) * dx + (y - py) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    ex, ey = x - (px + t * dx), y - (py + t * dy)
+    return ex * ex + ey * ey
+
+
+def _over_strip(y: Column, edges: Sequence[Edge], count: Callable[[Column], Column], reach: float = 0) -> Column:
+    """count() of the edges that come within reach of a point's height; false where there are none.
+
+    Each edge stands in the strips that it crosses. There are so many strips that the edges stand in four each at most,
+    as a mean, so that the constant grows with the geometry and a point looks at few edges.
+    """
+    lows, highs = [min(e[1], e[3]) - reach for e in edges], [max(e[1], e[3]) + reach for e in edges]
+    low, high = min(lows), max(highs)
+    alive = max(1e-9, sum(b - a for a, b in zip(lows, highs)) / ((high - low) or 1.0))
+    n = max(1, min(len(edges) // 4, int(3 * len(edges) / alive)))
+    height = (high - low) / n or 1.0
+    strips: list[list[dict]] = [[] for _ in range(n + 1)]
+    for (px, py, qx, qy), a, b in zip(edges, lows, highs):
+        for k in range(math.floor((a - low) / height), math.floor((b - low) / height) + 1):
+            strips[k].append({"px": px, "py": py, "qx": qx, "qy": qy})
+    table = F.from_json(F.lit(json.dumps(strips)), "array<array<struct<px:double,py:double,qx:double,qy:double>>>")
+    return F.coalesce(count(F.get(table, F.floor((y - low) / height).cast("int"))), F.lit(False))
+
+
+def _any_edge(y: Column, edges: Sequence[Edge], test: Test, reach: float = 0) -> Column:
+    return _over_strip(y, edges, lambda strip: F.exists(strip, lambda e: test(e["px"], e["py"], e["qx"], e["qy"])), reach)
+
+
+def edges_of(paths: Iterable[Sequence[Point]]) -> list[Edge]:
+    return [(float(p[0]), float(p[1]), float(q[0]), float(q[1])) for path in paths for p, q in zip(path, path[1:])]
+
+
+def near_edges(x: Column, y: Column, edges: Sequence[Edge], distance: float, closed: bool = False) -> Column:
+    """Closer to any of the edges than distance, or with closed no further."""
+    near = lambda d: d <= distance * distance if closed else d < distance * distance
+    if len(edges) < MANY_EDGES:
+        return _any([near(segment_distance2(x, y, e[:2], e[2:])) for e in edges])
+    return _any_edge(y, edges, lambda *e: near(_distance2(x, y, *e)), abs(distance) * (1 + 1e-9))
+
+
 def near_line(x: Column, y: Column, points: Sequence[Point], distance: float) -> Column:
     """Closer to the line than distance, with a box before the exact test."""
     xs, ys = [p[0] for p in points], [p[1] for p in points]
     box = within_bbox(x, y, min(xs) - distance, min(ys) - distance, max(xs) + distance, max(ys) + distance)
-    return box & _any([segment_distance2(x, y, p, q) < distance * distance for p, q in zip(points, points[1:])])
+    return box & near_edges(x, y, edges_of([points]), distance)
 
 
 def on_ring(x: Column, y: Column, ring: Sequence[Point]) -> Column:
     """On an edge of the ring."""
+    if len(ring) > MANY_EDGES:
+        inside = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+        return _any_edge(y, edges_of([ring]), lambda px, py, qx, qy: ((x - px) * (qy - py) - (y - py) * (qx - px) == 0) & inside(x, px, qx) & inside(y, py, qy))
     out = []
     for (px, py), (qx, qy) in zip(ring, ring[1:]):
         cross = (x - px) * (qy - py) - (y - py) * (qx - px)
@@ -55,6 +110,10 @@ def on_ring(x: Column, y: Column, ring: Sequence[Point]) -> Column:
 
 def inside_rings(x: Column, y: Column, rings: Sequence[Sequence[Point]]) -> Column:
     """Inside by the even-odd rule over all rings; points on edges can be either."""
+    edges = [e for e in edges_of(rings) if e[1] != e[3]]
+    if len(edges) >= MANY_EDGES:
+        crosses = lambda e: ((y < e["py"]) != (y < e["qy"])) & (x < (e["qx"] - e["px"]) * (y - e["py"]) / (e["qy"] - e["py"]) + e["px"])
+        return _over_strip(y, edges, lambda strip: F.aggregate(strip, F.lit(0), lambda n, e: n + crosses(e).cast("int")) % 2 == 1)
     crossings = F.lit(0)
     for ring in rings:
         for (px, py), (qx, qy) in zip(ring, ring[1:]):
@@ -79,8 +138,7 @@ def within_union(x: Column, y: Column, polygons: Sequence[Geometry], buffer: flo
     rings = [p.rings for p in polygons]
     inside = [inside_rings(x, y, r) & ~_any([on_ring(x, y, s) for s in r]) for r in rings]
     if buffer > 0:
-        edges = [segment_distance2(x, y, p, q) < buffer * buffer for r in rings for s in r for p, q in zip(s, s[1:])]
-        return _any([intersects_polygon(x, y, r) for r in rings] + edges)
+        return _any([intersects_polygon(x, y, r) for r in rings] + [near_edges(x, y, edges_of(s for r in rings for s in r), buffer)])
     if len(rings) == 1:
         return inside[0]
     step = 1e-7 * max(abs(v) for r in rings for s in r for p in s for v in p)
@@ -145,8 +203,8 @@ def meets(x: Column, y: Column, shape: Geometry, predicate: str = "intersects",
         points = [(x == a) & (y == b) for a, b in shape.points] if not shape.paths else []
         at = points + [on_ring(x, y, path) for path in shape.paths]
     if predicate == "dwithin":
-        edges = [*shape.paths, *[r for p in shape.polygons for r in p.rings]] or [[p, p] for p in shape.points]
-        at = at + [segment_distance2(x, y, p, q) <= distance * distance for path in edges for p, q in zip(path, path[1:])]
+        paths = [*shape.paths, *[r for p in shape.polygons for r in p.rings]] or [[p, p] for p in shape.points]
+        at = [*at, near_edges(x, y, edges_of(paths), distance, closed=True)]
     return _any(at)
 
 

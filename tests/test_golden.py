@@ -203,3 +203,29 @@ def test_normalised_depths(data):
     want = sorted((r.nr, r.top, r.bottom) for r in data.collect())
     for made in (data, data.withColumns({c: -F.col(c) for c in ("top", "bottom")}), data.withColumns({c: F.col("surface") - F.col(c) for c in ("top", "bottom")})):
         assert sorted((r.nr, round(r.top, 6), round(r.bottom, 6)) for r in layers.adjust_depths(made).collect()) == want
+
+
+def test_many_edges_are_met_like_few(spark, monkeypatch):
+    import math
+
+    ring = [(50 + (40 - 15 * (i % 2)) * math.cos(2 * math.pi * i / 66), 50 + (40 - 15 * (i % 2)) * math.sin(2 * math.pi * i / 66)) for i in range(66)]
+    hole = [(45.0, 45.0), (55.0, 45.0), (55.0, 55.0), (45.0, 55.0)]
+    star = geometry.Geometry("POLYGON", [[*ring, ring[0]], [*hole, hole[0]]])
+    box = geometry.Geometry("POLYGON", [[(i * 1.5, 10.0) for i in range(61)] + [(90.0, 60.0), (0.0, 60.0), (0.0, 10.0)]])
+    grid = spark.range(41 * 41).selectExpr("string(id) as nr", "double(id % 41) * 2.5 as x", "double(floor(id / 41)) * 2.5 as y")
+    checks = [
+        lambda: spatial.select_within_polygons(grid, star),
+        lambda: spatial.select_within_polygons(grid, star, 1.5),
+        lambda: spatial.select_with_lines(grid, geometry.Geometry("LINESTRING", ring), 2.5),
+        lambda: spatial.spatial_join(grid, [("s", star), ("b", box)], "label"),
+        lambda: spatial.spatial_join(grid, [("b", box)], "label", predicate="within"),
+        lambda: spatial.spatial_join(grid, [("s", star)], "label", predicate="dwithin", distance=2),
+        lambda: spatial.spatial_join(grid, [("s", star)], "label", predicate="disjoint"),
+    ]
+    many = [sorted(map(str, f().collect())) for f in checks]
+    monkeypatch.setattr(spatial, "MANY_EDGES", 10_000)
+    few = [sorted(map(str, f().collect())) for f in checks]
+    assert many == few and all(50 < len(x) < 41 * 41 for x in many)
+    monkeypatch.undo()
+    coast = [(50 + 40 * math.cos(2 * math.pi * i / 20_000), 50 + 40 * math.sin(2 * math.pi * i / 20_000)) for i in range(20_000)]
+    assert abs(spatial.select_within_polygons(grid, geometry.Geometry("POLYGON", [coast])).count() - math.pi * 1600 / 6.25) < 15
