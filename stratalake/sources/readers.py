@@ -7,10 +7,14 @@ import sqlite3
 import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import closing
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,7 +165,11 @@ def parse_gef(text: str) -> tuple[dict, list[dict]]:
 
 def read_gef(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of GEF files or folders, each parsed once. The columns are those that any of the files has."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][eE][fF]").load(paths).select("path", "content")
+    return gef_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][eE][fF]").load(paths))
+
+
+def gef_rows(files: DataFrame) -> DataFrame:
+    """The rows of GEF files given as rows (path, content)."""
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -171,7 +179,7 @@ def read_gef(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     flat = [(path, header["nr"], header["x"], header["y"], header["surface"], header["end"], i, {k: v for k, v in r.items() if v is not None}) for i, r in enumerate(rows)]
                     yield pd.DataFrame(flat, columns=["path", "nr", "x", "y", "surface", "end", "_pos", "values"])
 
-    rows = settled(files.mapInPandas(parse, "path string, nr string, x double, y double, surface double, end double, _pos int, values map<string,double>"))
+    rows = settled(files.select("path", "content").mapInPandas(parse, "path string, nr string, x double, y double, surface double, end double, _pos int, values map<string,double>"))
     names = names_in(rows, "values")
     return rows.select("nr", "x", "y", "surface", "end", *[F.element_at("values", n).alias(n) for n in names], "_pos")
 
@@ -336,8 +344,12 @@ def surveys_of(files: DataFrame, schema: XmlSchema, read_all: bool = True, crs:
 
 
 def read_boris_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Layers of the point surveys of a lithological description file: depths of bases, tops from the layer above."""
-    files = spark.read.format("binaryFile").load(paths).select("content")
+    """Layers of the point surveys of lithological description files: depths of bases, tops from the layer above."""
+    return boris_rows(spark.read.format("binaryFile").load(paths))
+
+
+def boris_rows(files: DataFrame) -> DataFrame:
+    """The layers of lithological description files given as rows (content)."""
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -358,7 +370,7 @@ def read_boris_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "top", "bottom", "values"])
 
-    rows = settled(files.mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>"))
+    rows = settled(files.select("content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>"))
     names = names_in(rows, "values")
     return rows.select("nr", "x", "y", "surface", "end", "top", "bottom", *[F.element_at("values", n).alias(n) for n in names])
 
@@ -366,8 +378,26 @@ def read_boris_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 # GeoPackage
 
 
+#: Rows that a task reads of a GeoPackage's table at a time.
+GPKG_ROWS = 50_000
+
+
+def gpkg_kind(declared: str) -> str:
+    """The Spark type of a declared column type; geometries are declared by their kinds and stored as blobs."""
+    name = declared.upper().partition("(")[0].strip()
+    if name in ("REAL", "DOUBLE", "FLOAT", "DOUBLE PRECISION", "NUMERIC"):
+        return "double"
+    if "INT" in name and "POINT" not in name or name == "BOOLEAN":
+        return "long"
+    return "string" if name in ("TEXT", "VARCHAR", "DATE", "DATETIME", "") else "binary"
+
+
 class Geopackage:
-    """Layers of a GeoPackage (an SQLite file on the driver) as DataFrames."""
+    """Layers of a GeoPackage (an SQLite file) as DataFrames.
+
+    Tables are read by tasks, a range of row numbers each, so the file lies where driver and executors see it; results of
+    other statements pass the driver.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.db = spark, path, sqlite3.connect(path)
@@ -401,7 +431,25 @@ class Geopackage:
         return self._frame(self.db.execute(f'select * from "{table}" limit {int(n)}'))
 
     def read_table(self, table: str) -> DataFrame:
-        return self._frame(self.db.execute(f'select * from "{table}"'))
+        columns = [(r[1], gpkg_kind(r[2])) for r in self.db.execute(f'pragma table_info("{table}")')]
+        if self.db.execute("select type from sqlite_master where name = ?", (table,)).fetchone() != ("table",):
+            return self._frame(self.db.execute(f'select * from "{table}"'))  # a view has no row numbers
+        low, high = self.db.execute(f'select min(rowid), max(rowid) from "{table}"').fetchone()
+        schema = ", ".join(f"`{n}` {k}" for n, k in columns)
+        if low is None:
+            return self.spark.createDataFrame([], schema)
+        address, types = f"file:{quote(str(Path(self.path).resolve()))}?mode=ro", {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        made = {"double": float, "long": int, "string": str, "binary": bytes}
+        names = ", ".join(f'"{n}"' for n, _ in columns)
+
+        def read(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with closing(sqlite3.connect(address, uri=True)) as db:
+                for start in (x for b in it for x in b.column(0).to_pylist()):
+                    rows = db.execute(f'select {names} from "{table}" where rowid >= ? and rowid < ?', (start, start + GPKG_ROWS)).fetchall()
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else made[k](v) for v in c], types[k]) for (_, k), c in zip(columns, zip(*rows))], names=[n for n, _ in columns])
+
+        return self.spark.range(low, high + 1, GPKG_ROWS, max(1, min(1000, (high - low) // GPKG_ROWS + 1))).mapInArrow(read, schema)
 
     def query(self, sql: str) -> DataFrame:
         return self._frame(self.db.execute(sql))

@@ -128,6 +128,19 @@ def test_geopackage_both_ways(spark, tmp_path):
     assert readers.geometry_of(bytes(blob)).coords == (1.5, 2.5)
 
 
+def test_geopackage_tables_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "GPKG_ROWS", 7)
+    rows = [(i, i / 4, f"n{i}" if i % 3 else None, i % 2 == 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, v double, s string, b boolean")
+    path = str(tmp_path / "r.gpkg")
+    sinks.to_geopackage({"t": df, "none": df.limit(0)}, path)
+    with readers.Geopackage(spark, path) as g:
+        got, none = g.read_table("t"), g.read_table("none")
+    assert got.rdd.getNumPartitions() > 10 and none.count() == 0 and none.columns == ["fid", "k", "v", "s", "b"]
+    assert sorted(map(tuple, got.select("k", "v", "s", "b").collect())) == [(k, v, s, int(b)) for k, v, s, b in rows]
+    assert [readers.gpkg_kind(t) for t in ("MEDIUMINT", "POINT", "TEXT(20)", "DOUBLE", "BLOB", "MULTIPOLYGON", "BOOLEAN")] == ["long", "binary", "string", "double", "binary", "binary", "long"]
+
+
 def test_cpt_geopackage(spark, tmp_path):
     import sqlite3
 
