@@ -86,7 +86,7 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; ``file:`` with one or three slashes, and what Arrow knows besides."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
 
 
 def utf8(column: str | Column) -> Column:
