@@ -213,6 +213,11 @@ def test_excise_cuts_spans(spark):
     d = docs(spark, [(1, "Ahead: One two, three four FIVE six seven eight nine ten. After all " + "more " * 30, "en", "s"), (2, item, "en", "s"), (3, None, "en", "s")])
     got = {r.doc_id: r for r in decontam.excise(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got[1].text.startswith("Ahead: . After all more") and got[3].text is None and 2 not in got
+    same = docs(spark, [(1, "", "en", "s"), (1, "", "en", "s"), (2, "...", None, None), (3, "one two", "en", "s")])
+    for items in ([(1, item)], []):
+        out = decontam.excise(same, spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted(map(str, out.collect())) == sorted(map(str, same.collect()))
+    assert decontam.excise(docs(spark, []), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0
 
 
 def test_language_id(spark):
