@@ -145,12 +145,18 @@ class Collection:
     def select_within_polygons(self, polygons, buffer: float = 0, invert: bool = False) -> Collection:
         return self._data_like_header(spatial.select_within_polygons(self.header, polygons, buffer, invert))
 
-    def spatial_join(self, geometries, label_id: str, include_in_header: bool = False, drop_label_if_exists: bool = False, **options):
-        """The joined header, or with include_in_header a collection that keeps every survey."""
+    def spatial_join(self, geometries, label_id: str, include_in_header: bool = False, drop_label_if_exists: bool = False, geometry_crs: int | None = None, **options):
+        """The joined header, or with include_in_header a collection that keeps every survey.
+
+        Geometries are taken to be in the collection's reference system, or are met in their own, with a warning.
+        """
+        if geometry_crs and self.crs and geometry_crs != self.crs:
+            warnings.warn(f"the geometries are in EPSG:{geometry_crs}: points are brought there from EPSG:{self.crs} to be met", UserWarning, stacklevel=2)
+            options |= {"crs": self.crs, "geometry_crs": geometry_crs}
         if include_in_header:
             if "how" in options:
                 raise ValueError("how can't be chosen when the label goes into the header")
-            return replace(self, header=spatial.spatial_join(self.header, geometries, label_id, "left", drop_label_if_exists))
+            return replace(self, header=spatial.spatial_join(self.header, geometries, label_id, "left", drop_label_if_exists, **options))
         return spatial.spatial_join(self.header, geometries, label_id, drop_label_if_exists=drop_label_if_exists, **options)
 
     # Depth analytics

@@ -60,6 +60,8 @@ class VoxelModel:
     @classmethod
     def from_table(cls, df: DataFrame, crs: int | None = None, data_vars: Sequence[str] | None = None, bbox: tuple[float, float, float, float] | None = None) -> VoxelModel:
         """A model of a long table; bbox and data_vars reach the scan. The axes are read with one aggregate."""
+        if missing := [a for a in AXES if a not in df.columns]:
+            raise ValueError(f"a model has the dimensions x, y and z; there is no {', '.join(missing)}")
         names = list(data_vars) if data_vars else [c for c in df.columns if c not in AXES]
         df = df.select(*AXES, *map(col, names))
         if bbox:

@@ -323,11 +323,13 @@ def surveys_of(files: DataFrame, schema: XmlSchema, read_all: bool = True, crs:
                     surface, end = head.get("surface"), head.get("end")
                     meta = {k: str(v) for k, v in head.items() if v is not None and k not in ("nr", "surface", "end")}
                     for i, r in enumerate(rows):
-                        out.append((head["nr"], x, y, surface, surface - end if surface is not None and end is not None else None, epsg, meta, i, {k: str(v) for k, v in r.items() if v is not None}))
+                        out.append((head["nr"], x, y, surface, surface - end if surface is not None and end is not None else None, epsg, len(holder) > 1, meta, i, {k: str(v) for k, v in r.items() if v is not None}))
             if out:
-                yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "epsg", "meta", "_pos", "row"])
+                yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "epsg", "more", "meta", "_pos", "row"])
 
-    rows = settled(files.select("path", "content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, epsg int, meta map<string,string>, _pos int, row map<string,string>"))
+    rows = settled(files.select("path", "content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, epsg int, more boolean, meta map<string,string>, _pos int, row map<string,string>"))
+    if not read_all and not rows.where("more").isEmpty():
+        warnings.warn("some files hold several surveys, of which the first is read: use read_all", UserWarning, stacklevel=3)
     systems = [r[0] for r in rows.select("epsg").distinct().limit(3).collect() if r[0] is not None]
     if len(systems) > 1:
         raise ValueError(f"the files are in several reference systems: {systems}")

@@ -336,3 +336,22 @@ def test_too_many_classes_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(voxel, "MAX_VALUES", 3)
     with pytest.raises(ValueError):
         m.value_counts("lith", dim="z")
+
+
+def test_files_of_several_surveys(spark, tmp_path):
+    one = lambda nr: survey(nr, "52.0 5.0", 1.0, "<boring><c:Boring><c:finalDepthBoring>2</c:finalDepthBoring></c:Boring></boring>", layer(0, 1, "zand"))
+    path = put(tmp_path / "two.xml", dispatch(one("B1"), one("B2")))
+    assert len(readers.read_xml(spark, path, "bhrg")) == 2
+    with pytest.warns(UserWarning, match="read_all"):
+        assert len(readers.read_xml(spark, path, "bhrg", read_all=False)) == 1
+
+
+def test_geometries_in_another_system(spark):
+    c = Collection.of(spark.createDataFrame([("in", 155000.0, 463000.0, 0.0, 0.0, 1.0), ("out", 100000.0, 463000.0, 0.0, 0.0, 1.0)], "nr string, x double, y double, surface double, top double, bottom double"), crs=28992)
+    town = "POLYGON ((5.3 52.1, 5.5 52.1, 5.5 52.2, 5.3 52.2, 5.3 52.1))"
+    with pytest.warns(UserWarning, match="4326"):
+        out = c.spatial_join([("town", town)], "place", include_in_header=True, geometry_crs=4326)
+    assert out.header.columns == [*c.header.columns, "place"]
+    assert {r.nr: (r.x, r.place) for r in out.header.collect()} == {"in": (155000.0, "town"), "out": (100000.0, None)}
+    with pytest.raises(ValueError, match="dimensions"):
+        VoxelModel.from_table(c.data)
