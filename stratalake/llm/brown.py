@@ -88,6 +88,14 @@ def take(uri: str, n: int) -> list[np.ndarray]:
     return [np.load(raw) for _ in range(n)]
 
 
+class Numbers(dict):
+    """Numbers of words, in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Blocks of (doc_id, text, held_out) rows; returns (block, num, word, n): n counts training tokens only.
 
@@ -97,7 +105,7 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("num", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
     def store(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {END_WORD: 0}
+        numbers = Numbers({END_WORD: 0})
         tokens, lengths, held, ids, raw = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -110,16 +118,13 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
             wide = np.array([i or 0 for i in ids], np.int64)
             save(f"{folder}/{block}", list(numbers), [flat, np.array(lengths), np.array(held), known, wide >> 32, (wide & 0xFFFFFFFF).astype(np.uint32).view(np.int32)])
             made = pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), block)), pa.array(np.arange(len(numbers)), pa.int32()), pa.array(list(numbers), pa.binary()), pa.array(n, pa.int64())], schema=schema)
-            numbers, tokens, lengths, held, ids, raw = {END_WORD: 0}, [], [], [], [], 0
+            numbers, tokens, lengths, held, ids, raw = Numbers({END_WORD: 0}), [], [], [], [], 0
             return made
 
         for batch in slices(it):
             for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or b"").lower().split()
                 words.append(END_WORD)
-                for w in set(words):
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
                 tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 lengths.append(len(words))
                 held.append(out)
@@ -137,8 +142,8 @@ def write_store(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def bigrams(flat: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token classes and the classes before them."""
-    here = classes[flat].astype(np.int64)
-    return here, np.concatenate(([END_CLASS], here[:-1]))
+    here = classes[flat].astype(np.int32)
+    return here, np.concatenate((np.array([END_CLASS], np.int32), here[:-1]))
 
 
 def objective(table: np.ndarray) -> float:
@@ -216,7 +221,7 @@ def profiles(blocks: DataFrame, folder: str, step: int, turns: int) -> DataFrame
             _, flat, lengths, held, _ = load(f"{folder}/blocks/{block}", with_words=False)
             here, before = bigrams(flat, classes)
             ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] == turns))
-            base = flat[ok].astype(np.int64) * (2 * WIDTH)
+            base = flat[ok].astype(np.int32 if len(wid) * 2 * WIDTH < 1 << 31 else np.int64) * (2 * WIDTH)
             keys, n = np.unique(np.concatenate([base + before[ok], base + WIDTH + here[ok + 1]]), return_counts=True)
             nums, starts = np.unique(keys // (2 * WIDTH), return_index=True)
             ends, slots, n = np.append(starts, len(keys)), (keys % (2 * WIDTH)).astype(np.uint8), n.astype(np.uint32)
