@@ -77,8 +77,29 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_cache import TokenCache, Tokenizer, count_tokens
+
+    scratch = Scratch(spark, "op11")
+    return count_tokens(table(spark, sf_dir, "documents"), TokenCache(spark, scratch.path("cache")), Tokenizer(public_tokenizers.path("piece_bpe_32k.model")), scratch)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")), Scratch(spark, "op12"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_warc, op2_training_order, op3_brown_classes, op4_secret_forest, op5_jaccard_join, op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_source_mix]
+    made = [op1_warc, op2_training_order, op3_brown_classes, op4_secret_forest, op5_jaccard_join, op6_language_id, op7_url_rules, op8_quality_rules, op9_decontamination, op10_source_mix, op11_token_cache, op12_conversation_repair, op13_source_divergence]
     return {f.__name__: f for f in made}
 
 
@@ -154,6 +175,61 @@ select doc_id, len(ws) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) a
 from d left join h using (id) left join t using (id)
 """
 
+ORACLE["op12_conversation_repair"] = """
+with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda x: unicode(x)::bigint)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) % 20 as kind from k),
+r as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(case when kind = 3 then [0, 1] else [0] end) as copy from h where kind <> 0),
+o as (select *, dense_rank() over (order by conv_id nulls first) as c, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as pos, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+        substring(role, 1, 1) as initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from r),
+f as (select *, case when bare = '' then 'blank' when again then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else 'none' end as fault,
+        lag(initial) over (partition by c order by pos) || initial as two from o),
+facts as (select c, case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps, count_if(fault = 'blank') as blank, count_if(fault = 'duplicate') as duplicate,
+        count_if(fault = 'truncated') as truncated, count_if(two not in ('su', 'ua', 'au')) as illegal, max(pos) as n from f group by c),
+states(state, fits, leads) as (values (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moved as (select state, 0 as n, state as goes from states union all select state, 1, leads from states union all select a.state, 2, b.leads from states a join states b on b.state = a.leads),
+t as (select c, pos, n, goes, state, edit.letter, edit.price + 3 * n as price, edit.goal, repeat('I', n) || edit.letter as block
+      from (select c, pos, m.state, m.n, m.goes, unnest([struct_pack(letter := 'D', price := 4, goal := goes),
+        struct_pack(letter := 'K', price := case when fault in ('blank', 'duplicate') then 1000000 when fault = 'truncated' then 3 else 0 end, goal := case when initial = 's' and goes = 0 then 1 when initial = 'u' and goes in (0, 1, 3) then 2 when initial = 'a' and goes = 2 then 3 else 9 end),
+        struct_pack(letter := 'R', price := case when fault in ('blank', 'duplicate') then 1000000 when fault = 'truncated' then 6 else 3 end, goal := case when goes = 2 then 3 else 2 end)]) as edit from f, moved m)
+      where edit.goal < 9 and edit.price < 1000000),
+dp as (select c, 0::bigint as pos, 0 as state, struct_pack(cost := 0, audit := '') as best from facts
+       union all
+       select dp.c, dp.pos + 1, t.goal, min(struct_pack(cost := dp.best.cost + t.price, audit := dp.best.audit || t.block)) from dp join t on t.c = dp.c and t.pos = dp.pos + 1 and t.state = dp.state group by dp.c, dp.pos + 1, t.goal),
+done as (select dp.c, min(struct_pack(cost := dp.best.cost + 3 * m.n, audit := dp.best.audit || repeat('I', m.n))) as best
+         from dp join facts on facts.c = dp.c and facts.n = dp.pos join moved m on m.state = dp.state and m.goes in (0, 3) group by dp.c),
+letters as (select c, unnest(string_split(best.audit, '')) as letter, generate_subscripts(string_split(best.audit, ''), 1) as idx from done where best.audit <> ''),
+placed as (select *, count_if(letter <> 'I') over (partition by c order by idx) as pos, count_if(letter <> 'D') over (partition by c order by idx) as e from letters),
+emitted as (select p.c, p.idx, p.letter, p.e, case when p.letter <> 'I' then f.initial end as initial, case when p.letter <> 'I' then f.role end as role, case when p.letter = 'I' then '' else f.text end as text
+            from placed p left join f on f.c = p.c and f.pos = p.pos where p.letter <> 'D'),
+opened as (select *, max(case when e = 1 and letter = 'K' and initial = 's' then 1 else 0 end) over (partition by c) as shift from emitted),
+mended as (select c, sha256(string_agg(case when letter = 'K' then role when (e - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by idx)) as repaired_sha256 from opened group by c)
+select q.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) q left join (select distinct conv_id, c from o) i on i.conv_id is not distinct from q.conv_id
+left join facts using (c) left join done using (c) left join mended using (c)
+"""
+
+TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLE["op13_source_divergence"] = f"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{TERMS}') as ws from documents),
+c as (select lang, source, term, count(*)::hugeint as n, count(distinct id) as docs from (select id, lang, source, unnest(ws) as term from d) group by all),
+k as (select lang, term, sum(n) as total from c group by all having sum(docs) >= 3),
+v as (select lang, count(*) as v, sum(total) as size from k group by lang),
+g as (select distinct lang, source from d),
+s as (select c.lang, c.source, sum(n) as size from c join k using (lang, term) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.size, 0) + v.v) as p, 1 + 1000000000 * (k.total + 1) // (v.size + v.v) as q
+      from g join k using (lang) join v using (lang) left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+y as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(y.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join y on y.lang = a.lang and y.source = a.source and y.item = b.source
+      union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
+z as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from x)
+select lang, source, part, item, value::bigint as value, rank::int as rank from z where part = 'pair' or rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
