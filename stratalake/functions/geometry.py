@@ -149,6 +149,13 @@ def point_wkb(x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.unhex(F.concat(F.lit("0000000001"), hex_double(x.cast("double")), hex_double(y.cast("double")))))
 
 
+def polygon_wkb(ring: Column) -> Column:
+    """WKB of a polygon in big-endian order, made without Python from its outer ring: an array of points (x, y), closed."""
+    count = F.lpad(F.hex(F.size(ring).cast("long")), 8, "0")
+    points = F.array_join(F.transform(ring, lambda p: F.concat(hex_double(p["x"].cast("double")), hex_double(p["y"].cast("double")))), "")
+    return F.when(F.size(ring) > 0, F.unhex(F.concat(F.lit("000000000300000001"), count, points)))
+
+
 def double_of(digits: Column) -> Column:
     """The double of 16 hex digits, most significant first; null for infinite ones and those that are no number."""
     high = F.conv(F.substring(digits, 1, 3), 16, 10).cast("long")

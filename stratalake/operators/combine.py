@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..roles import Roles, col
-from .voxel import VoxelModel
+from .voxel import KEYS, VoxelModel
 
 
 def add_nearest_voxels(data: DataFrame, model: VoxelModel, data_vars: str | list[str], tolerances: tuple[float, float, float] | None = None) -> DataFrame:
     """Add variables of the nearest voxel to each row, null where it is further away on an axis than the tolerance.
 
     A row's elevation is that of its layer's middle, or of its depth. The nearest cell is computed, so this is an
-    equi-join on three coordinates.
+    equi-join on its three numbers.
     """
     roles = Roles.of(data)
     roles.need("x", "y", "surface", "depth")
@@ -22,14 +25,13 @@ def add_nearest_voxels(data: DataFrame, model: VoxelModel, data_vars: str | list
     at = {"x": col(roles.x).cast("double"), "y": col(roles.y).cast("double"), "z": col(roles.surface) - middle}
     dy, dx, dz = model.resolution
     reach = dict(zip("xyz", tolerances or (dx, dy, dz)))
-    rows = data.withColumns({f"_{a}": v for a, v in at.items()}).withColumns({f"_c{a}": getattr(model, a).nearest(F.col(f"_{a}")) for a in "xyz"})
-    cells = model.df.select(*[F.col(a).alias(f"_m{a}") for a in "xyz"], *map(col, names))
-    same = (F.col("_cx") == F.col("_mx")) & (F.col("_cy") == F.col("_my")) & (F.col("_cz") == F.col("_mz"))
-    near = F.lit(True)
-    for a in "xyz":
-        near = near & (F.abs(F.col(f"_{a}") - F.col(f"_c{a}")) <= reach[a])
-    joined = rows.join(cells, same, "left").withColumns({n: F.when(near, col(n)) for n in names})
-    return joined.select(*map(col, data.columns), *map(col, names))
+    rows = data.withColumns({f"_{a}": v for a, v in at.items()}).withColumns({f"_c{k}": getattr(model, a).index(F.col(f"_{a}")) for a, k in KEYS.items()})
+    cells = model.cells().select(*KEYS.values(), *[col(n).alias(f"_v_{n}") for n in names])
+    same = reduce(and_, [F.col(f"_c{k}") == F.col(k) for k in KEYS.values()])
+    near = reduce(and_, [F.abs(F.col(f"_{a}") - getattr(model, a).centre(F.col(f"_c{k}"))) <= reach[a] for a, k in KEYS.items()])
+    joined = rows.join(cells, same, "left")
+    kept = [c for c in data.columns if c not in names]
+    return joined.select(*map(col, kept), *[F.when(near, col(f"_v_{n}")).alias(n) for n in names])
 
 
 def unit_boundaries(model: VoxelModel, variable: str) -> DataFrame:
@@ -61,7 +63,8 @@ def split_at_voxel_units(data: DataFrame, header: DataFrame, model: VoxelModel,
     known = h.surface is not None
     points = header.select(col(h.nr).alias(nr), col(h.x).cast("double").alias("_x"), col(h.y).cast("double").alias("_y"), *([col(h.surface).alias("_surface")] if known else []))
     points = model.snap(points, F.col("_x"), F.col("_y"))
-    bounds = points.join(unit_boundaries(model, variable), (F.col("_cx") == F.col("x")) & (F.col("_cy") == F.col("y")))
+    runs = unit_boundaries(model, variable).withColumns({"_i": model.x.index(F.col("x")), "_j": model.y.index(F.col("y"))})
+    bounds = points.join(runs, (F.col("_ci") == F.col("_i")) & (F.col("_cj") == F.col("_j")))
     if not known:
         bounds = bounds.join(data.groupBy(nr).agg(F.first(col(roles.surface)).alias("_surface")), nr)
     bounds = bounds.where(F.col("elevation") < F.col("_surface"))

@@ -54,7 +54,7 @@ def _distance2(x: Column, y: Column, px: Column, py: Column, qx: Column, qy: Col
     return ex * ex + ey * ey
 
 
-def _over_strip(y: Column, edges: Sequence[Edge], count: Callable[[Column], Column], reach: float = 0) -> Column:
+def _over_strip(y: Column, edges: Sequence[Edge], count: Callable[[Column], Column], reach: float = 0, groups: Sequence[int] = ()) -> Column:
     """count() of the edges that come within reach of a point's height; false where there are none.
 
     Each edge stands in the strips that it crosses. There are so many strips that the edges stand in four each at most,
@@ -66,10 +66,10 @@ def _over_strip(y: Column, edges: Sequence[Edge], count: Callable[[Column], Colu
     n = max(1, min(len(edges) // 4, int(3 * len(edges) / alive)))
     height = (high - low) / n or 1.0
     strips: list[list[dict]] = [[] for _ in range(n + 1)]
-    for (px, py, qx, qy), a, b in zip(edges, lows, highs):
+    for at, ((px, py, qx, qy), a, b) in enumerate(zip(edges, lows, highs)):
         for k in range(math.floor((a - low) / height), math.floor((b - low) / height) + 1):
-            strips[k].append({"px": px, "py": py, "qx": qx, "qy": qy})
-    table = F.from_json(F.lit(json.dumps(strips)), "array<array<struct<px:double,py:double,qx:double,qy:double>>>")
+            strips[k].append({"px": px, "py": py, "qx": qx, "qy": qy} | ({"g": groups[at]} if groups else {}))
+    table = F.from_json(F.lit(json.dumps(strips)), f"array<array<struct<px:double,py:double,qx:double,qy:double{',g:int' if groups else ''}>>>")
     return F.coalesce(count(F.get(table, F.floor((y - low) / height).cast("int"))), F.lit(False))
 
 
@@ -129,11 +129,14 @@ def intersects_polygon(x: Column, y: Column, rings: Sequence[Sequence[Point]]) -
     return within_bbox(x, y, min(xs), min(ys), max(xs), max(ys)) & (_any([on_ring(x, y, r) for r in rings]) | inside_rings(x, y, rings))
 
 
+#: Angles this close are one: rays to several vertices of one line differ by rounding.
+SAME_ANGLE = 1e-12
+
+
 def within_union(x: Column, y: Column, polygons: Sequence[Geometry], buffer: float = 0) -> Column:
     """Within the union of polygons: its boundary is outside, edges between two polygons are inside.
 
-    A point on edges is inside if the directions around it are all covered; that is tested a little off the point, in
-    the eight directions between those of the axes and diagonals.
+    A point on edges is inside if the polygons there close the circle around it: see :func:`closed_around`.
     """
     rings = [p.rings for p in polygons]
     inside = [inside_rings(x, y, r) & ~_any([on_ring(x, y, s) for s in r]) for r in rings]
@@ -141,11 +144,50 @@ def within_union(x: Column, y: Column, polygons: Sequence[Geometry], buffer: flo
         return _any([intersects_polygon(x, y, r) for r in rings] + [near_edges(x, y, edges_of(s for r in rings for s in r), buffer)])
     if len(rings) == 1:
         return inside[0]
-    step = 1e-7 * max(abs(v) for r in rings for s in r for p in s for v in p)
-    around = [(x + a * step, y + b * step) for a, b in ((1, 0.41), (0.41, 1), (-0.41, 1), (-1, 0.41), (-1, -0.41), (-0.41, -1), (0.41, -1), (1, -0.41))]
-    covered = [_any([inside_rings(u, v, r) for r in rings]) for u, v in around]
-    shared = _any([on_ring(x, y, s) for r in rings for s in r]) & reduce(lambda a, b: a & b, covered)
-    return _any([*inside, shared])
+    return _any(inside) | closed_around(x, y, rings) if rings else F.lit(False)
+
+
+def turned(ring: Sequence[Point], hole: bool) -> Sequence[Point]:
+    """The ring with the polygon's inside at the left of each edge."""
+    ax, ay = ring[0][:2]
+    twice = sum((p[0] - ax) * (q[1] - ay) - (q[0] - ax) * (p[1] - ay) for p, q in zip(ring, ring[1:]))
+    return ring[::-1] if (twice < 0) != hole else ring
+
+
+def closed_around(x: Column, y: Column, polygons: Sequence[Sequence[Sequence[Point]]]) -> Column:
+    """Whether the polygons that have a point on their edges cover all directions from it between them.
+
+    Each polygon covers sectors: from an edge that leaves the point, counter-clockwise, to the next of its own that
+    comes in. The sectors of all, sorted by angle and merged, have no gap if they reach once around from the first.
+    """
+    paths = [(g, turned(ring, k > 0)) for g, rings in enumerate(polygons) for k, ring in enumerate(rings)]
+    edges = [(g, *p[:2], *q[:2]) for g, path in paths for p, q in zip(path, path[1:]) if p[:2] != q[:2]]
+
+    def covered(strip: Column) -> Column:
+        span = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+        on = F.filter(strip, lambda e: ((x - e["px"]) * (e["qy"] - e["py"]) - (y - e["py"]) * (e["qx"] - e["px"]) == 0) & span(x, e["px"], e["qx"]) & span(y, e["py"], e["qy"]))
+        ray = lambda e, a: F.struct(e["g"].alias("g"), F.atan2(e[f"{a}y"] - y, e[f"{a}x"] - x).alias("a"))
+        end = lambda e, a: (e[f"{a}x"] == x) & (e[f"{a}y"] == y)
+        leave = F.transform(F.filter(on, lambda e: ~end(e, "q")), lambda e: ray(e, "q"))
+        come = F.transform(F.filter(on, lambda e: ~end(e, "p")), lambda e: ray(e, "p"))
+        turn = F.lit(2 * math.pi)
+        width = lambda a, b: F.when(b > a, b - a).otherwise(b - a + turn)
+
+        def sectors(rays: Column) -> Column:
+            made = F.transform(rays["leave"], lambda o: F.struct(o["a"].alias("a"), F.array_min(F.transform(F.filter(rays["come"], lambda i: i["g"] == o["g"]), lambda i: width(o["a"], i["a"]))).alias("w")))
+            return F.array_sort(F.filter(made, lambda s: s["w"].isNotNull()))
+
+        def closes(found: Column) -> Column:
+            first = F.get(found, F.lit(0))["a"]
+            twice = F.concat(found, F.transform(found, lambda s: F.struct((s["a"] + turn).alias("a"), s["w"].alias("w"))))
+            reached = F.aggregate(twice, first, lambda to, s: F.when(s["a"] <= to + SAME_ANGLE, F.greatest(to, s["a"] + s["w"])).otherwise(to))
+            return (F.size(found) > 0) & (reached >= first + turn - SAME_ANGLE)
+
+        # Bound by lambdas, so that each list is made once.
+        rays = F.array(F.struct(leave.alias("leave"), come.alias("come")))
+        return F.get(F.transform(F.transform(rays, sectors), closes), F.lit(0))
+
+    return _over_strip(y, [e[1:] for e in edges], covered, groups=[e[0] for e in edges])
 
 
 def _xy(df: DataFrame) -> tuple[Column, Column]:
@@ -210,7 +252,7 @@ def meets(x: Column, y: Column, shape: Geometry, predicate: str = "intersects",
 
 def spatial_join(
     df: DataFrame,
-    geometries: Sequence[tuple],
+    geometries: Sequence[tuple] | DataFrame,
     label_id: str,
     how: str = "inner",
     drop_label_if_exists: bool = False,
@@ -223,7 +265,13 @@ def spatial_join(
 
     Labels are gathered by one expression and unfolded, so no join or shuffle is needed. Where the geometries are in
     another reference system than the rows, the rows' coordinates are brought into it for the test.
+
+    A table (label_id, geometry as WKB) in place of the list is met by a cover of cells: see :func:`areas.join_table`.
     """
+    if isinstance(geometries, DataFrame):
+        from .areas import join_table
+
+        return join_table(df, geometries, label_id, how, drop_label_if_exists, predicate, distance, crs, geometry_crs)
     if how not in ("inner", "left"):
         raise ValueError(f"how can't be {how!r}")
     columns = df.columns

@@ -1,11 +1,17 @@
-"""Voxel models as long relations (x, y, z, variables...) with their grid as metadata."""
+"""Voxel models as long relations (x, y, z, variables...) with their grid as metadata.
+
+An axis keeps the coordinates as they are stored; cells are met by their integer numbers (i, j, k) on the axes, never by
+coordinates that were computed. Axes may be irregular: then a number is found by binary search among the coordinates.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,36 +21,99 @@ from ..roles import Roles, col
 from .layers import run_label
 
 AXES = ("x", "y", "z")
+#: Names of the cells' numbers on the axes.
+KEYS = {"x": "_i", "y": "_j", "z": "_k"}
 #: Classes that a dense table of counts may have: they become columns' values in the plan.
 MAX_VALUES = 10_000
 
 
+#: Coordinates closer than this part of a step are one, and an axis that is even to this part of a step is regular.
+NOISE, EVEN = 1e-9, 1e-6
+
+
 @dataclass(frozen=True)
 class Axis:
-    """A regular axis of cell centres."""
+    """An axis of cell centres, ascending, as stored; ``step`` is the nominal width of a cell."""
 
-    start: float
+    centres: tuple[float, ...]
     step: float
-    size: int
+
+    @classmethod
+    def of(cls, values: Iterable[float], first_step: bool = False, step: float = 1.0) -> Axis:
+        """The axis of these coordinates. Its step is the mean one; with first_step, on an irregular axis, the first.
+
+        ``step`` is that of a single coordinate. Coordinates that differ by rounding alone are one.
+        """
+        found = sorted(v for v in values if v is not None and not math.isnan(v))
+        if len(found) > 1:
+            mean = (found[-1] - found[0]) / (len(found) - 1)
+            noise = NOISE * max(mean, abs(found[0]), abs(found[-1]))
+            found = [v for u, v in zip([None, *found], found) if u is None or v - u > noise]
+        if len(found) > 1:
+            step = (found[-1] - found[0]) / (len(found) - 1)
+            out = cls(tuple(found), step)
+            return out if out.regular or not first_step else cls(out.centres, found[1] - found[0])
+        return cls(tuple(found), step)
+
+    @property
+    def size(self) -> int:
+        return len(self.centres)
 
     @property
     def low(self) -> float:
-        return self.start - self.step / 2
+        return (self.centres[0] if self.centres else 0.0) - self.step / 2
 
     @property
     def high(self) -> float:
-        return self.start + (self.size - 0.5) * self.step
+        return (self.centres[-1] if self.centres else 0.0) + self.step / 2
 
-    @property
-    def centres(self) -> list[float]:
-        return [self.start + i * self.step for i in range(self.size)]
+    @cached_property
+    def regular(self) -> bool:
+        c, n = self.centres, len(self.centres)
+        mean = (c[-1] - c[0]) / (n - 1) if n > 1 else self.step
+        return all(abs(v - (c[0] + i * mean)) <= EVEN * mean for i, v in enumerate(c))
+
+    @cached_property
+    def edges(self) -> list[float]:
+        """The cells' borders: half-way between centres, and half a step beyond the outer ones."""
+        c = self.centres
+        return [self.low, *[(a + b) / 2 for a, b in zip(c, c[1:])], self.high]
+
+    def place(self, v: float) -> int:
+        """Number of the nearest centre; half-way between two the larger coordinate's."""
+        i = max(0, bisect_right(self.centres, v) - 1)
+        return i + (i + 1 < self.size and self.centres[i + 1] - v <= v - self.centres[i])
+
+    def centre(self, i: Column) -> Column:
+        return F.get(F.lit(list(self.centres)), i)
 
     def index(self, v: Column) -> Column:
-        """Number of the nearest cell; a point between two goes to the larger coordinate, one outside to the edge."""
-        return F.least(F.greatest(F.floor((v - self.low) / self.step), F.lit(0)), F.lit(self.size - 1)).cast("int")
+        """place() as a column, from 0; null for null. One outside belongs to the edge's cell.
+
+        On a regular axis arithmetic comes within one of the number and the stored coordinates next to it decide; on
+        others a binary search over the centres finds the one at or below.
+        """
+        v = v.cast("double")
+        if self.size < 2:
+            return F.when(v.isNotNull(), F.lit(0))
+        if self.regular:
+            mean = (self.centres[-1] - self.centres[0]) / (self.size - 1)
+            g = F.least(F.greatest(F.floor((v - (self.centres[0] - mean / 2)) / mean), F.lit(0)), F.lit(self.size - 1)).cast("int")
+            down = (g > 0) & (v - self.centre(g - 1) < self.centre(g) - v)
+        else:
+            # Halving strides: a stride is taken where the coordinate it leads to is not above v.
+            strides = [1 << k for k in range((self.size - 1).bit_length() - 1, -1, -1)]
+            g = F.aggregate(F.lit(strides), F.lit(0), lambda i, k: F.when(F.coalesce(self.centre(i + k) <= v, F.lit(False)), i + k).otherwise(i))
+            down = F.lit(False)
+        up = (g < self.size - 1) & (self.centre(g + 1) - v <= v - self.centre(g))
+        return F.when(v.isNotNull() & ~F.isnan(v), F.when(up, g + 1).when(down, g - 1).otherwise(g)).cast("int")
 
     def nearest(self, v: Column) -> Column:
-        return self.start + self.index(v) * self.step
+        return self.centre(self.index(v))
+
+    def without(self, keep: Sequence[int]) -> Axis:
+        """The axis of some of its cells, given by number in ascending order."""
+        return Axis.of([self.centres[i] for i in keep], step=self.step)
 
 
 @dataclass(frozen=True)
@@ -67,7 +136,8 @@ class VoxelModel:
         if bbox:
             df = df.where((F.col("x") >= bbox[0]) & (F.col("y") >= bbox[1]) & (F.col("x") <= bbox[2]) & (F.col("y") <= bbox[3]))
         df = df.withColumns({n: F.nanvl(col(n), F.lit(None)) for n, t in df.dtypes if t in ("double", "float") and n in names})
-        return cls(df, crs=crs, **axes_of(df, AXES))
+        axes, noisy = axes_of(df, AXES)
+        return cls(df.withColumns({a: axes[a].nearest(F.col(a)) for a in noisy}), crs=crs, **axes)
 
     @classmethod
     def from_lower_left(cls, df: DataFrame, cellsize: float, dz: float, crs: int | None = None, bbox: tuple[float, float, float, float] | None = None, data_vars: Sequence[str] | None = None) -> VoxelModel:
@@ -108,45 +178,66 @@ class VoxelModel:
     def with_variable(self, name: str, value: Column) -> VoxelModel:
         return replace(self, df=self.df.withColumn(name, value))
 
-    def _cut(self, df: DataFrame, **axes: Axis) -> VoxelModel:
-        return replace(self, df=df, **axes)
+    def cells(self, axes: str = "xyz") -> DataFrame:
+        """The cells with their numbers _i, _j, _k on the axes: what joins meet them by."""
+        return self.df.withColumns({KEYS[a]: getattr(self, a).index(F.col(a)) for a in axes})
+
+    def _number(self, name: str, v: Column) -> Column:
+        """The number of a cell that a coordinate names, rounding apart; null where it names none."""
+        axis: Axis = getattr(self, name)
+        return F.when(F.abs(axis.nearest(v) - v) <= EVEN * axis.step, axis.index(v))
+
+    def _kept(self, name: str, keep: Sequence[int]) -> VoxelModel:
+        """The cells with these numbers on an axis; the condition, a range where they are in a row, reaches the scan."""
+        axis: Axis = getattr(self, name)
+        if len(keep) == axis.size:
+            return self
+        found = [axis.centres[i] for i in keep]
+        if keep and keep[-1] - keep[0] + 1 == len(keep):
+            condition = (F.col(name) >= found[0]) & (F.col(name) <= found[-1])
+        else:
+            condition = F.col(name).isin(found) if found else F.lit(False)
+        return replace(self, df=self.df.where(condition), **{name: axis.without(keep)})
 
     def sel(self, method: str | None = None, **labels: Any) -> VoxelModel:
         """By coordinates: values, slices (bounds included) or, with method ``nearest``, the nearest ones."""
-        df, axes = self.df, {}
+        out = self
         for name, wanted in labels.items():
             axis: Axis = getattr(self, name)
             if isinstance(wanted, slice):
-                keep = [c for c in axis.centres if (wanted.start is None or c >= wanted.start) and (wanted.stop is None or c <= wanted.stop)]
+                keep = [i for i, c in enumerate(axis.centres) if (wanted.start is None or c >= wanted.start) and (wanted.stop is None or c <= wanted.stop)]
             else:
                 wanted = [wanted] if isinstance(wanted, (int, float)) else list(wanted)
-                if method == "nearest":
-                    wanted = [axis.centres[min(max(math.floor((v - axis.low) / axis.step), 0), axis.size - 1)] for v in wanted]
-                if missing := [v for v in wanted if v not in axis.centres]:
-                    raise KeyError(f"{name} has no {missing}")
-                keep = sorted(set(wanted))
-            df, axes[name] = df.where(F.col(name).isin(keep)), _axis_of(keep, axis.step)
-        return self._cut(df, **axes)
+                keep = sorted({axis.place(v) for v in wanted}) if axis.size else []
+                if method != "nearest":
+                    far = lambda v: not axis.size or abs(axis.centres[axis.place(v)] - v) > NOISE * max(axis.step, abs(v))
+                    if missing := [v for v in wanted if far(v)]:
+                        raise KeyError(f"{name} has no {missing}")
+            out = out._kept(name, keep)
+        return out
 
     def isel(self, **positions: Any) -> VoxelModel:
         """By positions on the axes (y from the north down, as exported)."""
-        labels = {}
+        out = self
         for name, at in positions.items():
-            centres = getattr(self, name).centres
-            centres = centres[::-1] if name == "y" else centres
-            labels[name] = centres[at] if isinstance(at, slice) else [centres[i] for i in ([at] if isinstance(at, int) else at)]
-        return self.sel(**labels)
+            numbers = range(getattr(self, name).size)
+            numbers = numbers[::-1] if name == "y" else numbers
+            out = out._kept(name, sorted(set(numbers[at]) if isinstance(at, slice) else {numbers[i] for i in ([at] if isinstance(at, int) else at)}))
+        return out
 
     def snap(self, points: DataFrame, x: Column, y: Column, inside: bool = True) -> DataFrame:
-        """points with the coordinates _cx, _cy of the nearest voxel column."""
+        """points with the numbers _ci, _cj of the nearest voxel column."""
         if inside:
             low = self.bounds
             points = points.where((x >= low[0]) & (x <= low[2]) & (y >= low[1]) & (y <= low[3]))
-        return points.withColumns({"_cx": self.x.nearest(x), "_cy": self.y.nearest(y)})
+        return points.withColumns({"_ci": self.x.index(x), "_cj": self.y.index(y)})
 
     def _columns_at(self, points: DataFrame, keys: list[str]) -> DataFrame:
-        cells = self.df.withColumnsRenamed({"x": "_mx", "y": "_my"})
-        return points.join(cells, (F.col("_cx") == F.col("_mx")) & (F.col("_cy") == F.col("_my"))).select(*keys, F.col("_mx").alias("x"), F.col("_my").alias("y"), "z", *map(col, self.variables))
+        # The points' columns carry names that no cell has.
+        own = {k: f"_key_{n}" for n, k in enumerate(keys)}
+        points = points.select(*[col(k).alias(v) for k, v in own.items()], "_ci", "_cj")
+        met = points.join(self.cells("xy"), (F.col("_ci") == F.col("_i")) & (F.col("_cj") == F.col("_j")))
+        return met.select(*[col(v).alias(k) for k, v in own.items()], *AXES, *map(col, self.variables))
 
     def select_with_points(self, points: DataFrame, key: str) -> DataFrame:
         """(key, x, y, z, variables): the voxel column nearest to each point within the model's bounds."""
@@ -156,27 +247,24 @@ class VoxelModel:
 
     def sample_along_line(self, line: Sequence[tuple[float, float]], dist: float | None = None, nsamples: int | None = None) -> DataFrame:
         """(distance, x, y, z, variables) at equal distances along a line: every dist (the end excluded) or nsamples."""
+        path = [(float(x), float(y)) for x, y in line]
+        one = self.df.sparkSession.createDataFrame([(0, path)], "line int, path array<struct<x: double, y: double>>")
+        return self.sample_along_lines(one, "line", dist, nsamples).drop("line")
+
+    def sample_along_lines(self, lines: DataFrame, key: str, dist: float | None = None, nsamples: int | None = None, path: str = "path") -> DataFrame:
+        """(key, distance, x, y, z, variables) at equal distances along each line of a table, as for one line.
+
+        A line is an array of points (x, y). Its stops are unfolded in the tasks that read it and met with the cells by
+        number; a line without length has one stop, an empty one none.
+        """
         if (dist is None) == (nsamples is None):
             raise ValueError("give either dist or nsamples")
-        lengths = [math.dist(p, q) for p, q in zip(line, line[1:])]
-        total = sum(lengths)
-        stops = [i * dist for i in range(math.ceil(total / dist))] if dist else [total * i / (nsamples - 1) if nsamples > 1 else 0.0 for i in range(nsamples)]
-        rows = []
-        for s in stops:
-            left = s
-            for (p, q), n in zip(zip(line, line[1:]), lengths):
-                if left <= n or (p, q) == (line[-2], line[-1]):
-                    t = min(1.0, left / n) if n else 0.0
-                    rows.append((float(s), p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-                    break
-                left -= n
-        points = self.df.sparkSession.createDataFrame(rows, "distance double, _x double, _y double")
-        return self._columns_at(self.snap(points, F.col("_x"), F.col("_y"), inside=False), ["distance"])
+        return self._columns_at(self.snap(stops(lines, key, path, dist, nsamples), F.col("_x"), F.col("_y"), inside=False), [key, "distance"])
 
     def slice_depth_interval(self, upper: float | DataFrame, lower: float | DataFrame, how: str = "overlap", drop: bool = True) -> VoxelModel:
         """Cells between two elevations; the others are null and, with drop, coordinates without a cell go.
 
-        A bound is a number or a table (x[, y], bound). ``overlap``: cells that reach into the interval; ``majority``:
+        A bound is a number or a table (x[, y], bound), met by the cells' numbers. ``overlap``: cells that reach into the interval; ``majority``:
         centres inside; ``inner``: cells inside as a whole.
         """
         if upper is None or lower is None:
@@ -188,7 +276,8 @@ class VoxelModel:
         for name, value in (("_upper", upper), ("_lower", lower)):
             if isinstance(value, DataFrame):
                 keys = [c for c in value.columns if c in ("x", "y")]
-                df = df.join(value.withColumnRenamed("bound", name), keys, "left")
+                at = value.select(*[self._number(c, value[c]).alias(f"{name}{c}") for c in keys], F.col("bound").cast("double").alias(name))
+                df = df.join(at, reduce(and_, [self._number(c, F.col(c)) == F.col(f"{name}{c}") for c in keys]), "left").drop(*[f"{name}{c}" for c in keys])
                 bounds.append(F.col(name))
             else:
                 bounds.append(F.lit(float(value)))
@@ -207,11 +296,11 @@ class VoxelModel:
                 sets = out.agg(*[F.collect_set(F.when(F.col(flag), F.col(a))).alias(a) for a in AXES]).first()
                 for a in AXES:
                     out = out.where(F.col(a).isin(sets[a]) if sets[a] else F.lit(False))
-            axes = {a: Axis(min(sets[a]), getattr(self, a).step, len(sets[a])) for a in AXES if sets[a]}
-            return self._cut(out.select(*AXES, *map(col, self.variables)), **axes)
+            axes = {a: getattr(self, a).without(sorted(getattr(self, a).place(v) for v in sets[a])) for a in AXES}
+            return replace(self, df=out.select(*AXES, *map(col, self.variables)), **axes)
         # Numbers cut the z axis alone, and the scan with it.
-        kept = [c for c in self.z.centres if {"overlap": c - h < upper and c + h > lower, "majority": lower <= c <= upper, "inner": c + h <= upper and c - h >= lower}[how]]
-        return self._cut(self.df.where(F.col("z").isin(kept) if kept else F.lit(False)), z=_axis_of(kept, self.z.step))
+        reaches = {"overlap": lambda c: c - h < upper and c + h > lower, "majority": lambda c: lower <= c <= upper, "inner": lambda c: c + h <= upper and c - h >= lower}[how]
+        return self._kept("z", [i for i, c in enumerate(self.z.centres) if reaches(c)])
 
     def thickness(self, condition: Column, depth_range: tuple[float, float] | None = None) -> DataFrame:
         """(x, y, thickness) of the cells that meet a condition; 0 where none does."""
@@ -249,18 +338,39 @@ class VoxelModel:
         return out.select(*rest, "value", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*rest))).alias("share"))
 
 
-def axes_of(df: DataFrame, names: Sequence[str]) -> dict[str, Axis]:
-    """The axes of a table of cells: one pass, with the coordinates of an axis as a set in each task, which is no larger
-    than the grid is wide (distinct counts would lay every row out once an axis)."""
-    row = df.agg(*[f.alias(f"{a}{k}") for a in names for k, f in (("lo", F.min(a)), ("hi", F.max(a)), ("n", F.size(F.collect_set(a))))]).first()
-    return {a: Axis(row[f"{a}lo"], (row[f"{a}hi"] - row[f"{a}lo"]) / (row[f"{a}n"] - 1) if row[f"{a}n"] > 1 else 1.0, row[f"{a}n"]) for a in names}
-
-
-def _axis_of(centres: Sequence[float], step: float) -> Axis:
-    """The axis of kept centres, which stay regular where every one is kept."""
-    if len(centres) > 1:
-        step = (centres[-1] - centres[0]) / (len(centres) - 1)
-    return Axis(centres[0] if centres else 0.0, step, len(centres))
+def axes_of(df: DataFrame, names: Sequence[str]) -> tuple[dict[str, Axis], list[str]]:
+    """The axes of a table of cells, and those with coordinates that differ by rounding. One pass, with the coordinates
+    of an axis as a set in each task, which is no larger than the grid is wide."""
+    row = df.agg(*[F.collect_set(F.col(a).cast("double")).alias(a) for a in names]).first()
+    axes = {a: Axis.of(row[a], first_step=a == "z") for a in names}
+    return axes, [a for a in names if axes[a].size < len({v for v in row[a] if not math.isnan(v)})]
+
+
+def stops(lines: DataFrame, key: str, path: str, dist: float | None, nsamples: int | None) -> DataFrame:
+    """(key, distance, _x, _y): points at equal distances along lines, without Python."""
+    if dist is not None and dist <= 0 or nsamples is not None and nsamples < 1:
+        raise ValueError("dist must be above 0, nsamples at least 1")
+    p = lines.where(F.size(path) > 0).select(col(key), col(path).alias("_p"))
+    size = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+    steps = F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda q, i: size(F.get("_p", i), q))
+    p = p.withColumn("_s", steps)
+    # Distances at which the points of the line stand, from 0.
+    reached = F.aggregate("_s", F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+    p = p.withColumn("_at", reached).withColumn("_total", F.element_at("_at", -1))
+    if dist is not None:
+        n = F.greatest(F.ceil(F.col("_total") / dist), F.lit(1))
+        at = F.col("_n") * F.lit(float(dist))
+    else:
+        n = F.lit(nsamples)
+        at = F.col("_total") * F.col("_n") / F.lit(float(max(nsamples - 1, 1)))
+    p = p.withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).withColumn("distance", at.cast("double"))
+    # The stretch that ends at or beyond the stop, by binary search over the distances.
+    strides = F.lit([1 << k for k in range(30, -1, -1)])
+    found = F.aggregate(strides, F.lit(0), lambda i, k: F.when(F.coalesce(F.get("_at", i + k) < F.col("distance"), F.lit(False)), i + k).otherwise(i))
+    p = p.withColumn("_e", F.least(found, F.greatest(F.size("_s") - 1, F.lit(0))))
+    a, b = F.get("_p", F.col("_e")), F.coalesce(F.get("_p", F.col("_e") + 1), F.get("_p", F.col("_e")))
+    t = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("distance") - F.get("_at", F.col("_e")), F.get("_s", F.col("_e")))), F.lit(0.0))
+    return p.select(col(key), "distance", (a["x"] + t * (b["x"] - a["x"])).alias("_x"), (a["y"] + t * (b["y"] - a["y"])).alias("_y"))
 
 
 def cell_centres(df: DataFrame, cellsize: float, dz: float) -> DataFrame:
@@ -276,7 +386,7 @@ def sample_raster(df: DataFrame, raster: DataFrame, name: str = "value") -> Data
     """Add the value of the nearest cell of a raster (x, y, value); null outside it."""
     if not {"x", "y", "value"} <= set(raster.columns):
         raise TypeError("a raster has the columns x, y and value")
-    axes = axes_of(raster, ("x", "y"))
+    axes, _ = axes_of(raster, ("x", "y"))
     roles = Roles.of(df)
     x, y = col(roles.x).cast("double"), col(roles.y).cast("double")
     inside = (x >= axes["x"].low) & (x <= axes["x"].high) & (y >= axes["y"].low) & (y <= axes["y"].high)

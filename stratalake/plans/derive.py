@@ -69,6 +69,17 @@ def voxels(spark: SparkSession, sf_dir: str) -> VoxelModel:
     return VoxelModel.from_table(voxel_cells(spark, sf_dir))
 
 
+def tenth_cells(spark: SparkSession, sf_dir: str, z: str = "pos * 0.1D - 6.35D") -> DataFrame:
+    """The cells on a grid of steps that are no binary fractions; z may be any ascending function of the position."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e"))
+    return cells.selectExpr(
+        "vec_id % 25 * 0.1D + 0.05D as x",
+        "cast(floor(vec_id / 25) as double) / 3D as y",
+        f"{z} as z",
+        "case when cast(e as double) < -0.1D then 1 when cast(e as double) < 0.05D then 2 when cast(e as double) < 0.2D then 3 end as code",
+    )
+
+
 SQL = {
     "layers": """layers as (
   select l.l_orderkey as nr, cast(o.o_custkey % 64 as double) as x, cast(o.o_custkey % 48 as double) as y,
@@ -87,6 +98,11 @@ SQL = {
          case when e < -0.1 then 1 when e < 0.05 then 2 when e < 0.2 then 3 end as lith
   from (select vec_id, generate_subscripts(embedding, 1) - 1 as pos, cast(unnest(embedding) as double) as e from embeddings) t)""",
 }
+for _name, _z in (("tenths", "pos * 0.1::double - 6.35::double"), ("uneven", "pos * pos * 0.01::double - 40.3::double")):
+    SQL[_name] = f"""{_name} as (
+  select vec_id % 25 * 0.1::double + 0.05::double as x, floor(vec_id / 25)::double / 3::double as y, {_z} as z,
+         case when e < -0.1 then 1 when e < 0.05 then 2 when e < 0.2 then 3 end as code
+  from (select vec_id, (generate_subscripts(embedding, 1) - 1)::int as pos, cast(unnest(embedding) as double) as e from embeddings) t)"""
 
 
 def with_relations(sql: str) -> str:

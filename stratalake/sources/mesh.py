@@ -51,26 +51,27 @@ def cylinders(df: DataFrame, radius: float, n_sides: int = 12, vertical_factor:
 def voxel_mesh(model: VoxelModel, variable: str) -> tuple[DataFrame, DataFrame]:
     """(points, cells): distinct corners with dense ids, and for each cell with a value the ids of its eight corners.
 
-    A corner's id counts the corners before it: within its (x, y) column by rank, over columns by a running sum over
-    the columns of one x, and over the x's, of which there are few.
+    A corner is named by its numbers on the cells' borders, so neighbours share it. Its id counts the corners before it:
+    within its (x, y) column by rank, over columns by a running sum over the columns of one x, and over the x's.
     """
-    hx, hy, hz = model.x.step / 2, model.y.step / 2, model.z.step / 2
-    cells = model.df.where(col(variable).isNotNull())
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    flat = [(-hx, -hy), (hx, -hy), (hx, hy), (-hx, hy)]
-    corners = _points(*[(x + a, y + b, z + c) for c in (-hz, hz) for a, b in flat])
+    cells = model.cells().where(col(variable).isNotNull())
+    around = [(a, b, c) for c in (0, 1) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    corners = F.array(*[F.struct((F.col("_i") + a).alias("i"), (F.col("_j") + b).alias("j"), (F.col("_k") + c).alias("k")) for a, b, c in around])
     loose = cells.select(F.explode(corners).alias("p")).select("p.*").distinct()
-    per_column = loose.groupBy("x", "y").agg(F.count("*").alias("n"))
-    per_x = per_column.groupBy("x").agg(F.sum("n").alias("n"))
-    start_x = per_x.select(F.col("x").alias("_x"), (F.sum("n").over(Window.orderBy("x")) - F.col("n")).alias("_sx"))
-    start_y = per_column.select(F.col("x").alias("_px"), F.col("y").alias("_py"), (F.sum("n").over(Window.partitionBy("x").orderBy("y")) - F.col("n")).alias("_sy"))
-    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("z")) - 1
-    points = loose.withColumn("_rank", rank).join(start_x, F.col("x") == F.col("_x")).join(start_y, (F.col("x") == F.col("_px")) & (F.col("y") == F.col("_py")))
-    points = points.select((F.col("_rank") + F.col("_sx") + F.col("_sy")).alias("id"), "x", "y", "z")
-    keyed = cells.select("*", F.posexplode(corners).alias("k", "p"))
-    ids = points.withColumnsRenamed({c: f"_{c}" for c in points.columns})
-    met = keyed.join(ids, (F.col("p.x") == F.col("_x")) & (F.col("p.y") == F.col("_y")) & (F.col("p.z") == F.col("_z")))
-    grouped = met.groupBy("x", "y", "z", *[c for c in cells.columns if c not in ("x", "y", "z")]).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "_id"))), lambda s: s["_id"]).alias("points"))
+    per_column = loose.groupBy("i", "j").agg(F.count("*").alias("n"))
+    per_x = per_column.groupBy("i").agg(F.sum("n").alias("n"))
+    start_x = per_x.select(F.col("i").alias("_x"), (F.sum("n").over(Window.orderBy("i")) - F.col("n")).alias("_sx"))
+    start_y = per_column.select(F.col("i").alias("_px"), F.col("j").alias("_py"), (F.sum("n").over(Window.partitionBy("i").orderBy("j")) - F.col("n")).alias("_sy"))
+    rank = F.row_number().over(Window.partitionBy("i", "j").orderBy("k")) - 1
+    numbered = loose.withColumn("_rank", rank).join(start_x, F.col("i") == F.col("_x")).join(start_y, (F.col("i") == F.col("_px")) & (F.col("j") == F.col("_py")))
+    numbered = numbered.select((F.col("_rank") + F.col("_sx") + F.col("_sy")).alias("id"), "i", "j", "k")
+    edge = lambda axis, c: F.get(F.lit(axis.edges), F.col(c))
+    points = numbered.select("id", edge(model.x, "i").alias("x"), edge(model.y, "j").alias("y"), edge(model.z, "k").alias("z"))
+    keyed = cells.select("*", F.posexplode(corners).alias("_at", "_p"))
+    ids = numbered.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_n{c}") for c in "ijk"])
+    met = keyed.join(ids, (F.col("_p.i") == F.col("_ni")) & (F.col("_p.j") == F.col("_nj")) & (F.col("_p.k") == F.col("_nk")))
+    names = ["x", "y", "z", *[c for c in model.df.columns if c not in ("x", "y", "z")]]
+    grouped = met.groupBy(*map(col, names)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda s: s["_id"]).alias("points"))
     return points, grouped
 
 
