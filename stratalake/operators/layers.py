@@ -94,13 +94,26 @@ def layer_top(df: DataFrame, column: str, values: Any, min_thickness: float | No
 def share_below(rows: DataFrame, nr: str, reach: float) -> DataFrame:
     """(nr, top, share): from each matching row's top, the share of the next reach metres that matches.
 
-    An equi-join on the survey with a range condition; both sides hash on the survey, so one exchange serves them.
+    Running sums in place of pairs of rows: each matching row sets a mark at the end of its reach, and in the order of
+    depth, marks before rows that begin there, the sum of matching lengths up to the mark less the sum above the row is
+    what matches. Only the last row before the mark can reach beyond it. The work is linear in the rows of a survey,
+    and both windows share the exchange on it.
     """
-    starts = rows.where("ok").select(nr, F.col("top").alias("_start"))
-    below = rows.select(F.col(nr).alias("_nr"), "ok", "top", "bottom")
-    near = starts.join(below, (F.col(nr) == F.col("_nr")) & (F.col("top") >= F.col("_start")) & (F.col("top") < F.col("_start") + reach))
-    inside = F.when(F.col("ok"), F.least(F.col("bottom"), F.col("_start") + reach) - F.col("top")).otherwise(0.0)
-    return near.groupBy(nr, F.col("_start").alias("top")).agg((F.sum(inside) / reach).alias("share"))
+    length = F.when(F.col("ok") & F.col("bottom").isNotNull(), F.col("bottom") - F.col("top")).otherwise(0.0)
+    down = Window.partitionBy(nr).orderBy("top")
+    above = F.sum("_len").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("_len").over(down.rangeBetween(Window.currentRow, Window.currentRow))
+    rows = rows.where(F.col("top").isNotNull()).withColumn("_len", length).withColumn("_above", above)
+    mark = lambda at, row: F.struct(at.cast("double").alias("at"), F.lit(row).alias("row"))
+    marks = F.when(F.col("ok"), F.array(mark(F.col("top"), 1), mark(F.col("top") + reach, 0))).otherwise(F.array(mark(F.col("top"), 1)))
+    events = rows.select(nr, "ok", "top", "bottom", "_len", "_above", F.explode(marks).alias("_m")).select("*", "_m.at", "_m.row")
+    upto = Window.partitionBy(nr).orderBy("at", "row", "bottom").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_row = F.col("row") == 1
+    events = events.withColumns({
+        "_sum": F.sum(F.when(is_row, F.col("_len")).otherwise(0.0)).over(upto),
+        "_last": F.last(F.when(is_row, F.struct("ok", "bottom")), ignorenulls=True).over(upto),
+    })
+    beyond = F.when(F.col("_last.ok"), F.greatest(F.col("_last.bottom") - F.col("at"), F.lit(0.0))).otherwise(0.0)
+    return events.where(~is_row).select(nr, "top", ((F.col("_sum") - F.col("_above") - F.coalesce(beyond, F.lit(0.0))) / reach).alias("share"))
 
 
 def layer_base(df: DataFrame, column: str, values: Any, min_thickness: float = 0) -> DataFrame:
@@ -113,11 +126,14 @@ def layer_base(df: DataFrame, column: str, values: Any, min_thickness: float = 0
 
 
 def top_of_sand(df: DataFrame, lith: str = "lith", fraction: float = 0.5, reach: float = 1.0, sand: tuple[str, ...] = ("Z", "G")) -> DataFrame:
-    """(nr, top) for every survey: the first sand layer from which on reach metres hold that share of sand; else null."""
+    """(nr, top) for every survey: the first sand layer from which on reach metres hold that share of sand; else null.
+
+    Shares that differ from the wanted one by rounding count as equal to it.
+    """
     roles = Roles.of(df)
     roles.need("top", "depth")
     rows = df.select(col(roles.nr).alias("nr"), F.coalesce(col(lith).isin(*sand), F.lit(False)).alias("ok"), col(roles.top).alias("top"), col(roles.depth).alias("bottom"))
-    found = share_below(rows, "nr", reach).where(F.col("share") >= fraction).groupBy("nr").agg(F.min("top").alias("top"))
+    found = share_below(rows, "nr", reach).where(F.col("share") >= fraction - 1e-9).groupBy("nr").agg(F.min("top").alias("top"))
     return rows.select("nr").distinct().join(found, "nr", "left")
 
 
