@@ -6,7 +6,9 @@ coordinates that were computed. Axes may be irregular: then a number is found by
 
 from __future__ import annotations
 
+import json
 import math
+import struct
 from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
@@ -31,6 +33,22 @@ MAX_VALUES = 10_000
 NOISE, EVEN = 1e-9, 1e-6
 
 
+def turn(a: float, b: float) -> float:
+    """The least number whose distance to b, as it is computed, is not above that to a; a < b."""
+    nearer = lambda v: b - v <= v - a
+    middle = (a + b) / 2
+    if nearer(middle) and not nearer(math.nextafter(middle, -math.inf)):
+        return middle
+    # Halving between a and b, over numbers as integers in their order.
+    key = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    number = lambda k: struct.unpack("<d", struct.pack("<q", k))[0] if k >= 0 else -struct.unpack("<d", struct.pack("<q", -k))[0]
+    low, high = key(a), key(b)
+    while high - low > 1:
+        at = (low + high) // 2
+        low, high = (low, at) if nearer(number(at)) else (at, high)
+    return number(high)
+
+
 @dataclass(frozen=True)
 class Axis:
     """An axis of cell centres, ascending, as stored; ``step`` is the nominal width of a cell."""
@@ -79,34 +97,41 @@ class Axis:
         c = self.centres
         return [self.low, *[(a + b) / 2 for a, b in zip(c, c[1:])], self.high]
 
+    @cached_property
+    def turns(self) -> list[float]:
+        """For each centre but the last the least number that is nearer to the next one, or as near."""
+        return [turn(a, b) for a, b in zip(self.centres, self.centres[1:])]
+
     def place(self, v: float) -> int:
         """Number of the nearest centre; half-way between two the larger coordinate's."""
-        i = max(0, bisect_right(self.centres, v) - 1)
-        return i + (i + 1 < self.size and self.centres[i + 1] - v <= v - self.centres[i])
+        return bisect_right(self.turns, v)
+
+    @cached_property
+    def constants(self) -> tuple[Column, Column]:
+        """Centres and turns, each as one constant of the plan and not a term a number."""
+        return tuple(F.from_json(F.lit(json.dumps(x)), "array<double>") for x in (self.centres, self.turns))
 
     def centre(self, i: Column) -> Column:
-        return F.get(F.lit(list(self.centres)), i)
+        return F.get(self.constants[0], i)
 
     def index(self, v: Column) -> Column:
         """place() as a column, from 0; null for null. One outside belongs to the edge's cell.
 
-        On a regular axis arithmetic comes within one of the number and the stored coordinates next to it decide; on
-        others a binary search over the centres finds the one at or below.
+        On a regular axis arithmetic comes within one of the number and the turns beside it decide; on others a binary
+        search over the turns finds it.
         """
-        v = v.cast("double")
+        v, turns = v.cast("double"), self.constants[1]
         if self.size < 2:
-            return F.when(v.isNotNull(), F.lit(0))
-        if self.regular:
+            found = F.lit(0)
+        elif self.regular:
             mean = (self.centres[-1] - self.centres[0]) / (self.size - 1)
             g = F.least(F.greatest(F.floor((v - (self.centres[0] - mean / 2)) / mean), F.lit(0)), F.lit(self.size - 1)).cast("int")
-            down = (g > 0) & (v - self.centre(g - 1) < self.centre(g) - v)
+            found = g + F.when(v >= F.get(turns, g), 1).when(v < F.get(turns, g - 1), -1).otherwise(0)
         else:
-            # Halving strides: a stride is taken where the coordinate it leads to is not above v.
-            strides = [1 << k for k in range((self.size - 1).bit_length() - 1, -1, -1)]
-            g = F.aggregate(F.lit(strides), F.lit(0), lambda i, k: F.when(F.coalesce(self.centre(i + k) <= v, F.lit(False)), i + k).otherwise(i))
-            down = F.lit(False)
-        up = (g < self.size - 1) & (self.centre(g + 1) - v <= v - self.centre(g))
-        return F.when(v.isNotNull() & ~F.isnan(v), F.when(up, g + 1).when(down, g - 1).otherwise(g)).cast("int")
+            # Halving strides: a stride is taken where the turn it leads over is not above v.
+            strides = F.lit([1 << k for k in range((self.size - 1).bit_length() - 1, -1, -1)])
+            found = F.aggregate(strides, F.lit(0), lambda i, k: F.when(F.get(turns, i + k - 1) <= v, i + k).otherwise(i))
+        return F.when(v.isNotNull() & ~F.isnan(v), found).cast("int")
 
     def nearest(self, v: Column) -> Column:
         return self.centre(self.index(v))

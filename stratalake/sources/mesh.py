@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,7 +66,7 @@ def voxel_mesh(model: VoxelModel, variable: str) -> tuple[DataFrame, DataFrame]:
     rank = F.row_number().over(Window.partitionBy("i", "j").orderBy("k")) - 1
     numbered = loose.withColumn("_rank", rank).join(start_x, F.col("i") == F.col("_x")).join(start_y, (F.col("i") == F.col("_px")) & (F.col("j") == F.col("_py")))
     numbered = numbered.select((F.col("_rank") + F.col("_sx") + F.col("_sy")).alias("id"), "i", "j", "k")
-    edge = lambda axis, c: F.get(F.lit(axis.edges), F.col(c))
+    edge = lambda axis, c: F.get(F.from_json(F.lit(json.dumps(axis.edges)), "array<double>"), F.col(c))
     points = numbered.select("id", edge(model.x, "i").alias("x"), edge(model.y, "j").alias("y"), edge(model.z, "k").alias("z"))
     keyed = cells.select("*", F.posexplode(corners).alias("_at", "_p"))
     ids = numbered.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_n{c}") for c in "ijk"])
