@@ -44,6 +44,9 @@ EMPTY, SYSTEM, OPEN, WHOLE = range(4)
 STEP = {"s": {EMPTY: SYSTEM}, "u": {EMPTY: OPEN, SYSTEM: OPEN, WHOLE: OPEN}, "a": {OPEN: WHOLE}}
 NEXT = (OPEN, OPEN, WHOLE, OPEN)
 INF = 1 << 60
+#: A state so much dearer than another never leads to the least cost: from any state two insertions (6) reach a whole
+#: conversation, and what another state can do from there costs at most one deletion (4) more.
+FAR = 2 * INSERT + DELETE
 HELD = 4096
 
 
@@ -71,7 +74,7 @@ class Trie:
     """The open path of a prefix trie of signatures, with a DP layer a node.
 
     Layers with the same differences of cost and the same ranks are one *shape*; what a symbol makes of a shape is
-    remembered, as there are few. A node holds its shape, its least cost and the way back.
+    remembered, as there are few (states that can't lead to the least cost any more are left out). A node holds its shape, its least cost and the way back.
     """
 
     def __init__(self):
@@ -104,6 +107,7 @@ class Trie:
                         best[to] = found
                 at = NEXT[at]
         least = min(b[0] for b in best if b)
+        best = [b if b and b[0] <= least + FAR else None for b in best]
         place = {b[1:3]: i for i, b in enumerate(sorted((b for b in best if b), key=lambda b: b[1:3]))}
         new = (tuple(b[0] - least if b else INF for b in best), tuple(place[b[1:3]] if b else 0 for b in best))
         if new not in self.shapes:
