@@ -16,7 +16,7 @@ from functools import cached_property, reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..roles import Roles, col
@@ -164,6 +164,20 @@ class VoxelModel:
         axes, noisy = axes_of(df, AXES)
         return cls(df.withColumns({a: axes[a].nearest(F.col(a)) for a in noisy}), crs=crs, **axes)
 
+    @classmethod
+    def from_netcdf(cls, spark: SparkSession, path: str, data_vars: Sequence[str] | None = None, bbox: tuple[float, float, float, float] | None = None, crs: int | None = None, lower_left: tuple[float, float] | None = None) -> VoxelModel:
+        """A model of a classic NetCDF file, of which tasks read the variables and the box alone.
+
+        ``lower_left``: (cell size, height of a cell) where the file names cells by their lower left bottom corner.
+        """
+        from ..sources.netcdf import read_netcdf
+
+        if lower_left:
+            size, dz = lower_left
+            wide = (bbox[0] - size, bbox[1] - size, bbox[2] + size, bbox[3] + size) if bbox else None
+            return cls.from_lower_left(read_netcdf(spark, path, data_vars, wide), size, dz, crs, bbox, data_vars)
+        return cls.from_table(read_netcdf(spark, path, data_vars, bbox), crs, data_vars)
+
     @classmethod
     def from_lower_left(cls, df: DataFrame, cellsize: float, dz: float, crs: int | None = None, bbox: tuple[float, float, float, float] | None = None, data_vars: Sequence[str] | None = None) -> VoxelModel:
         """A model whose table names cells by their lower left bottom corner."""

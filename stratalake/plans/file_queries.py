@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geotech
-from ..sources import readers
+from ..sources import netcdf, readers
 from . import derive
 from .queries import L, M, query
 
@@ -108,3 +108,14 @@ def read_boris(spark, d):
     surveys = one_text(L(spark, d), "bottom", piece, ["nr", "x", "y", "surface"])
     content = text('<xml><pointSurvey id="', F.col("nr"), '">', *inside("x", F.col("x")), *inside("y", F.col("y")), *inside("surfaceLevel", F.col("surface")), F.col("body"), "</pointSurvey></xml>")
     return readers.boris_rows(surveys.select(content.cast("binary").alias("content"))).select("nr", "x", "y", "surface", "end", "top", "bottom", "lithology")
+
+
+@query("select x, y, z, lith from voxels where x between 3 and 11 and y between 2 and 14")
+def read_netcdf(spark, d):
+    """The voxel model written as a classic NetCDF file, and a box of it read back."""
+    from ..operators.voxel import VoxelModel
+    from ..storage import shared_file
+
+    model, path = derive.voxels(spark, d), shared_file(spark, "voxels.nc")
+    netcdf.write_netcdf(model.df, path, {a: getattr(model, a).centres for a in "xyz"})
+    return VoxelModel.from_netcdf(spark, path, ["lith"], (3, 2, 11, 14)).df
