@@ -107,7 +107,7 @@ def read_boris(spark, d):
     piece = text('<lithoInterval baseDepth="', F.col("bottom"), '"><lithology code="', F.col("lith"), '"/></lithoInterval>')
     surveys = one_text(L(spark, d), "bottom", piece, ["nr", "x", "y", "surface"])
     content = text('<xml><pointSurvey id="', F.col("nr"), '">', *inside("x", F.col("x")), *inside("y", F.col("y")), *inside("surfaceLevel", F.col("surface")), F.col("body"), "</pointSurvey></xml>")
-    return readers.boris_rows(surveys.select(content.cast("binary").alias("content"))).select("nr", "x", "y", "surface", "end", "top", "bottom", "lithology")
+    return readers.boris_rows(surveys.select(F.col("nr").cast("string").alias("path"), content.cast("binary").alias("content"))).select("nr", "x", "y", "surface", "end", "top", "bottom", "lithology")
 
 
 @query("select x, y, z, lith from voxels where x between 3 and 11 and y between 2 and 14")

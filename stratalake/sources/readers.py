@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import sqlite3
 import warnings
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
 from dataclasses import dataclass, field
 from pathlib import Path
-from typing import Any
+from typing import Any, BinaryIO
 from urllib.parse import quote
 
 import pandas as pd
@@ -23,10 +24,12 @@ from ..functions.geometry import from_wkb, wkb_point
 from ..functions.geotech import CLASSES, COARSEST
 from ..operators.layers import adjust_depths
 from ..roles import check_roles, col
-from ..storage import settled
+from ..storage import open_file, settled
 
 #: Columns that files may have between them.
 MAX_COLUMNS = 10_000
+#: Rows that a task hands on at a time.
+OUT_ROWS = 20_000
 
 
 def names_in(rows: DataFrame, maps: str) -> list[str]:
@@ -120,7 +123,10 @@ def _number(text: Any) -> float | None:
 
 def parse_gef(text: str) -> tuple[dict, list[dict]]:
     """(header, rows) of a cone penetration test. Later keywords replace earlier ones; ragged rows are left out."""
-    head, _, body = re.split(r"(#EOH\s*=[^\n]*\n?)", text, maxsplit=1)
+    parts = re.split(r"#EOH\s*=[^\n]*\n?", text, maxsplit=1)
+    if len(parts) < 2:
+        raise ValueError("the header of a GEF file ends with #EOH, and there is none")
+    head, body = parts
     info: dict[str, list[str]] = {}
     columns, voids, variables = {}, {}, {}
     for line in head.splitlines():
@@ -174,7 +180,10 @@ def gef_rows(files: DataFrame) -> DataFrame:
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"]):
-                header, rows = parse_gef(bytes(content).decode("utf-8", "replace"))
+                try:
+                    header, rows = parse_gef(bytes(content).decode("utf-8", "replace"))
+                except ValueError as error:
+                    raise ValueError(f"{path}: {error}") from error
                 if rows:
                     flat = [(path, header["nr"], header["x"], header["y"], header["surface"], header["end"], i, {k: v for k, v in r.items() if v is not None}) for i, r in enumerate(rows)]
                     yield pd.DataFrame(flat, columns=["path", "nr", "x", "y", "surface", "end", "_pos", "values"])
@@ -270,7 +279,8 @@ def _find(element: ET.Element, path: str) -> str | None:
     return None
 
 
-def parse_survey(payload: ET.Element, schema: XmlSchema) -> tuple[dict[str, Any], list[dict[str, str | float | None]]]:
+def parse_survey(payload: ET.Element, schema: XmlSchema, layers: list[dict]) -> tuple[dict[str, Any], list[dict[str, str | float | None]]]:
+    """(header, rows) of a survey's element, from which the elements of its layers are taken out."""
     head: dict[str, Any] = {k: _find(payload, p) for k, p in schema.paths.items()}
     for k in NUMERIC & head.keys():
         head[k] = _number(head[k])
@@ -286,11 +296,81 @@ def parse_survey(payload: ET.Element, schema: XmlSchema) -> tuple[dict[str, Any]
         for r in rows:
             r["depth"] = r.get("depth") if r.get("depth") is not None else r.get("penetrationlength")
         return head, sorted(rows, key=lambda r: (r["depth"] is None, r["depth"] or 0.0))
-    rows = []
-    for e in payload.iter():
-        if local(e) == schema.rows:
-            rows.append({a: next((c.text.strip() for c in e.iter() if local(c) == a and c.text and c.text.strip()), None) for a in schema.attributes})
-    return head, rows
+    return head, layers
+
+
+def layer_of(e: ET.Element, schema: XmlSchema) -> dict[str, str]:
+    """The attributes of a row's element that have a text."""
+    found: dict[str, str] = {}
+    wanted = set(schema.attributes)
+    for c in e.iter():
+        name = local(c)
+        if name in wanted and name not in found and c.text and (text := c.text.strip()):
+            found[name] = text
+    return found
+
+
+def surveys_in(source: BinaryIO, schema: XmlSchema, path: str, read_all: bool = True) -> Iterator[tuple[dict, list[dict], bool]]:
+    """(header, rows, whether the file has more surveys) of a file's surveys, read as a stream.
+
+    What is done with goes from the tree at once: a survey when it has been read, a layer when its attributes are taken,
+    what stands beside the payload when it ends. Memory holds the values of one survey, whatever the file's size.
+    """
+    stack: list[ET.Element] = []
+    holder: ET.Element | None = None
+    closed, first = False, None
+    layers: list[dict] = []
+    try:
+        for event, e in ET.iterparse(source, ("start", "end")):
+            if event == "start":
+                if holder is None and (schema.payload is None and not stack or local(e) == schema.payload):
+                    holder = e
+                elif first and holder is not None and stack and stack[-1] is holder:
+                    yield (*first, True)
+                    return
+                stack.append(e)
+                continue
+            stack.pop()
+            if e is holder:
+                closed = True
+            inside = holder is not None and not closed
+            if inside and stack and stack[-1] is holder:
+                found = parse_survey(e, schema, layers)
+                layers = []
+                if read_all:
+                    yield (*found, False)
+                else:
+                    first = found
+                holder.remove(e)
+            elif inside and stack and not schema.values and local(e) == schema.rows:
+                layers.append(layer_of(e, schema))
+                stack[-1].remove(e)
+            elif not inside and e is not holder:
+                e.clear()
+    except ET.ParseError as error:
+        raise ValueError(f"{path} is no well-formed XML: {error}") from error
+    if holder is None:
+        raise ValueError(f"{path} has no {schema.payload}: the schema is one for other files")
+    if first:
+        yield (*first, False)
+
+
+#: File systems that tasks open themselves; files of others come as a whole from Spark.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def files_at(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, content) of files: without contents where tasks can open the paths, which then may have any size."""
+    files = spark.read.format("binaryFile").load(paths)
+    schemes = {r[0] for r in files.select(F.substring_index("path", ":", 1)).distinct().collect()}
+    if schemes <= set(OPENED):
+        return files.select("path", F.lit(None).cast("binary").alias("content"))
+    return files.select("path", "content")
+
+
+def opened(path: str, content: bytes | None) -> BinaryIO:
+    """The file of a row of files_at."""
+    return io.BytesIO(content) if content is not None else open_file(path)
 
 
 def read_xml(spark: SparkSession, paths: str | list[str], kind: str | XmlSchema, read_all: bool = True, crs: int | None = None, company: str | None = None) -> Collection:
@@ -299,33 +379,32 @@ def read_xml(spark: SparkSession, paths: str | list[str], kind: str | XmlSchema,
     ElementTree resolves no external entities. Locations of geographic systems come as latitude, longitude. A file
     without the schema's payload is an error; a schema without one reads the document's own elements.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return surveys_of(files, schema_of(kind, company), read_all, crs)
+    return surveys_of(files_at(spark, paths), schema_of(kind, company), read_all, crs)
 
 
 def surveys_of(files: DataFrame, schema: XmlSchema, read_all: bool = True, crs: int | None = None) -> Collection:
-    """The surveys of XML files given as rows (path, content)."""
+    """The surveys of XML files given as rows (path, content); where content is null, tasks open the path."""
+    names = ["nr", "x", "y", "surface", "end", "epsg", "more", "meta", "_pos", "row"]
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                root = ET.fromstring(bytes(content))
-                holder = next((e for e in root.iter() if local(e) == schema.payload), None) if schema.payload else root
-                if holder is None:
-                    raise ValueError(f"{path} has no {schema.payload}: the schema is one for other files")
-                for payload in list(holder) if read_all else list(holder)[:1]:
-                    head, rows = parse_survey(payload, schema)
-                    a, b = (*map(_number, re.split(r"[\s,;]+", (head.pop("location", None) or "").strip())), None, None)[:2]
-                    code = re.search(r"(\d+)$", head.pop("crs", None) or "")
-                    epsg = int(code[1]) if code else None
-                    x, y = (b, a) if epsg in (4326, 4258, None) else (a, b)
-                    surface, end = head.get("surface"), head.get("end")
-                    meta = {k: str(v) for k, v in head.items() if v is not None and k not in ("nr", "surface", "end")}
-                    for i, r in enumerate(rows):
-                        out.append((head["nr"], x, y, surface, surface - end if surface is not None and end is not None else None, epsg, len(holder) > 1, meta, i, {k: str(v) for k, v in r.items() if v is not None}))
+                with opened(path, content) as source:
+                    for head, rows, more in surveys_in(source, schema, path, read_all):
+                        a, b = (*map(_number, re.split(r"[\s,;]+", (head.pop("location", None) or "").strip())), None, None)[:2]
+                        code = re.search(r"(\d+)$", head.pop("crs", None) or "")
+                        epsg = int(code[1]) if code else None
+                        x, y = (b, a) if epsg in (4326, 4258, None) else (a, b)
+                        surface, end = head.get("surface"), head.get("end")
+                        meta = {k: str(v) for k, v in head.items() if v is not None and k not in ("nr", "surface", "end")}
+                        for i, r in enumerate(rows):
+                            out.append((head["nr"], x, y, surface, surface - end if surface is not None and end is not None else None, epsg, more, meta, i, {k: str(v) for k, v in r.items() if v is not None}))
+                            if len(out) >= OUT_ROWS:
+                                yield pd.DataFrame(out, columns=names)
+                                out = []
             if out:
-                yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "epsg", "more", "meta", "_pos", "row"])
+                yield pd.DataFrame(out, columns=names)
 
     rows = settled(files.select("path", "content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, epsg int, more boolean, meta map<string,string>, _pos int, row map<string,string>"))
     if not read_all and not rows.where("more").isEmpty():
@@ -347,32 +426,60 @@ def surveys_of(files: DataFrame, schema: XmlSchema, read_all: bool = True, crs:
 
 def read_boris_xml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Layers of the point surveys of lithological description files: depths of bases, tops from the layer above."""
-    return boris_rows(spark.read.format("binaryFile").load(paths))
+    return boris_rows(files_at(spark, paths))
+
+
+def point_surveys(source: BinaryIO, path: str) -> Iterator[tuple]:
+    """(nr, x, y, surface, layers) of the point surveys of a file, read as a stream; a layer is (top, base, values)."""
+    stack: list[ET.Element] = []
+    layers: list[tuple] = []
+    top, within = 0.0, None
+    try:
+        for event, e in ET.iterparse(source, ("start", "end")):
+            if event == "start":
+                if within is None and local(e) == "pointSurvey":
+                    within, top, layers = e, 0.0, []
+                stack.append(e)
+                continue
+            stack.pop()
+            if e is within:
+                nr = e.get("id") or next((c.text for c in e.iter() if local(c) in ("identification", "id") and c.text), None)
+                place = {local(c).lower(): _number(c.text or c.get("value")) for c in e.iter() if local(c).lower() in ("x", "y", "xcoord", "ycoord", "surfacelevel", "elevation")}
+                yield nr, place.get("x", place.get("xcoord")), place.get("y", place.get("ycoord")), place.get("surfacelevel", place.get("elevation")), layers
+                within = None
+                if stack:
+                    stack[-1].remove(e)
+            elif within is not None and local(e) == "lithoInterval":
+                base = _number(e.get("baseDepth"))
+                layers.append((top, base, {local(c): next(iter(c.attrib.values()), c.text or "") for c in e}))
+                top = base
+                stack[-1].remove(e)
+            elif within is None:
+                e.clear()
+    except ET.ParseError as error:
+        raise ValueError(f"{path} is no well-formed XML: {error}") from error
 
 
 def boris_rows(files: DataFrame) -> DataFrame:
-    """The layers of lithological description files given as rows (content)."""
+    """The layers of lithological description files given as rows (path, content); where content is null, tasks open the path."""
+    columns = ["nr", "x", "y", "surface", "end", "top", "bottom", "values"]
 
     def parse(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for content in pdf["content"]:
-                for survey in (e for e in ET.fromstring(bytes(content)).iter() if local(e) == "pointSurvey"):
-                    nr = survey.get("id") or next((e.text for e in survey.iter() if local(e) in ("identification", "id") and e.text), None)
-                    place = {local(e).lower(): _number(e.text or e.get("value")) for e in survey.iter() if local(e).lower() in ("x", "y", "xcoord", "ycoord", "surfacelevel", "elevation")}
-                    top, layers = 0.0, []
-                    for layer in (e for e in survey.iter() if local(e) == "lithoInterval"):
-                        base = _number(layer.get("baseDepth"))
-                        layers.append((top, base, {local(c): next(iter(c.attrib.values()), c.text or "") for c in layer}))
-                        top = base
-                    x, y = place.get("x", place.get("xcoord")), place.get("y", place.get("ycoord"))
-                    surface = place.get("surfacelevel", place.get("elevation"))
-                    end = surface - layers[-1][1] if layers and surface is not None and layers[-1][1] is not None else None
-                    out += [(nr, x, y, surface, end, *row) for row in layers]
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with opened(path, content) as source:
+                    for nr, x, y, surface, layers in point_surveys(source, path):
+                        end = surface - layers[-1][1] if layers and surface is not None and layers[-1][1] is not None else None
+                        for row in layers:
+                            out.append((nr, x, y, surface, end, *row))
+                            if len(out) >= OUT_ROWS:
+                                yield pd.DataFrame(out, columns=columns)
+                                out = []
             if out:
-                yield pd.DataFrame(out, columns=["nr", "x", "y", "surface", "end", "top", "bottom", "values"])
+                yield pd.DataFrame(out, columns=columns)
 
-    rows = settled(files.select("content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>"))
+    rows = settled(files.select("path", "content").mapInPandas(parse, "nr string, x double, y double, surface double, end double, top double, bottom double, values map<string,string>"))
     names = names_in(rows, "values")
     return rows.select("nr", "x", "y", "surface", "end", "top", "bottom", *[F.element_at("values", n).alias(n) for n in names])
 
