@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -67,19 +68,31 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordB
             yield batch.slice(i, rows)
 
 
+_lock = threading.Lock()
+#: By session: how many are within lean() now, and the settings as they were before the first.
+_within: dict[object, list] = {}
+
+
 @contextmanager
 def lean(spark: SparkSession) -> Iterator[None]:
     """Within this, Arrow batches hold BATCH_BYTES at most, as each task has some of them outside the heap, and a query's
-    shuffle files go when it ends, not when the driver next collects garbage. The session's own settings come back."""
+    shuffle files go when it ends, not when the driver next collects garbage. The session's own settings come back when
+    the last of its threads leaves."""
     wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), CLEANUP: "true"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
+    key = spark._jsparkSession.sessionUUID()
+    with _lock:
+        own = _within.setdefault(key, [0, {k: spark.conf.get(k) for k in wanted}])
+        own[0] += 1
         for k, v in wanted.items():
             spark.conf.set(k, v)
+    try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        with _lock:
+            own[0] -= 1
+            if not own[0]:
+                for k, v in _within.pop(key)[1].items():
+                    spark.conf.set(k, v)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

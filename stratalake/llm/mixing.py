@@ -6,7 +6,8 @@ further use costs more (convex repetition costs), so the least costly flow meets
 as it can. Only the pattern table (a row a pattern) reaches the driver, which solves the flow exactly, in integers,
 on each connected part. Documents are then chosen by a seeded hash: within a pattern they stand in the order of the
 hash, and the flow says how far each epoch reaches. The running sums are made in buckets of the hash, so that no
-pattern is one task's work.
+pattern is one task's work, and rows that are equal in all that the mix reads are counted before, so that they are one
+row of a bucket.
 
 Defined cases: a null text has size 0; documents of size 0 are taken 0 times; null sources form a source of their own,
 last in order; documents without any source get nothing; the hash is of doc_id and text, ties are ordered by doc_id and
@@ -140,16 +141,22 @@ def connected(members: dict[object, tuple]) -> list[list]:
     return list(groups.values())
 
 
-def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Add source_size, target and taken to rows with doc_id, size and members (array of sources), and perhaps ``spread``
-    (long), which tells rows of one doc_id apart; reads sized twice."""
+def place(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The mix of rows with doc_id, size and members (array of sources), and perhaps ``spread`` (long), which tells rows of
+    one doc_id apart: a row for ``n`` equal ones, with source_size, target and ``times``: how many of them each epoch takes.
+
+    Equal rows are counted before they move, so they are one row of a bucket however many they are.
+    """
     spark = sized.sparkSession
-    sized = sized.withColumn("pattern", F.sort_array(F.array_distinct(F.coalesce("members", F.array().cast("array<string>")))))
-    patterns = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    members_of = F.sort_array(F.array_distinct(F.coalesce("members", F.array().cast("array<string>"))))
+    spread = F.col("spread") if "spread" in sized.columns else F.lit(0).cast("long")
+    rows = sized.select("doc_id", "size", members_of.alias("pattern"), spread.alias("spread"))
+    groups = scratch.table(rows.groupBy("pattern", "doc_id", "size", "spread").agg(F.count("*").alias("n")), "groups")
+    patterns = groups.groupBy("pattern").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: too many for one flow; class the sources first")
     members = {tuple(r.pattern): tuple(r.pattern) for r in patterns}
-    supply, rows = {tuple(r.pattern): r.size for r in patterns}, {tuple(r.pattern): r.n for r in patterns}
+    supply, counts = {tuple(r.pattern): r["size"] for r in patterns}, {tuple(r.pattern): r.n for r in patterns}
     sizes: dict[str | None, int] = defaultdict(int)
     for p, sources in members.items():
         for s in sources:
@@ -163,26 +170,43 @@ def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[
         flow = min_cost_flow({p: supply[p] for p in group}, members, {s: floor(goal[s] + Fraction(1, 2)) for s in sources}, epochs)
         for p in group:
             reach[p] = [sum(flow[p, s][e] for s in members[p]) for e in range(epochs)]
-    plan = [(list(p), max(1, -(-rows[p] // BUCKET_ROWS)), sum(sizes[s] for s in p), float(sum(goal[s] for s in p)), reach.get(p, [0] * epochs)) for p in members]
+    plan = [(list(p), max(1, -(-counts[p] // BUCKET_ROWS)), sum(sizes[s] for s in p), float(sum(goal[s] for s in p)), reach.get(p, [0] * epochs)) for p in members]
     schema = "pattern array<string>, buckets long, source_size long, target double, reach array<long>"
     limits = scratch.table(spark.createDataFrame(plan, schema), "limits").withColumn("key", pattern_key()).drop("pattern")
-    told = ["spread"] if "spread" in sized.columns else []
-    spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", *told), 33) / F.lit(float(1 << 31))
-    placed = scratch.table(
-        sized.withColumn("key", pattern_key()).join(limits, "key").withColumn("u", spread).drop(*told).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))),
-        "placed",
-    )
-    sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("sum"))
+    placed = groups.withColumn("key", pattern_key()).drop("pattern").join(limits, "key").withColumn("u", place_of(seed, "spread" in sized.columns)).withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
+    placed = scratch.table(placed, "placed")
+    amount = F.col("size") * F.col("n")
+    sums = placed.groupBy("key", "bucket").agg(F.sum(amount).alias("sum"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = scratch.table(sums.select("key", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start")), "starts")
-    inside = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = ranked.join(starts.withColumnsRenamed({"key": "_key", "bucket": "_bucket"}), F.col("key").eqNullSafe(F.col("_key")) & (F.col("bucket") == F.col("_bucket")))
-    # A document counts for an epoch if its middle lies within the epoch's reach: the sum ends nearest to it.
-    middle = (F.col("start") + F.col("inside")) * 2 + F.col("size")
-    times = F.aggregate(F.transform("reach", lambda r: ((r > 0) & (middle <= r * 2)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    taken = F.when(F.col("size") > 0, F.col("size") * times).otherwise(F.lit(0).cast("long"))
-    return joined.withColumn("taken", taken).drop("pattern", "key", "buckets", "reach", "u", "bucket", "inside", "start", "_key", "_bucket")
+    inside = Window.partitionBy("key", "bucket").orderBy("u", "doc_id", "size", "spread").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    joined = ranked.join(starts.withColumnsRenamed({"key": "_key", "bucket": "_bucket"}), (F.col("key") == F.col("_key")) & (F.col("bucket") == F.col("_bucket")))
+    # A row counts for an epoch if its middle lies within the epoch's reach: the sum ends nearest to it. The middles of
+    # equal rows lie a size apart.
+    first = (F.col("start") + F.col("inside")) * 2 + F.col("size")
+    within = lambda r: F.greatest(F.lit(0), F.least(F.col("n"), F.floor((r * 2 - first) / (F.col("size") * 2)) + 1))
+    times = F.transform("reach", lambda r: F.when((F.col("size") > 0) & (r > 0), within(r)).otherwise(0).cast("long"))
+    return joined.select("key", "doc_id", "size", "spread", "u", "n", "source_size", "target", times.alias("times"))
+
+
+def place_of(seed: int, told: bool):
+    """A row's place in its pattern, from 0 to 1, by a seeded hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", *(["spread"] if told else [])), 33) / F.lit(float(1 << 31))
+
+
+def repeated(n, columns: DataFrame) -> DataFrame:
+    """Each row n times with its number ``copy``, in two steps, so that no array grows with n."""
+    step = 1000
+    out = columns.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step).cast("long"))))
+    return out.withColumn("copy", F.explode(F.sequence(F.col("_block") * step, F.least(n, (F.col("_block") + 1) * step) - 1))).drop("_block")
+
+
+def choose(sized: DataFrame, scratch: Scratch, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of sized, as in :func:`place`."""
+    rows = repeated(F.col("n"), place(sized, scratch, seed, weights, share, epochs))
+    taken = F.aggregate("times", F.lit(0).cast("long"), lambda a, t: a + (F.col("copy") < t).cast("long")) * F.col("size")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def pattern_key():
@@ -200,9 +224,26 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
     return choose(scratch.table(rows, "sized"), scratch, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def take(docs: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
-    """docs as the mix has them: rows not taken go, rows taken n times come n times."""
+def take(docs: DataFrame, scratch: Scratch, seed: int = SEED, epochs: int = EPOCHS) -> DataFrame:
+    """docs as the mix has them: rows not taken go, rows taken n times come n times.
+
+    Each pattern is cut in the order of its rows' places, an epoch at a place, and only these cuts (a row a pattern) are
+    met with the documents, which do not move. Of equal rows at a cut, so many as the mix takes are left by chance, in
+    proportion: by their number in the scan.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), F.array(F.col("source").cast("string")).alias("members"), text_hash())
-    chosen = choose(sized, scratch, seed).where("taken > 0")
-    return chosen.select("row", F.explode(F.expr("sequence(1, cast(taken / size as int))"))).select("row.*")
+    members = F.array(F.col("source").cast("string"))
+    sized = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"), members.alias("members"), text_hash())
+    placed = place(sized.drop("row"), scratch, seed, epochs=epochs)
+    order = lambda: F.struct("u", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size", "spread")
+    last = [F.max(F.when(F.get("times", F.lit(e)) > 0, F.struct(order().alias("at"), F.get("times", F.lit(e)).alias("times"), "n"))).alias(f"cut{e}") for e in range(epochs)]
+    cuts = scratch.table(placed.groupBy("key").agg(*last), "cuts")
+    scratch.drop("groups", "placed", "starts", "limits")
+    sized = sized.withColumn("pattern", F.sort_array("members")).withColumn("key", pattern_key()).withColumn("u", place_of(seed, True))
+    sized = sized.withColumn("chance", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 33) / F.lit(float(1 << 31)))
+    met = sized.where(F.col("size") > 0).withColumn("at", order()).join(cuts, "key")
+    times = F.lit(0)
+    for e in range(epochs):
+        cut = F.col(f"cut{e}")
+        times = times + F.when(F.col("at") < cut["at"], 1).when((F.col("at") == cut["at"]) & (F.col("chance") * cut["n"] < cut["times"]), 1).otherwise(0)
+    return met.withColumn("times", times).where(F.col("times") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

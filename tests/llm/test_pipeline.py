@@ -73,3 +73,35 @@ def test_a_stage_drops_what_the_one_before_left(spark, tmp_path):
     left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("pipeline-*")) - before if any(p.rglob("*.parquet")) or any(p.rglob("*.bin"))}
     assert "pipeline-order" in left and not left & {"pipeline-quality", "pipeline-near", "pipeline-mix"}
     assert all(Path(r.path.removeprefix("file:").replace("//", "/")).exists() for r in manifest.select("path").distinct().collect())
+
+
+def some_documents(n=120):
+    text = lambda i: " ".join(f"w{(i * 31 + j * 17) % 997}x{j}" for j in range(80))
+    return [(i, text(i), "en", f"s{i % 3}", 1) for i in range(n)] + [(900, text(5), "en", "s0", 1), (901, "short", "en", "s1", 1)]
+
+
+def test_results_stay_readable_when_other_stages_run(spark, tmp_path):
+    sf = write(spark, tmp_path, some_documents(), "doc_id long, text string, lang string, source string, n_chars long", [(1, "a b c d e f g h i j k")])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    results = [stage(spark, docs, sf) for _, stage in corpus_pipeline.STAGES[:-1]]
+    again = [stage(spark, docs, sf) for _, stage in corpus_pipeline.STAGES[:-1]]
+    counts = [r.count() for r in results]
+    assert counts == [r.count() for r in again] == [r.count() for r in results]
+    assert counts[:3] == [121, 121, 122] and results[0].where("doc_id = 901").count() == 0
+
+
+def test_two_pipelines_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, n in (("a", 120), ("b", 90)):
+        (tmp_path / name).mkdir()
+        write(spark, tmp_path / name, some_documents(n), schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda name: corpus_pipeline.run(spark, str(tmp_path / name)), "ab"))
+    alone = [corpus_pipeline.run(spark, str(tmp_path / name)) for name in "ab"]
+    slots = lambda df: sorted((r.slot, r.n_tokens, r.doc_ids) for r in df.collect())
+    for x, y in zip(both, alone):
+        assert sorted(d for r in x.collect() for d in r.doc_ids) == sorted(d for r in y.collect() for d in r.doc_ids) and len(slots(x)) == len(slots(y))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
