@@ -142,11 +142,18 @@ def quality_rules(docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP)
     return judge(counted, scratch.table(thresholds(sketches(counted), min_group), "thresholds"))
 
 
+def fenced(counted: DataFrame) -> DataFrame:
+    """counted with a column that no condition passes: below it the optimizer would put the counts' whole expressions in
+    place of their names, and each would be made as often as a condition names it."""
+    return counted.withColumn("_fence", F.spark_partition_id()).where("_fence >= 0")
+
+
 def keep_good(docs: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of docs that pass, with all their columns as they were.
 
     The documents are read twice, for the sketches and for the verdicts: only the thresholds are written.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").alias("_text"))
-    limits = scratch.table(thresholds(sketches(with_counts(rows.drop("row"), "_text").drop("_text")), min_group), "thresholds")
-    return judge(with_counts(rows, "_text").drop("_text"), limits).where("kept").select("row.*")
+    counted = fenced(with_counts(rows, "_text").drop("_text"))
+    limits = scratch.table(thresholds(sketches(counted), min_group), "thresholds")
+    return judge(counted, limits).where("kept").select("row.*")

@@ -266,3 +266,32 @@ def transform_coordinates(spark, d):
 def transform_there_and_back(spark, d):
     there = crs.transform_coordinates(crs.transform_coordinates(_moved(spark, d), 28992, 32631), 32631, 28992)
     return there.select("nr", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query("select nr, round(6378137 * radians(3 + x / 50), 3) as x, round(6378137 * ln(tan(pi() / 4 + radians(50 + y / 50) / 2)), 3) as y from header")
+def transform_web_mercator(spark, d):
+    degrees = H(spark, d).select("nr", (3 + F.col("x") / 50).alias("x"), (50 + F.col("y") / 50).alias("y"))
+    return crs.transform_coordinates(degrees, 4326, 3857).select("nr", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+#: Fixed values of GRS 80 and of the European equal-area grid, as published, for SQL of their own: e^2, e, half the axis.
+E2, E1 = "0.0066943800229034::double", "0.0818191910428158::double"
+
+
+def _q_sql(sin: str) -> str:
+    return f"((1 - {E2}) * ({sin} / (1 - {E2} * {sin} * {sin}) - ln((1 - {E1} * {sin}) / (1 + {E1} * {sin})) / (2 * {E1})))"
+
+
+_EQUAL_AREA = steps_sql(
+    "select nr, radians(3 + x / 50) as lam, sin(radians(50 + y / 50)) as s, sin(radians(52)) as s0 from header",
+    [("qp", _q_sql("1.0::double")), ("b", f"asin({_q_sql('s')} / qp)"), ("b0", f"asin({_q_sql('s0')} / qp)"), ("r", "6378137 * sqrt(qp / 2)"),
+     ("dd", f"6378137 * cos(radians(52)) / sqrt(1 - {E2} * s0 * s0) / (r * cos(b0))"), ("dl", "lam - radians(10)"),
+     ("k", "r * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(dl)))")],
+    "nr, round(4321000 + k * dd * cos(b) * sin(dl), 2) as x, round(3210000 + k / dd * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(dl)), 2) as y",
+)
+
+
+@query(_EQUAL_AREA)
+def transform_equal_area(spark, d):
+    degrees = H(spark, d).select("nr", (3 + F.col("x") / 50).alias("x"), (50 + F.col("y") / 50).alias("y"))
+    return crs.transform_coordinates(degrees, 4258, 3035).select("nr", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geotech
-from ..sources import netcdf, readers
+from ..sources import netcdf, readers, shapefile, sinks
 from . import derive
-from .queries import L, M, query
+from .queries import H, L, M, query
 
 Parts = list["str | Column"]
 
@@ -119,3 +119,28 @@ def read_netcdf(spark, d):
     model, path = derive.voxels(spark, d), shared_file(spark, "voxels.nc")
     netcdf.write_netcdf(model.df, path, {a: getattr(model, a).centres for a in "xyz"})
     return VoxelModel.from_netcdf(spark, path, ["lith"], (3, 2, 11, 14)).df
+
+
+@query("""select nr, surface, "end", x, y from header""")
+def read_shapefile(spark, d):
+    """The header written as a shapefile by tasks, and read back in ranges of records."""
+    from ..functions.geometry import wkb_point
+    from ..storage import shared_file
+
+    path = shared_file(spark, "header.shp")
+    sinks.to_shapefile(H(spark, d).select("nr", "x", "y", "surface", "end"), path)
+    rows = shapefile.read_shapefile(spark, path, records=20_000)
+    x, y = wkb_point(F.col("geometry"))
+    return rows.select("nr", "surface", "end", x.alias("x"), y.alias("y"))
+
+
+@query("""select nr, surface, "end", x, y from header""")
+def read_geoparquet(spark, d):
+    """The header written as GeoParquet and read back."""
+    from ..functions.geometry import wkb_point
+    from ..storage import shared_file
+
+    path = shared_file(spark, "header")
+    sinks.to_geoparquet(H(spark, d).select("nr", "x", "y", "surface", "end"), path, 28992)
+    x, y = wkb_point(F.col("geometry"))
+    return spark.read.parquet(path).select("nr", "surface", "end", x.alias("x"), y.alias("y"))

@@ -135,3 +135,10 @@ def to_geopackage(tables: dict[str, DataFrame], path: str, crs: int | None = Non
             db.execute("insert or replace into gpkg_contents values (?, ?, ?, ?)", (name, "features" if spatial else "attributes", name, crs))
             if spatial:
                 db.execute("insert or replace into gpkg_geometry_columns values (?, 'geom', 'POINT', ?, 0, 0)", (name, crs))
+
+
+def to_shapefile(header: DataFrame, path: str, crs_wkt: str | None = None) -> None:
+    """The points of a header as a shapefile: see :func:`shapefile.write_shapefile`."""
+    from .shapefile import write_shapefile
+
+    write_shapefile(header, path, wkt=crs_wkt)
