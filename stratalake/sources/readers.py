@@ -7,7 +7,7 @@ import re
 import sqlite3
 import warnings
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import closing
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -501,6 +501,21 @@ def gpkg_kind(declared: str) -> str:
     return "string" if name in ("TEXT", "VARCHAR", "DATE", "DATETIME", "") else "binary"
 
 
+#: Operators of conditions on a GeoPackage's columns.
+OPERATORS = ("=", "<>", "<", "<=", ">", ">=", "like", "is", "is not")
+
+
+def range_statement(table: str, columns: list[str], where: Sequence[tuple[str, str, Any]], tree: str | None, bbox: tuple[float, float, float, float] | None) -> tuple[str, tuple]:
+    """What a task asks of a GeoPackage for a range of row numbers, and its values beyond the range."""
+    sql = f"select {', '.join(f'"{n}"' for n in columns)} from \"{table}\" where rowid >= ? and rowid < ?"
+    sql += "".join(f' and "{c}" {op} ?' for c, op, _ in where)
+    values = tuple(v for _, _, v in where)
+    if tree:
+        sql += f' and rowid in (select id from "{tree}" where minx <= ? and maxx >= ? and miny <= ? and maxy >= ?)'
+        values += (bbox[2], bbox[0], bbox[3], bbox[1])
+    return sql, values
+
+
 class Geopackage:
     """Layers of a GeoPackage (an SQLite file) as DataFrames.
 
@@ -539,24 +554,46 @@ class Geopackage:
     def table_head(self, table: str, n: int = 5) -> DataFrame:
         return self._frame(self.db.execute(f'select * from "{table}" limit {int(n)}'))
 
-    def read_table(self, table: str) -> DataFrame:
-        columns = [(r[1], gpkg_kind(r[2])) for r in self.db.execute(f'pragma table_info("{table}")')]
+    def tree(self, table: str) -> str | None:
+        """The table's R-tree of boxes, if it has one."""
+        found = self.db.execute("select column_name from gpkg_geometry_columns where table_name = ?", (table,)).fetchone() if self._has("gpkg_geometry_columns") else None
+        name = f"rtree_{table}_{found[0]}" if found else ""
+        return name if name and self._has(name) else None
+
+    def _has(self, name: str) -> bool:
+        return self.db.execute("select 1 from sqlite_master where name = ?", (name,)).fetchone() is not None
+
+    def read_table(self, table: str, columns: list[str] | None = None, where: list[tuple[str, str, Any]] = (), bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+        """A table's rows; of these columns, of rows that meet all conditions (column, operator, value), and whose
+        geometry's box meets a box. All three go into the statement that tasks send, the box by way of the R-tree."""
+        kinds = [(r[1], gpkg_kind(r[2])) for r in self.db.execute(f'pragma table_info("{table}")')]
+        known = [n for n, _ in kinds]
+        if missing := [n for n in [*(columns or []), *(c for c, _, _ in where)] if n not in known]:
+            raise ValueError(f"{table} has no column {', '.join(missing)}")
+        if bad := [op for _, op, _ in where if op.lower() not in OPERATORS]:
+            raise ValueError(f"no operator {', '.join(bad)}; there are {', '.join(OPERATORS)}")
+        kinds = [(n, k) for n, k in kinds if columns is None or n in columns]
         if self.db.execute("select type from sqlite_master where name = ?", (table,)).fetchone() != ("table",):
+            if where or bbox or columns:
+                raise ValueError(f"{table} is a view: it is read as a whole, or by a statement of its own")
             return self._frame(self.db.execute(f'select * from "{table}"'))  # a view has no row numbers
+        tree = self.tree(table) if bbox else None
+        if bbox and tree is None:
+            raise ValueError(f"{table} has no R-tree of boxes")
         low, high = self.db.execute(f'select min(rowid), max(rowid) from "{table}"').fetchone()
-        schema = ", ".join(f"`{n}` {k}" for n, k in columns)
+        schema = ", ".join(f"`{n}` {k}" for n, k in kinds)
         if low is None:
             return self.spark.createDataFrame([], schema)
         address, types = f"file:{quote(str(Path(self.path).resolve()))}?mode=ro", {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         made = {"double": float, "long": int, "string": str, "binary": bytes}
-        names = ", ".join(f'"{n}"' for n, _ in columns)
+        sql, values = range_statement(table, [n for n, _ in kinds], where, tree, bbox)
 
         def read(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with closing(sqlite3.connect(address, uri=True)) as db:
                 for start in (x for b in it for x in b.column(0).to_pylist()):
-                    rows = db.execute(f'select {names} from "{table}" where rowid >= ? and rowid < ?', (start, start + GPKG_ROWS)).fetchall()
+                    rows = db.execute(sql, (start, start + GPKG_ROWS, *values)).fetchall()
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else made[k](v) for v in c], types[k]) for (_, k), c in zip(columns, zip(*rows))], names=[n for n, _ in columns])
+                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else made[k](v) for v in c], types[k]) for (_, k), c in zip(kinds, zip(*rows))], names=[n for n, _ in kinds])
 
         return self.spark.range(low, high + 1, GPKG_ROWS, max(1, min(1000, (high - low) // GPKG_ROWS + 1))).mapInArrow(read, schema)
 
