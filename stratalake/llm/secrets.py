@@ -209,17 +209,25 @@ def generated_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str,
     return out
 
 
-def planted_findings(docs: DataFrame, n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
+Finding = tuple[str, str, str, str, int]
+
+
+def planted_findings(docs: DataFrame, n: int = 4000, seed: int = SEED) -> list[Finding]:
     """Generated findings as the scan meets them in documents' own words; (candidate, before, after, path, label).
 
     At most PIECES pieces of PIECE characters reach the driver, from the middle of the texts.
     """
+    return [f for f, _, _ in placed_findings(docs, n, seed)]
+
+
+def placed_findings(docs: DataFrame, n: int = 4000, seed: int = SEED) -> list[tuple[Finding, int, str]]:
+    """planted_findings, each with the number of its document's piece and the candidate's kind."""
     start = F.greatest(F.lit(1), F.floor((F.char_length("text") - PIECE) / 2)).cast("int")
     rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     rows = rows.select(F.substr("text", start, F.lit(PIECE)).alias("piece"), "source").where("piece like '% %'").withColumn("u", F.xxhash64(F.lit(seed), "piece"))
     bound = least(rows.withColumn("all", F.lit("")), "all", PIECES).first()
     if bound is None:
-        return generated_findings(n, seed)
+        return [(f, i, "generated") for i, f in enumerate(generated_findings(n, seed))]
     pieces = rows.where(F.col("u") <= bound["bound"]).groupBy("piece").agg(F.min("source").alias("source")).orderBy("piece").collect()
     r, out = random.Random(seed), []
     for i, (candidate, before, after, path, label) in enumerate(generated_findings(n, seed)):
@@ -228,24 +236,41 @@ def planted_findings(docs: DataFrame, n: int = 4000, seed: int = SEED) -> list[t
         lead = " ".join(before.split(" ")[3:])  # the keywords, without the words before them
         text = f"{piece[:at]} {lead}{candidate} {after.lstrip()}{piece[at:]}"
         begin = at + 1 + len(lead)
-        for a, b, _ in candidates(text):
+        for a, b, kind in candidates(text):
             if a < begin + len(candidate) and b > begin:
-                out.append((text[a:b], text[max(0, a - 60) : a], text[b : b + 30], path or source, label))
+                out.append(((text[a:b], text[max(0, a - 60) : a], text[b : b + 30], path or source, label), i % len(pieces), kind))
     return out
 
 
-def held_out(docs: DataFrame, threshold: float = THRESHOLD) -> dict[str, float]:
-    """Precision and recall on planted findings in documents that the forest has not learnt from, and their number."""
-    found = planted_findings(docs)
-    apart = lambda f: zlib.crc32(f[1][:20].encode()) % 4 == 0  # noqa: E731  the piece's own words
+def held_out(docs: DataFrame, threshold: float = THRESHOLD) -> dict[str, dict[str, float]]:
+    """Precision, recall and number of planted findings in documents that the forest has not learnt from (a quarter): of
+    ``all`` and of each kind of candidate; and of each kind where the forest has learnt without it, as ``without <kind>``."""
+    found = placed_findings(docs)
     features = Features(dictionary(docs))
-    model = train(docs.sparkSession, [f for f in found if not apart(f)], features)
-    rows = [(features.of(*f[:4]), float(f[4])) for f in found if apart(f)]
-    test = docs.sparkSession.createDataFrame(rows, "f array<double>, label double").select(array_to_vector("f").alias("features"), "label")
-    said = model.transform(test).select("label", (vector_to_array("probability")[1] >= threshold).alias("p")).groupBy("label", "p").count().collect()
-    n = {(r["label"], r["p"]): r["count"] for r in said}
-    right = n.get((1.0, True), 0)
-    return {"precision": right / max(1, right + n.get((0.0, True), 0)), "recall": right / max(1, right + n.get((1.0, False), 0)), "n": sum(n.values())}
+    learnt = [(f, k) for f, piece, k in found if piece % 4]
+    tested = [(f, k) for f, piece, k in found if piece % 4 == 0]
+    kinds = sorted({k for _, k in tested})
+
+    def judge(model: RandomForestClassificationModel, only: str | None = None) -> dict[str, dict[str, float]]:
+        rows = [(k, features.of(*f[:4]), float(f[4])) for f, k in tested if only in (None, k)]
+        test = docs.sparkSession.createDataFrame(rows, "kind string, f array<double>, label double").select("kind", array_to_vector("f").alias("features"), "label")
+        said = model.transform(test).select("kind", "label", (vector_to_array("probability")[1] >= threshold).alias("p")).groupBy("kind", "label", "p").count().collect()
+        out = {}
+        for name in [*kinds, "all"]:
+            n = Counter()
+            for r in said:
+                if name in ("all", r["kind"]):
+                    n[r["label"], r["p"]] += r["count"]
+            right, said_so, real = n[1.0, True], n[1.0, True] + n[0.0, True], n[1.0, True] + n[1.0, False]
+            out[name] = {"precision": right / said_so if said_so else math.nan, "recall": right / real if real else math.nan, "n": sum(n.values())}
+        return out
+
+    out = judge(train(docs.sparkSession, [f for f, _ in learnt], features))
+    for kind in kinds:
+        rest = [f for f, k in learnt if k != kind]
+        if {f[4] for f in rest} == {0, 1}:
+            out[f"without {kind}"] = judge(train(docs.sparkSession, rest, features), kind)[kind]
+    return out
 
 
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]], features: Features, seed: int = SEED) -> RandomForestClassificationModel:
