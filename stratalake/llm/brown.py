@@ -12,7 +12,8 @@ Every training word is clustered, from all its bigrams: its profile counts the c
 at most 2 * WIDTH cells. The CLASSES most frequent words start as a class each and all others in none (LONE); each
 sweep moves half of the words (by hash), each to the class that raises the objective most, to first order, with the
 counts of the sweep's start and without the word's own share in its class. The objective is then summed anew: from
-the third sweep on, when each word has had a class, moves that do not raise it together are taken back. Profiles are summed in each block, then by word, a running sum for the
+the third sweep on, when each word has had a class, moves that do not raise it together are taken back, and once no part's
+moves raise it, parts are halved. SWEEPS ends before the objective has settled. Profiles are summed in each block, then by word, a running sum for the
 word at hand; the moved words go back to their blocks. The state is a table of classes by classes, all that the driver
 holds.
 
@@ -43,6 +44,8 @@ BLOCK_BYTES = 32 << 20  # the larger, the fewer rows for a word
 LONE, END_CLASS = CLASSES, CLASSES + 1  # words without training tokens or a class yet, and the end of a text
 WIDTH = END_CLASS + 1
 END_WORD = b"\n"  # no word holds white space
+TURNS = 64  # into so many parts at most words are divided by hash
+PARTITIONS = 4096  # of the passes over blocks; a task takes its blocks one after the other
 BACKOFF = 0.02  # share of the class frequency in a transition
 DELTA = 0.1  # of the base model
 
@@ -204,7 +207,7 @@ def recode(changes: DataFrame, folder: str, blocks: int, step: int, base: int |
     return table.reshape(WIDTH, WIDTH)
 
 
-def profiles(blocks: DataFrame, folder: str, step: int, turns: int) -> DataFrame:
+def profiles(blocks: DataFrame, folder: str, step: int, turns: int, parts: int) -> DataFrame:
     """(wid, block, num, class, slots, counts) of the words whose turn it is to move, a row a word and block.
 
     Bytes and uint32 numbers: the word's training counts after (slot v) and before (slot WIDTH + v) class v.
@@ -220,7 +223,7 @@ def profiles(blocks: DataFrame, folder: str, step: int, turns: int) -> DataFrame
             (classes,) = take(f"{folder}/classes{step}/{block}", 1)
             _, flat, lengths, held, _ = load(f"{folder}/blocks/{block}", with_words=False)
             here, before = bigrams(flat, classes)
-            ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] == turns))
+            ok = np.flatnonzero(np.repeat(~held, lengths) & (flat > 0) & (turn[flat] % parts == turns))
             base = flat[ok].astype(np.int32 if len(wid) * 2 * WIDTH < 1 << 31 else np.int64) * (2 * WIDTH)
             keys, n = np.unique(np.concatenate([base + before[ok], base + WIDTH + here[ok + 1]]), return_counts=True)
             nums, starts = np.unique(keys // (2 * WIDTH), return_index=True)
@@ -330,20 +333,24 @@ def class_model(docs: DataFrame, scratch: Scratch, sweeps: int = SWEEPS) -> tupl
     first = F.when(is_end, END_CLASS)
     for i, r in enumerate(frequent):
         first = first.when(F.col("word") == F.lit(bytes(r.word)), i)
-    counts = counts.select("word", "wid", "n", "home", F.expr("cast(pmod(xxhash64(word), 2) as int)").alias("turn"), first.otherwise(LONE).alias("class"))
+    counts = counts.select("word", "wid", "n", "home", F.expr(f"cast(pmod(xxhash64(word), {TURNS}) as int)").alias("turn"), first.otherwise(LONE).alias("class"))
     blocks = scratch.table(store.where("num = 0").select("block"), "block_list")
-    size = max(1, blocks.count())
+    size = min(max(1, blocks.count()), PARTITIONS)
     blocks = blocks.repartition(size, "block")
     numbers = store.select("block", "num", "word").join(counts, "word").select("block", "num", "wid", "n", (F.col("home") == F.col("block")).cast("int").alias("home"), "turn", "class")
     marks = blocks.select("block", F.lit(-1).alias("num"), F.lit(-1).alias("class"))
     with lean(spark):
         table = recode(numbers, folder, size, 0)
-        base, trace = 0, [objective(table)]
+        base, trace, parts, refused = 0, [objective(table)], 2, 0
         for step in range(1, sweeps + 1):
-            new = recode(moves(profiles(blocks, folder, base, step % 2), table).unionByName(marks), folder, size, step, base)
+            new = recode(moves(profiles(blocks, folder, base, step % parts, parts), table).unionByName(marks), folder, size, step, base)
             better = step <= 2 or objective(new) > trace[-1]
             scratch.drop(f"classes{base if better else step}")
             base, table = (step, new) if better else (base, table)
+            # Where each part in turn was refused, nothing would change any more: parts of half the size are tried.
+            refused = 0 if better else refused + 1
+            if refused == parts:
+                parts, refused = min(2 * parts, TURNS), 0
             trace.append(objective(table))
     scratch.drop("store", "counts")
     words = scratch.table(class_words(blocks, folder, base), "words")

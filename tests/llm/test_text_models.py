@@ -310,3 +310,47 @@ def test_quality_of_a_very_long_text(spark):
     grams = Counter(zip(words, words[1:], words[2:]))
     repeated = {p for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
     assert (r.n_words, r.n_dup_lines, r.n_repeat_words) == (len(words), 2, len(repeated))
+
+
+def test_a_refused_sweep_is_followed_by_a_rise(spark, monkeypatch):
+    """The moves of one sweep are made bad ones; they are taken back, and smaller parts go on from the state before."""
+    plain, calls = brown.place_words, []
+
+    def bad(profile, own, table):
+        return np.full(len(own), 0)
+
+    moves = brown.moves
+
+    def chosen(profile, table):
+        calls.append(1)
+        monkeypatch.setattr(brown, "place_words", bad if len(calls) == 3 else plain)
+        return moves(profile, table)
+
+    monkeypatch.setattr(brown, "moves", chosen)
+    _, m = brown.class_model(docs(spark, corpus()), Scratch(spark, "t"), sweeps=9)
+    trace = m["objective"]
+    assert len(trace) == 10 and trace[3] == trace[2] and all(b >= a for a, b in zip(trace[2:], trace[3:])) and trace[-1] > trace[3]
+
+
+def test_parts_are_halved_once_all_were_refused(spark, monkeypatch):
+    """The sweeps from the third to the fourth move badly, one after the other: then parts of a quarter take over."""
+    plain, calls, asked = brown.place_words, [], []
+    profiles, moves = brown.profiles, brown.moves
+    monkeypatch.setattr(brown, "profiles", lambda blocks, folder, step, turns, parts: asked.append((turns, parts)) or profiles(blocks, folder, step, turns, parts))
+
+    def chosen(profile, table):
+        calls.append(1)
+        monkeypatch.setattr(brown, "place_words", (lambda profile, own, table: np.full(len(own), 0)) if len(calls) in (3, 4) else plain)
+        return moves(profile, table)
+
+    monkeypatch.setattr(brown, "moves", chosen)
+    _, m = brown.class_model(docs(spark, corpus()), Scratch(spark, "t"), sweeps=8)
+    assert asked[:8] == [(1, 2), (0, 2), (1, 2), (0, 2), (1, 4), (2, 4), (3, 4), (0, 4)]
+    assert m["objective"][4] == m["objective"][3] == m["objective"][2] <= m["objective"][-1]
+
+
+def test_brown_blocks_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(brown, "BLOCK_BYTES", 400)
+    whole = sorted(map(str, brown.score_texts(docs(spark, corpus()), Scratch(spark, "t"), sweeps=3).collect()))
+    monkeypatch.setattr(brown, "PARTITIONS", 2)
+    assert sorted(map(str, brown.score_texts(docs(spark, corpus()), Scratch(spark, "t"), sweeps=3).collect())) == whole
