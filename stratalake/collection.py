@@ -22,6 +22,11 @@ class AlignmentWarning(UserWarning):
     """Header and data hold different surveys."""
 
 
+def uppermost(roles: Roles) -> Column:
+    """The surface of a survey's uppermost row, should its rows differ."""
+    return F.min_by(col(roles.surface), F.struct(col(roles.top or roles.depth), col(roles.surface)))
+
+
 @dataclass(frozen=True)
 class Collection:
     """Immutable: every operation returns a new collection and stays lazy. Selections keep both tables aligned by
@@ -124,7 +129,7 @@ class Collection:
         if Roles.of(self.header).end:
             return self.header
         roles = Roles.of(self.data)
-        ends = self.data.groupBy(self.nr).agg((F.first(col(roles.surface)) - F.max(col(roles.depth))).alias("end"))
+        ends = self.data.groupBy(self.nr).agg((uppermost(roles) - F.max(col(roles.depth))).alias("end"))
         return self.header.join(ends, self.nr, "left")
 
     def select_by_elevation(self, top_min=None, top_max=None, end_min=None, end_max=None) -> Collection:
@@ -163,7 +168,7 @@ class Collection:
 
     def determine_end_depth(self) -> DataFrame:
         roles = Roles.of(self.data)
-        return self.data.groupBy(self.nr).agg((F.first(col(roles.surface)) - F.max(col(roles.depth))).alias("end"))
+        return self.data.groupBy(self.nr).agg((uppermost(roles) - F.max(col(roles.depth))).alias("end"))
 
     def _into_header(self, found: DataFrame, name: str, include: bool) -> DataFrame | Collection:
         if not include:

@@ -612,12 +612,12 @@ def validation_errors(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import collection_queries, file_queries, grid_queries  # noqa: F401  register their own
+    from . import collection_queries, file_queries, grid_queries, table_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import collection_queries, file_queries, grid_queries  # noqa: F401
+    from . import collection_queries, file_queries, grid_queries, table_queries  # noqa: F401
 
     return dict(ORACLE)

@@ -97,7 +97,7 @@ def read_header_and_data(spark: SparkSession, header_path: str, data_path: str,
 
 def read_cores(df: DataFrame, mapper: dict[str, str]) -> Collection:
     """Inclined cores in elevations: the header comes from aggregates of the layers."""
-    data = df.withColumnsRenamed(mapper).withColumns({"top": -F.col("top"), "bottom": -F.col("bottom")})
+    data = df.withColumnsRenamed(mapper).withColumns({"top": 0.0 - F.col("top"), "bottom": 0.0 - F.col("bottom")})
     head = data.groupBy("nr").agg(F.max_by("x", "top").alias("x"), F.max_by("y", "top").alias("y"), F.max("top").alias("surface"), F.min("bottom").alias("end"))
     return Collection(head, adjust_depths(data.join(head.select("nr", "surface", "end"), "nr", "left")), crs=28992, vertical_datum=5709, has_inclined=True)
 
