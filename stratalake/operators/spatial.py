@@ -212,8 +212,10 @@ def select_with_points(df: DataFrame, points: DataFrame | Sequence[Point], max_d
     """
     x, y = _xy(df)
     if not isinstance(points, DataFrame):
-        near = [(x - px) * (x - px) + (y - py) * (y - py) < max_distance**2 for g in as_geometries(points) for px, py in g.points]
-        return _chosen(df, _any(near), invert)
+        places = [(float(px), float(py)) for g in as_geometries(points) for px, py in g.points]
+        if len(places) >= MANY_EDGES:  # a constant by strips, a point being an edge without length
+            return _chosen(df, near_edges(x, y, [(*p, *p) for p in places], max_distance), invert)
+        return _chosen(df, _any([(x - px) * (x - px) + (y - py) * (y - py) < max_distance**2 for px, py in places]), invert)
     roles = Roles.of(points)
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     cells = points.select(col(roles.x).alias("_px"), col(roles.y).alias("_py"), F.explode(shift).alias("s")).select("_px", "_py", (F.floor(F.col("_px") / max_distance) + F.col("s.a")).alias("_i"), (F.floor(F.col("_py") / max_distance) + F.col("s.b")).alias("_j"))

@@ -44,13 +44,17 @@ def names_in(rows: DataFrame, maps: str) -> list[str]:
 
 
 def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Parquet or delimited text, by suffix."""
+    """Parquet, delimited text or a workbook, by suffix."""
     low = path.lower().rstrip("/")
+    if low.endswith((".xlsx", ".xlsm")):
+        from .excel import read_excel
+
+        return read_excel(spark, path, **options)
     if low.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
     if low.endswith((".csv", ".txt", ".tsv")):
         return spark.read.csv(path, header=True, inferSchema=True, **({"sep": "\t"} if low.endswith(".tsv") else {}) | options)
-    raise TypeError(f"can't read {path}: Parquet, CSV, TSV and TXT files are supported")
+    raise TypeError(f"can't read {path}: Parquet, CSV, TSV, TXT and XLSX files are supported")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
