@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import point_wkb
 from ..roles import Roles, col
+from ..storage import settled
 
 
 def segments_3d(df: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def kingdom_tdchart(df: DataFrame, tdstart: int = 1, vw: float = 1500, vs: float
     nr, surface = col(roles.nr), col(roles.surface)
     heads = df.groupBy(nr.alias("nr")).agg(F.first(surface).alias("surface"))
     spans = heads.repartitionByRange("nr").withColumn("_part", F.spark_partition_id())
-    ranked = spans.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("nr")))
+    # Computed once: ids need the same ranges where ranks and where their sizes are counted.
+    ranked = settled(spans.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("nr"))))
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ids = ranked.join(F.broadcast(before), F.col("_part") == F.col("_p")).select((F.col("_rank") + F.col("_before") + (tdstart - 1)).alias("id"), "nr", "surface")
