@@ -226,7 +226,7 @@ def test_tables(spark, tmp_path):
     assert any(issubclass(x.category, DeprecationWarning) for x in w)
     readers.csv_to_parquet(spark, path, str(tmp_path / "t.parquet"))
     assert readers.read_file(spark, str(tmp_path / "t.parquet")).count() == 2
-    for bad in ("t.xlsx", "t.json"):
+    for bad in ("t.xls", "t.json"):
         with pytest.raises(TypeError):
             readers.read_file(spark, bad)
 
