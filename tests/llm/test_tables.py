@@ -198,6 +198,67 @@ def test_wide_urls_need_more_support_for_combinations(spark, monkeypatch):
     assert best[("t0", "t1", "t2")] == ("block", 1.0) and all(len(k) <= 8 for k in best)
 
 
+def all_rules(rows, min_support, min_confidence):
+    """Rules by all frequent sets, level by level, without any that has a part as sure."""
+    least, found = -(-int(min_support * 1000) * len(rows) // 1000), {}
+    names = sorted({t for have, _ in rows for t in have})
+    bits = {n: sum(1 << i for i, (have, _) in enumerate(rows) if n in have) for n in names}
+    for label in ("block", "allow"):
+        own = sum(1 << i for i, (_, v) in enumerate(rows) if v == label)
+        level, best = {(): (1 << len(rows)) - 1}, {(): -1}
+        while level:
+            level = {(*k, n): b & bits[n] for k, b in level.items() for n in names if not k or n > k[-1]}
+            level = {k: b for k, b in level.items() if (b & own).bit_count() >= least}
+            for k, b in level.items():
+                sure = (b & own).bit_count() / b.bit_count()
+                part = max(best[k[:i] + k[i + 1 :]] for i in range(len(k)))
+                best[k] = max(sure, part)
+                if sure >= min_confidence and sure > part:
+                    found[k, label] = (sure, (b & own).bit_count() / len(rows))
+    return found
+
+
+def test_wide_urls_lose_no_rule(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(["a", "b"], "block")] * 40 + [([t], "allow") for t in "ab" for _ in range(40)] + [([f"z{i}"], "allow" if i % 2 else "block") for i in range(3300)]
+    rows += [([f"w{k:02}" for k in range(40) if r.random() < 0.7], r.choice(["block", "allow"])) for _ in range(62)]
+    got = {(k, v): (c, s) for k, v, c, s in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.005, 0.8).rules}
+    assert got[("a", "b"), "block"] == (1.0, 40 / len(rows))
+    # Each token of one row only is below the support.
+    assert got == all_rules([([t for t in have if t[0] != "z"], v) for have, v in rows], 0.005, 0.8) and max(len(k) for k, _ in got) > 3
+
+
+def test_grown_rules_equal_brute_force_over_rounds(spark, monkeypatch):
+    import random
+
+    r = random.Random(7)
+    names = [f"t{k:02}" for k in range(25)]
+    rows = [([n for n in names if r.random() < 0.3], r.choice(["block", "allow"])) for _ in range(400)]
+    rows = [(t, "block" if {"t00", "t01"} <= set(t) else v) for t, v in rows] + [(names, v) for v in ("block", "allow") for _ in range(3)]
+    want = all_rules(rows, 0.02, 0.7)
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    for most in (urls.GROWN, 20):
+        monkeypatch.setattr(urls, "GROWN", most)
+        assert {(k, v): (c, s) for k, v, c, s in urls.mine(df, 0.02, 0.7).rules} == want
+    assert {v for _, v in want} == {"block", "allow"} and max(len(k) for k, _ in want) > 3
+
+
+def test_grown_rules_are_those_of_fp_growth(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    rows = [([f"t{k}" for k in range(9) if r.random() < 0.6], r.choice(["block", "allow", "allow"])) for _ in range(200)] * 3
+    rows += [([], "allow"), (None, "block"), (["t0", "t0", "t1"], "block")] * 5
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    want = urls.mine(df, 0.02, 0.7)
+    monkeypatch.setattr(urls, "WIDEST", 0)
+    assert urls.mine(df, 0.02, 0.7) == want and any(len(r[0]) > 3 for r in want.rules)
+    one = urls.mine(df.where("verdict = 'allow'"), 0.02, 0.7)
+    assert {v for _, v, *_ in one.rules} == {"allow"} and urls.mine(df.limit(0)).rules == []
+
+
 def test_equal_rows_are_one_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
     same = spark.range(100_000).selectExpr("7L as doc_id", "'a b c' as text", "'s0' as source", "'' as size", "0D as u")
