@@ -143,7 +143,7 @@ class Axis:
 
 @dataclass(frozen=True)
 class VoxelModel:
-    """A dense regular grid; cells without a value have nulls."""
+    """A regular grid; cells without a value have nulls or, until :meth:`dense`, no row."""
 
     df: DataFrame
     x: Axis
@@ -221,6 +221,15 @@ class VoxelModel:
         """The cells with their numbers _i, _j, _k on the axes: what joins meet them by."""
         return self.df.withColumns({KEYS[a]: getattr(self, a).index(F.col(a)) for a in axes})
 
+    def dense(self) -> VoxelModel:
+        """The model with a row for every cell of its grid; cells that the table has no row for have nulls."""
+        ny, nz, n = self.y.size, self.z.size, F.col("id")
+        numbers = {"x": F.floor(n / (ny * nz)), "y": F.pmod(F.floor(n / nz), F.lit(ny)), "z": F.pmod(n, F.lit(nz))} if ny * nz else dict.fromkeys(AXES, n)
+        grid = self.df.sparkSession.range(self.x.size * ny * nz).select(*[v.cast("int").alias(f"_n{a}") for a, v in numbers.items()])
+        cells = self.cells().drop(*AXES)
+        met = grid.join(cells, reduce(and_, [F.col(f"_n{a}") == F.col(k) for a, k in KEYS.items()]), "left")
+        return replace(self, df=met.select(*[getattr(self, a).centre(F.col(f"_n{a}")).alias(a) for a in AXES], *map(col, self.variables)))
+
     def _number(self, name: str, v: Column) -> Column:
         """The number of a cell that a coordinate names, rounding apart; null where it names none."""
         axis: Axis = getattr(self, name)

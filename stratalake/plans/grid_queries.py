@@ -82,7 +82,7 @@ union all select (c + n) / 2 from (select c, lead(c) over (order by c) as n from
 
 @query(f"with {borders_sql('x')}, {borders_sql('y')}, {borders_sql('z')} select (ex.k * (select count(*) from ey) + ey.k) * (select count(*) from ez) + ez.k as id, ex.e as x, ey.e as y, ez.e as z from ex, ey, ez")
 def voxel_mesh_tenths(spark, d):
-    m = tenths(spark, d)
+    m = tenths(spark, d).dense()  # the table's last row of cells may end before the grid does
     return mesh.voxel_mesh(m.with_variable("code", F.coalesce("code", F.lit(0))), "code")[0]
 
 

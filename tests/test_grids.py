@@ -130,3 +130,27 @@ def test_a_model_without_cells(spark):
     assert m.shape == (0, 0, 0) and m.sel(x=slice(0, 1)).df.count() == 0
     with pytest.raises(KeyError):
         m.sel(x=1.0)
+
+
+def test_mesh_of_a_grid_whose_last_row_is_not_full(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from stratalake.plans import queries as plans
+
+    rows = [(i, [((i * 7 + k) % 5 - 2) / 8 for k in range(6)]) for i in range(56)]  # two rows of 25 cells and one of 6
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.execute(plans.oracle_sql()["voxel_mesh_tenths"]).fetchall()
+    got = [(r.id, r.x, r.y, r.z) for r in plans.queries()["voxel_mesh_tenths"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) == 26 * 4 * 7 and sorted(got) == sorted(want)
+
+
+def test_dense_has_every_cell_once(spark):
+    c = AXES["irregular"]
+    m, cells = grid(spark, c[:3], c[:4], c[:5])
+    gone = {(c[0], c[3], c[4]), (c[2], c[0], c[0])}
+    cut = VoxelModel.from_table(m.df.where(" and ".join(f"not (x = {x}D and y = {y}D and z = {z}D)" for x, y, z in gone)))
+    got = [tuple(r) for r in cut.dense().df.collect()]
+    assert sorted(got, key=str) == sorted(((*k, None if k in gone else v) for k, v in cells.items()), key=str)
+    none = VoxelModel.from_table(spark.createDataFrame([], CELLS)).dense().df
+    assert none.count() == 0 and none.columns == ["x", "y", "z", "lith"]
