@@ -1,13 +1,18 @@
 """Points met with a table of geometries of any size: a cover of grid cells, an equi-join on the cell, edges by strip.
 
-Each geometry (WKB) is read once, in a task, and laid out as two kinds of rows. *Cells* of a square grid, whose side is a
+Equal geometries (WKB) are brought together and laid out once, with their labels as lists of at most LABELS. Each is
+read in a task and laid out as two kinds of rows. *Cells* of a square grid, whose side is a
 power of two of the geometry's own size (4 to 17 cells across), cover it: cells that no edge touches lie wholly inside,
 others are on the border. *Strips* hold the edges by height, a few in each. A point meets the cells of its place by
 equality, on as many levels as there are sizes of geometries; inside cells settle it, and points in border cells alone
 go on to the edges of their height, by equality again. The plan holds no geometry, and no row holds more of one than
 its cell or strip.
 
-Cells with more than CELL_POINTS points are dealt out in parts, with the cover's rows repeated; a cover of at most
+Where rows share places (PER_PLACE rows a place at least), the places are met in their stead and rows get the lists of
+their place. Otherwise rows are met as they come. Either way nothing as large as the result is stored: lists are unfolded
+last, and rows without any geometry are those whose place, of the distinct ones, met none.
+
+Keys with more than CELL_POINTS rows are dealt out in parts, with the other side's rows repeated; a side of at most
 SMALL_COVER rows is broadcast instead.
 """
 
@@ -29,7 +34,11 @@ from ..storage import settled
 
 ACROSS, STRIP_EDGES = 8, 4
 CELL_POINTS, SMALL_COVER = 1_000_000, 100_000
+LABELS, PER_PLACE = 64, 4
+#: Labels that a broadcast side may have for each of its SMALL_COVER rows, and rows of one batch that a task hands on.
+LABELS_EACH, OUT_ROWS = 32, 4096
 EDGES = "array<struct<px:double,py:double,qx:double,qy:double,part:int>>"
+CELL = ["level", "i", "j"]
 COVER = f"pid long, level int, i long, j long, inside boolean, strips long, low double, height double, strip long, edges {EDGES}"
 PREDICATES = ("intersects", "within", "dwithin")
 
@@ -93,30 +102,47 @@ def strips_of(edges: np.ndarray, reach: float = 0) -> tuple[float, float, int, d
     return low, height, n, strips
 
 
-def cover(geometries: DataFrame, label: str, geometry: str = "geometry", reach: float = 0) -> DataFrame:
-    """The cells and strips of a table of geometries, computed once, beside each one's label and number (pid)."""
-    kind = geometries.schema[label].dataType.simpleString()
+def cover(geometries: DataFrame, label: str | None, geometry: str = "geometry", reach: float = 0) -> DataFrame:
+    """The cells and strips of a table of geometries, computed once, with a number (pid) each.
+
+    Equal geometries of a batch have one number, or one for every LABELS of their labels, which the cells hold (_labels).
+    Without a label column there are no lists.
+    """
+    kind = geometries.schema[label].dataType.simpleString() if label else "boolean"
     fields = pa.schema([("pid", pa.int64()), ("level", pa.int32()), ("i", pa.int64()), ("j", pa.int64()), ("inside", pa.bool_()), ("strips", pa.int64()), ("low", pa.float64()), ("height", pa.float64()), ("strip", pa.int64()), ("edges", pa.list_(pa.struct([(c, pa.float64()) for c in ("px", "py", "qx", "qy")] + [("part", pa.int32())])))])
 
     def lay(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in it:
-            for label_, data in zip(batch.column(0), batch.column(1)):
-                number += 1
-                edges, area = edges_by_part(from_wkb(data.as_py())) if data.is_valid else (np.empty((0, 5)), False)
+            own, alike = batch.column(0), {}
+            for at, data in enumerate(batch.column(1)):
+                if data.is_valid:
+                    alike.setdefault(data.as_py(), []).append(at)
+            for wkb, members in alike.items():
+                edges, area = edges_by_part(from_wkb(wkb))
                 edges = edges[np.isfinite(edges).all(1)]
                 if not len(edges):
                     continue
                 level, cells = cells_of(edges, area, reach)
                 low, height, n, strips = strips_of(edges, reach)
-                rows = [(number, level, i, j, inside, n, low, height, None, None) for i, j, inside in cells]
-                rows += [(number, None, None, None, area, n, low, height, k, v) for k, v in strips.items()]
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    columns = [pa.array(c, f.type) for c, f in zip(zip(*part), fields)]
-                    yield pa.RecordBatch.from_arrays([pa.array([label_.as_py()] * len(part), label_.type), *columns], names=["_label", *fields.names])
+                for first in range(0, len(members) if label else 1, LABELS):
+                    number += 1
+                    some = own.take(pa.array(members[first : first + LABELS] if label else [], pa.int64()))
+                    rows = [(number, level, i, j, inside, n, low, height, None, None) for i, j, inside in cells]
+                    for at in range(0, len(rows), OUT_ROWS):
+                        part = rows[at : at + OUT_ROWS]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(some)), some.take(pa.array(np.tile(np.arange(len(some)), len(part)))))
+                        yield pa.RecordBatch.from_arrays([lists, *[pa.array(c, f.type) for c, f in zip(zip(*part), fields)]], names=["_labels", *fields.names])
+                    rows = [(number, None, None, None, area, n, low, height, k, v) for k, v in strips.items()]
+                    for at in range(0, len(rows), OUT_ROWS):
+                        part = rows[at : at + OUT_ROWS]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.list_(own.type)), *[pa.array(c, f.type) for c, f in zip(zip(*part), fields)]], names=["_labels", *fields.names])
 
-    return settled(geometries.select(col(label), col(geometry)).mapInArrow(lay, f"_label {kind}, {COVER}"))
+    n = max(geometries.sparkSession.sparkContext.defaultParallelism, int(geometries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shapes = geometries.select((col(label) if label else F.lit(None).cast(kind)).alias("_label"), col(geometry).alias("_shape")).where(F.col("_shape").isNotNull())
+    # Equal ones stand side by side in one task.
+    shapes = shapes.withColumn("_alike", F.xxhash64("_shape")).repartition(n, "_alike").sortWithinPartitions("_alike").select("_label", "_shape")
+    return settled(shapes.mapInArrow(lay, f"_labels array<{kind}>, {COVER}"))
 
 
 def meets_edges(x: Column, y: Column, edges: Column, area: Column, predicate: str, distance: float) -> Column:
@@ -143,6 +169,65 @@ def meets_edges(x: Column, y: Column, edges: Column, area: Column, predicate: st
     return inside | on
 
 
+class Laid:
+    """A cover and its sizes."""
+
+    def __init__(self, table: DataFrame, predicate: str, distance: float):
+        self.predicate, self.distance = predicate, distance
+        self.cells = table.where("level is not null").select("_labels", "pid", *CELL, "inside", "low", "height")
+        self.strips = table.where("strip is not null").select("pid", "strip", F.col("inside").alias("_area"), "edges")
+        cells = F.col("level").isNotNull()
+        found = table.agg(F.collect_set("level").alias("levels"), F.count("level").alias("cells"), F.coalesce(F.sum(F.when(cells, F.size("_labels"))), F.lit(0)).alias("labels"), F.count("strip").alias("strips")).first()
+        self.levels = sorted(found.levels)  # a few tens at most: powers of four
+        self.few_cells = found.cells <= SMALL_COVER and found.labels <= SMALL_COVER * LABELS_EACH
+        self.few_strips = found.strips <= SMALL_COVER
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows once for each level, with the cell that they lie in."""
+        places = [F.struct(F.lit(k).alias("level"), F.floor(F.col("_x") / F.lit(math.ldexp(1.0, k))).cast("long").alias("i"), F.floor(F.col("_y") / F.lit(math.ldexp(1.0, k))).cast("long").alias("j")) for k in self.levels]
+        none = F.array().cast("array<struct<level:int,i:long,j:long>>")
+        return rows.withColumn("_c", F.explode(F.array(*places) if places else none)).select("*", *[F.col("_c")[c].alias(c) for c in CELL]).drop("_c")
+
+    def on_border(self, met: DataFrame) -> DataFrame:
+        """Those rows beside a border cell that meet its geometry, by the edges of their height."""
+        met = met.withColumn("strip", F.floor((F.col("_y") - F.col("low")) / F.col("height")).cast("long"))
+        return dealt(met, self.strips, ["pid", "strip"], self.few_strips).where(meets_edges(F.col("_x"), F.col("_y"), F.col("edges"), F.col("_area"), self.predicate, self.distance))
+
+    def meet(self, rows: DataFrame, few: bool = False) -> DataFrame:
+        """rows with the labels (_labels) of each geometry that they meet; few: rows are no more than SMALL_COVER."""
+        placed, result = self.placed(rows), [*rows.columns, "_labels"]
+        met = placed.hint("broadcast").join(self.cells, CELL) if few and not self.few_cells else dealt(placed, self.cells, CELL, self.few_cells)
+        return met.where("inside").select(*result).unionByName(self.on_border(met.where("not inside")).select(*result))
+
+    def meet_any(self, places: DataFrame) -> DataFrame:
+        """The places (_x, _y) that meet at least one geometry, computed once; edges are asked where no cell settles it."""
+        cells = self.cells.drop("_labels")
+        full = cells.where("inside").select(*CELL).distinct()
+        sure = settled(dealt(self.placed(places), full, CELL, self.few_cells).select("_x", "_y").distinct())
+        rest = places.join(sure, ["_x", "_y"], "left_anti")
+        border = self.on_border(dealt(self.placed(rest), cells.where("not inside"), CELL, self.few_cells))
+        return settled(sure.unionByName(border.select("_x", "_y").distinct()))
+
+
+def dealt(rows: DataFrame, other: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """rows joined with the other side on keys; few: that side is small and broadcast."""
+    if few:
+        return rows.join(F.broadcast(other), on)
+    full = settled(rows.groupBy(*on).count().where(F.col("count") > CELL_POINTS).select(*on, F.ceil(F.col("count") / CELL_POINTS).cast("int").alias("_parts")))
+    other = other.join(full, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    mixed = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
+    rows = rows.join(full, on, "left").withColumn("_part", F.pmod(mixed, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return rows.join(other, [*on, "_part"]).drop("_part")
+
+
+def places_of(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The distinct places (_x, _y) of rows, computed once, their number and that of the rows there."""
+    there = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")
+    places = settled(rows.where(there).groupBy("_x", "_y").count())
+    n = places.agg(F.count("*").alias("places"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+    return places.select("_x", "_y"), n.places, n.rows
+
+
 def join_table(
     df: DataFrame,
     geometries: DataFrame,
@@ -167,47 +252,33 @@ def join_table(
         raise ValueError(f"a table of geometries is met by {', '.join(PREDICATES)}, not {predicate!r}")
     roles = Roles.of(df)
     roles.need("x", "y")
-    if how == "left":
-        # Numbers that stay when the table is read again, to tell rows that met nothing.
-        df = settled(df.withColumn("_row", F.monotonically_increasing_id()))
-    x, y, base = col(roles.x), col(roles.y), [c for c in df.columns if c != "_row"]
-    name, shown = label_id, [(c, c) for c in base]
-    if label_id in base:
+    x, y, shown = col(roles.x), col(roles.y), [(c, c) for c in df.columns]
+    name = label_id
+    if label_id in df.columns:
         if drop_label_if_exists:
-            shown = [(c, c) for c in base if c != label_id]
+            shown = [(c, c) for c in df.columns if c != label_id]
         else:
-            shown, name = [(c, f"{c}_left" if c == label_id else c) for c in base], f"{label_id}_right"
+            shown, name = [(c, f"{c}_left" if c == label_id else c) for c in df.columns], f"{label_id}_right"
     if crs and geometry_crs and crs != geometry_crs:
         df, x, y = transformed(df, x, y, crs, geometry_crs)
-    rows = df.select(F.struct(*[col(c) for c, _ in shown]).alias("_kept"), *(["_row"] if how == "left" else []), x.cast("double").alias("_x"), y.cast("double").alias("_y"))
-    laid = cover(geometries, label_id, geometry, distance if predicate == "dwithin" else 0)
-    cells = laid.where("level is not null").select("_label", "pid", "level", "i", "j", "inside", "strips", "low", "height")
-    levels = [r.level for r in cells.select("level").distinct().collect()]  # a few tens at most: powers of four
-    placed = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
-    places = [F.struct(F.lit(k).alias("level"), F.floor(F.col("_x") / F.lit(math.ldexp(1.0, k))).cast("long").alias("i"), F.floor(F.col("_y") / F.lit(math.ldexp(1.0, k))).cast("long").alias("j")) for k in levels]
-    none = F.array().cast("array<struct<level:int,i:long,j:long>>")
-    placed = placed.withColumn("_c", F.explode(F.array(*places) if places else none)).select("*", F.col("_c.level").alias("level"), F.col("_c.i").alias("i"), F.col("_c.j").alias("j")).drop("_c")
-    on = ["level", "i", "j"]
-    if cells.count() <= SMALL_COVER:
-        met = placed.join(F.broadcast(cells), on)
+    kept = [f"_c{k}" for k in range(len(shown))]
+    # Computed once, as the places and the result are read from it.
+    rows = settled(df.select(*[col(c).alias(k) for k, (c, _) in zip(kept, shown)], x.cast("double").alias("_x"), y.cast("double").alias("_y")))
+    places, n, n_rows = places_of(rows)
+    laid = Laid(cover(geometries, label_id, geometry, distance if predicate == "dwithin" else 0), predicate, distance)
+    shared = n * PER_PLACE <= n_rows
+    if shared:
+        lists = settled(laid.meet(places, few=n <= SMALL_COVER))
+        size = lists.agg(F.count("*").alias("lists"), F.coalesce(F.sum(F.size("_labels")), F.lit(0)).alias("labels")).first()
+        met = dealt(rows, lists, ["_x", "_y"], size.lists <= SMALL_COVER and size.labels <= SMALL_COVER * LABELS_EACH)
     else:
-        full = placed.groupBy(*on).count().where(F.col("count") > CELL_POINTS).select(*on, F.ceil(F.col("count") / CELL_POINTS).cast("int").alias("_parts"))
-        full = settled(full)
-        cells = cells.join(full, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        placed = placed.join(full, on, "left").withColumn("_part", F.pmod(F.xxhash64("_x", "_y", "_kept"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-        met = placed.join(cells, [*on, "_part"])
-    met = met.withColumn("strip", F.when(~F.col("inside"), F.floor((F.col("_y") - F.col("low")) / F.col("height")).cast("long")))
-    result = ["_kept", *(["_row"] if how == "left" else []), "_label"]
-    sure = met.where(F.col("inside"))
-    strips = laid.where("strip is not null").select("pid", "strip", F.col("inside").alias("_area"), "edges")
-    border = met.where(~F.col("inside")).join(strips, ["pid", "strip"]).where(meets_edges(F.col("_x"), F.col("_y"), F.col("edges"), F.col("_area"), predicate, distance))
-    found = sure.select(*result).unionByName(border.select(*result))
+        met = laid.meet(rows)
+    found = met.select(*kept, F.explode("_labels").alias("_label"))
     if how == "left":
-        label = geometries.schema[label_id].dataType
-        found = settled(found)
-        rest = rows.join(found.select("_row"), "_row", "left_anti").select("_kept", "_row", F.lit(None).cast(label).alias("_label"))
-        found = found.unionByName(rest)
-    return found.select(*[F.col("_kept")[c].alias(n) for c, n in shown], F.col("_label").alias(name))
+        some = lists.select("_x", "_y").distinct() if shared else laid.meet_any(places)
+        rest = rows.join(F.broadcast(some) if n <= SMALL_COVER else some, ["_x", "_y"], "left_anti")
+        found = found.unionByName(rest.select(*kept, F.lit(None).cast(found.schema["_label"].dataType).alias("_label")))
+    return found.select(*[F.col(k).alias(c) for k, (_, c) in zip(kept, shown)], F.col("_label").alias(name))
 
 
 def select_within_table(df: DataFrame, geometries: DataFrame, buffer: float = 0, invert: bool = False, geometry: str = "geometry") -> DataFrame:

@@ -124,6 +124,58 @@ def test_selection_within_a_table(spark, shapes, points):
     assert rest == {n for n, _, _ in points} - got | {9000, 9001}
 
 
+def stored(monkeypatch):
+    """Rows of every table that an operator stores from now on."""
+    sizes, real = [], areas.settled
+
+    def settled(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(areas, "settled", settled)
+    return sizes
+
+
+def crowd(spark):
+    """400 rows at 4 places, and 300 areas of 3 shapes: two of them hold 2 places each, one of these both, none the last."""
+    at = F.col("id") % 4
+    df = spark.range(400).select(F.col("id").alias("nr"), (at * 2 + 1).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    shift = F.when(F.col("id") % 3 < 2, F.col("id") % 3 * 2).otherwise(50)
+    ring = F.array(*[F.struct((shift + a).cast("double").alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (4, 0), (4, 3), (0, 3), (0, 0))])
+    return df, spark.range(300).select(F.col("id").alias("area"), polygon_wkb(ring).alias("geometry"))
+
+
+def crowd_pairs():
+    inside = lambda n, k: k % 3 < 2 and k % 3 * 2 < n % 4 * 2 + 1 < k % 3 * 2 + 4
+    return Counter((n, k) for n in range(400) for k in range(300) if inside(n, k))
+
+
+def test_equal_places_and_shapes_are_met_once(spark, monkeypatch):
+    df, geometries = crowd(spark)
+    sizes = stored(monkeypatch)
+    got = Counter((r.nr, r.area) for r in spatial.spatial_join(df, geometries, "area").collect())
+    assert got == crowd_pairs() and sum(got.values()) == 40_000
+    assert max(sizes) <= 2000
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_shared_places_against_brute_force(spark, shapes, points, small, monkeypatch):
+    monkeypatch.setattr(areas, "SMALL_COVER", small)
+    monkeypatch.setattr(areas, "CELL_POINTS", 20)
+    monkeypatch.setattr(areas, "LABELS", 2)
+    some = points[:60] + points[-60:]
+    df, geometries = tables(spark, shapes, [(n + 10_000 * k, x, y) for n, x, y in some for k in range(8)])
+    geometries = geometries.unionByName(geometries.where("area % 2 = 0")).unionByName(geometries.where("area % 4 = 0"))
+    times = lambda k: 1 + (k % 2 == 0) + (k % 4 == 0)
+    want = Counter({(n + 10_000 * c, k): times(k) for n, x, y in some for c in range(8) for k, g in enumerate(shapes) if any(inside(g, x, y))})
+    got = Counter((r.nr, r.area) for r in spatial.spatial_join(df, geometries, "area").collect())
+    assert got == want
+    met = {n for n, _ in want}
+    left = Counter((r.nr, r.area) for r in spatial.spatial_join(df, geometries, "area", how="left").collect())
+    assert left == want + Counter((n, None) for n in {n + 10_000 * c for n, _, _ in some for c in range(8)} - met | {9000, 9001})
+
+
 def fan(angles):
     rays = [(math.cos(a), math.sin(a)) for a in angles]
     return [Geometry("POLYGON", [[(0.0, 0.0), p, q, (0.0, 0.0)]]) for p, q in zip(rays[::2], rays[1::2])]
