@@ -176,6 +176,23 @@ def test_shared_places_against_brute_force(spark, shapes, points, small, monkeyp
     assert left == want + Counter((n, None) for n in {n + 10_000 * c for n, _, _ in some for c in range(8)} - met | {9000, 9001})
 
 
+def test_left_join_stores_less_than_it_gives(spark, monkeypatch):
+    df, geometries = crowd(spark)
+    sizes = stored(monkeypatch)
+    df = df.unionByName(spark.createDataFrame([(400, 30.0, 30.0), (401, None, 1.0)], df.schema))
+    got = Counter((r.nr, r.area) for r in spatial.spatial_join(df, geometries, "area", how="left").collect())
+    assert got == crowd_pairs() + Counter((n, None) for n in [*range(3, 400, 4), 400, 401]) and max(sizes) <= 2000
+    # Rows with places of their own are met as they come; those without an area are told by place.
+    sizes.clear()
+    ring = F.array(*[F.struct((F.col("id") + a).cast("double").alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, -9), (900, -9), (900, 900), (0, 900), (0, -9))])
+    many = spark.range(80).select(F.col("id").alias("area"), polygon_wkb(ring).alias("geometry"))
+    own = spark.range(1000).select(F.col("id").alias("nr"), (F.col("id") - 99.5).alias("x"), F.lit(1.0).alias("y"))
+    found = spatial.spatial_join(own, many, "area", how="left")
+    want = Counter((n, k) for n in range(1000) for k in [k for k in range(80) if k < n - 99.5 < k + 900] or [None])
+    assert Counter((r.nr, r.area) for r in found.collect()) == want
+    assert max(sizes) < 20_000 < sum(want.values())
+
+
 def fan(angles):
     rays = [(math.cos(a), math.sin(a)) for a in angles]
     return [Geometry("POLYGON", [[(0.0, 0.0), p, q, (0.0, 0.0)]]) for p, q in zip(rays[::2], rays[1::2])]
