@@ -286,7 +286,11 @@ def select_within_table(df: DataFrame, geometries: DataFrame, buffer: float = 0,
 
     Unlike :func:`spatial.within_union`, areas count one by one: an edge that two of them share is outside of both.
     """
-    kept = settled(df.withColumn("_id", F.monotonically_increasing_id()))
-    shapes = geometries.select(F.lit(1).alias("_shape"), col(geometry).alias("geometry"))
-    met = join_table(kept, shapes, "_shape", predicate="dwithin" if buffer > 0 else "within", distance=buffer)
-    return kept.join(met.select("_id"), "_id", "left_anti" if invert else "left_semi").select(*map(col, df.columns))
+    roles = Roles.of(df)
+    roles.need("x", "y")
+    kept = [f"_c{k}" for k in range(len(df.columns))]
+    rows = settled(df.select(*[col(c).alias(k) for k, c in zip(kept, df.columns)], col(roles.x).cast("double").alias("_x"), col(roles.y).cast("double").alias("_y")))
+    laid = Laid(cover(geometries, None, geometry, buffer if buffer > 0 else 0), "dwithin" if buffer > 0 else "within", buffer)
+    places, n, _ = places_of(rows)
+    met = laid.meet_any(places)
+    return rows.join(F.broadcast(met) if n <= SMALL_COVER else met, ["_x", "_y"], "left_anti" if invert else "left_semi").select(*[F.col(k).alias(c) for k, c in zip(kept, df.columns)])

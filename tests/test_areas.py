@@ -193,6 +193,14 @@ def test_left_join_stores_less_than_it_gives(spark, monkeypatch):
     assert max(sizes) < 20_000 < sum(want.values())
 
 
+def test_selection_settles_each_place_once(spark, monkeypatch):
+    df, geometries = crowd(spark)
+    sizes = stored(monkeypatch)
+    assert areas.select_within_table(df, geometries).count() == 300
+    assert areas.select_within_table(df, geometries.where("area % 3 = 1"), invert=True).count() == 200
+    assert max(sizes) <= 1000
+
+
 def fan(angles):
     rays = [(math.cos(a), math.sin(a)) for a in angles]
     return [Geometry("POLYGON", [[(0.0, 0.0), p, q, (0.0, 0.0)]]) for p, q in zip(rays[::2], rays[1::2])]
