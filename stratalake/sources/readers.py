@@ -590,6 +590,13 @@ class Geopackage:
             return self.spark.createDataFrame([], schema)
         address, types = f"file:{quote(str(Path(self.path).resolve()))}?mode=ro", {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         made = {"double": float, "long": int, "string": str, "binary": bytes}
+        stored = {"double": {float}, "long": {int}, "string": {str}, "binary": {bytes}}
+
+        def column(kind: str, values: tuple) -> pa.Array:
+            if not set(map(type, values)) <= stored[kind] | {type(None)}:  # a column may hold values of any type
+                values = [None if v is None else made[kind](v) for v in values]
+            return pa.array(values, types[kind])
+
         sql, values = range_statement(table, [n for n, _ in kinds], where, tree, bbox)
 
         def read(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -597,7 +604,7 @@ class Geopackage:
                 for start in (x for b in it for x in b.column(0).to_pylist()):
                     rows = db.execute(sql, (start, start + GPKG_ROWS, *values)).fetchall()
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([None if v is None else made[k](v) for v in c], types[k]) for (_, k), c in zip(kinds, zip(*rows))], names=[n for n, _ in kinds])
+                        yield pa.RecordBatch.from_arrays([column(k, c) for (_, k), c in zip(kinds, zip(*rows))], names=[n for n, _ in kinds])
 
         return self.spark.range(low, high + 1, GPKG_ROWS, max(1, min(1000, (high - low) // GPKG_ROWS + 1))).mapInArrow(read, schema)
 

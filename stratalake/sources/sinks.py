@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import shutil
 import sqlite3
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import closing
+from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import point_wkb
 from ..roles import Roles, col
-from ..storage import settled
+from ..storage import settled, shared_file
 
 
 def segments_3d(df: DataFrame) -> DataFrame:
@@ -106,37 +112,108 @@ def to_geoparquet(header: DataFrame, path: str, crs: int | None = None) -> None:
             system.delete(status.getPath(), True)
 
 
+#: Rows of a file that one task makes of a GeoPackage's table, and rows that it holds at a time.
+GPKG_PART, GPKG_BATCH = 500_000, 50_000
+#: Bytes of a page of new files.
+GPKG_PAGE = 32_768
+
+
+def gpkg_point(x: float | None, y: float | None, crs: int | None) -> bytes | None:
+    return None if x is None or y is None else b"GP\x00\x01" + struct.pack("<i", crs or 0) + struct.pack("<BI2d", 1, 1, x, y)
+
+
+def gpkg_values(columns: list[pa.Array], at: tuple[int, int] | None, crs: int | None) -> Iterator[tuple]:
+    """Rows of a GeoPackage's table; at: the columns of coordinates, of which the last one, a point's blob, is made."""
+    plain = lambda c: c.to_numpy(zero_copy_only=False).tolist() if not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)) else c.to_pylist()
+    values = [plain(c) for c in columns]
+    if at:
+        values.append([gpkg_point(x, y, crs) for x, y in zip(values[at[0]], values[at[1]])])
+    return zip(*values)
+
+
+def gpkg_parts(df: DataFrame, folder: str, create: str, insert: str, at: tuple[int, int] | None, crs: int | None) -> list[str]:
+    """SQLite files with one table each that tasks make of df's rows, numbered through in the order of its partitions.
+
+    The rows are staged first, as a row's number needs the sizes of the partitions before it.
+    """
+    spark, staged = df.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    df.toDF(*[f"c{k}" for k in range(len(df.columns))]).write.option("maxRecordsPerFile", GPKG_PART).parquet(f"file://{staged}")
+    sizes = spark.read.parquet(f"file://{staged}").groupBy(F.col("_metadata.file_name").alias("name")).count().collect()
+    # part-<partition>-<job>-c<file>: files of a partition follow each other.
+    order = sorted((*map(int, re.match(r"part-(\d+)-.*?c(\d+)\.", r["name"]).groups()), r["name"], r["count"]) for r in sizes)
+    starts = [1, *accumulate((r[3] for r in order), initial=1)][1:]
+    files = [(r[2], start) for r, start in zip(order, starts)]
+
+    def build(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (k for batch in it for k in batch.column(0).to_pylist()):
+            name, start = files[number]
+            made = f"{folder}/{uuid.uuid4().hex}"  # of this attempt
+            with closing(sqlite3.connect(made)) as db, pq.ParquetFile(f"{staged}/{name}") as source:
+                db.execute(f"pragma page_size = {GPKG_PAGE}")
+                db.execute("pragma journal_mode = off")
+                db.execute("pragma synchronous = off")
+                db.execute(create)
+                for batch in source.iter_batches(GPKG_BATCH):
+                    fids = pa.array(range(start, start + batch.num_rows), pa.int64())
+                    db.executemany(insert, gpkg_values([fids, *batch.columns], at and (at[0] + 1, at[1] + 1), crs))
+                    start += batch.num_rows
+                db.commit()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([made])], names=["number", "made"])
+
+    made = spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(build, "number long, made string").collect()
+    shutil.rmtree(staged)
+    return [r.made for r in sorted(made)]
+
+
 def to_geopackage(tables: dict[str, DataFrame], path: str, crs: int | None = None) -> None:
-    """Tables as layers of a GeoPackage: one SQLite file, hence written by the driver, streaming a partition at a time."""
-    with sqlite3.connect(path) as db:
-        db.executescript("""
+    """Tables as layers of a GeoPackage, one SQLite file.
+
+    Tasks make files with some of the rows each, in the folder that driver and executors share; the driver brings their
+    records into one, as they are. Where that folder is no mounted one, rows stream through the driver a partition at a time.
+    """
+    layers = []
+    for name, df in tables.items():
+        try:
+            roles = Roles.of(df)
+            spatial = roles.has_xy
+        except KeyError:
+            spatial = False
+        kinds = {"string": "text", "double": "real", "float": "real"}
+        columns = [f'"{c}" {kinds.get(t, "integer" if t in ("int", "bigint", "smallint", "tinyint", "boolean") else "blob")}' for c, t in df.dtypes]
+        create = f'create table "{name}" (fid integer primary key, {", ".join(columns)}{", geom blob" if spatial else ""})'
+        insert = f'insert into "{name}" values ({", ".join("?" * (1 + len(columns) + spatial))})'
+        at = (df.columns.index(roles.x), df.columns.index(roles.y)) if spatial else None
+        df = df.select(*[(c.cast("string") if t.startswith(("date", "timestamp")) else c.cast("binary") if t == "void" else c).alias(n) for n, t in df.dtypes for c in [col(n)]])
+        layers.append((name, df, create, insert, at))
+    spark = next(iter(tables.values())).sparkSession if tables else None
+    try:
+        folder = str(Path(shared_file(spark, "rows")).parent) if tables else ""
+    except ValueError:
+        folder = ""
+    parts = {name: gpkg_parts(df, folder, create, insert, at, crs) for name, df, create, insert, at in layers} if folder else {}
+    with closing(sqlite3.connect(path)) as db, db:
+        db.executescript(f"""
+            pragma page_size = {GPKG_PAGE};
             create table if not exists gpkg_contents (table_name text primary key, data_type text not null, identifier text, srs_id integer);
             create table if not exists gpkg_geometry_columns (table_name text primary key, column_name text, geometry_type_name text, srs_id integer, z tinyint, m tinyint);
         """)
-        for name, df in tables.items():
-            try:
-                roles = Roles.of(df)
-                spatial = roles.has_xy
-            except KeyError:
-                spatial = False
-            kinds = {"string": "text", "double": "real", "float": "real"}
-            columns = [f'"{c}" {kinds.get(t, "integer" if t in ("int", "bigint", "smallint", "tinyint", "boolean") else "blob")}' for c, t in df.dtypes]
+        for name, df, create, insert, at in layers:
             db.execute(f'drop table if exists "{name}"')
-            db.execute(f'create table "{name}" (fid integer primary key, {", ".join(columns)}{", geom blob" if spatial else ""})')
-            mark = ", ".join("?" * (len(df.columns) + spatial))
-            names = ", ".join(f'"{c}"' for c in df.columns) + (", geom" if spatial else "")
-
-            def values(row, roles=roles if spatial else None) -> tuple:
-                if roles is None:
-                    return tuple(row)
-                x, y = row[roles.x], row[roles.y]
-                blob = None if x is None or y is None else b"GP\x00\x01" + struct.pack("<i", crs or 0) + struct.pack("<BI2d", 1, 1, x, y)
-                return (*row, blob)
-
-            db.executemany(f'insert into "{name}" ({names}) values ({mark})', map(values, df.toLocalIterator()))
-            db.execute("insert or replace into gpkg_contents values (?, ?, ?, ?)", (name, "features" if spatial else "attributes", name, crs))
-            if spatial:
+            db.execute(create)
+            for part in parts.get(name, ()):
+                db.commit()  # a file is taken in or let go outside of transactions
+                db.execute("attach ? as part", (part,))
+                db.execute(f'insert into main."{name}" select * from part."{name}"')
+                db.commit()
+                db.execute("detach part")
+                os.unlink(part)
+            if not folder:
+                db.executemany(insert, ((fid, *row, *([gpkg_point(row[at[0]], row[at[1]], crs)] if at else [])) for fid, row in enumerate(df.toLocalIterator(), 1)))
+            db.execute("insert or replace into gpkg_contents values (?, ?, ?, ?)", (name, "features" if at else "attributes", name, crs))
+            if at:
                 db.execute("insert or replace into gpkg_geometry_columns values (?, 'geom', 'POINT', ?, 0, 0)", (name, crs))
+    if folder:
+        shutil.rmtree(folder)
 
 
 def to_shapefile(header: DataFrame, path: str, crs_wkt: str | None = None) -> None:

@@ -1,10 +1,11 @@
 """Conditions, columns and boxes go into the statement that tasks send to a GeoPackage."""
 
 import sqlite3
+import struct
 
 import pytest
 
-from stratalake.sources import readers
+from stratalake.sources import readers, sinks
 
 
 @pytest.fixture
@@ -52,3 +53,47 @@ def test_what_can_not_be_pushed_is_an_error(spark, file):
         g.db.execute('drop table "rtree_my points_geom"')
         with pytest.raises(ValueError, match="R-tree"):
             g.read_table("my points", bbox=(0, 0, 1, 1))
+
+
+ROWS = [(i, f"n{i}" * (i % 5), None if i % 7 == 0 else i / 4, float(i % 3), None if i % 11 == 0 else -1.5 * i, i % 2 == 0, bytes([i % 256]) * (i % 40)) for i in range(400)]
+ROWS[200] = (200, "long" * 20_000, 1.0, 2.0, 3.0, True, b"\x01" * 70_000)  # more than a page each
+SCHEMA = "nr long, name string, depth double, x double, y double, flag boolean, raw binary"
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_tables_are_made_by_tasks_and_numbered_through(spark, tmp_path, monkeypatch, mounted):
+    monkeypatch.setattr(sinks, "GPKG_PART", 37)
+    monkeypatch.setattr(sinks, "GPKG_BATCH", 10)
+    if mounted:
+        monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *_: pytest.fail("rows stream through the driver"))
+    else:
+        monkeypatch.setattr(sinks, "shared_file", lambda *_: (_ for _ in ()).throw(ValueError("no mounted folder")))
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(5).orderBy("nr")
+    path = str(tmp_path / "made by tasks.gpkg")
+    for _ in range(2):  # a table that is there is written anew, others stay
+        sinks.to_geopackage({"my rows": df, "plain": df.select("name"), "none": df.select("name").limit(0)}, path, 28992)
+    with sqlite3.connect(path) as db:
+        assert db.execute("pragma integrity_check").fetchall() == [("ok",)]
+        got = db.execute('select * from "my rows" order by fid').fetchall()
+        assert [r[:-1] for r in got] == [(k, *r) for k, r in enumerate(ROWS, 1)]
+        assert [r[-1] for r in got] == [None if y is None else b"GP\x00\x01" + struct.pack("<iBI2d", 28992, 1, 1, x, y) for _, _, _, x, y, _, _ in ROWS]
+        assert db.execute("select fid, name from plain order by fid").fetchall() == [(k, r[1]) for k, r in enumerate(ROWS, 1)]
+        assert db.execute("select count(*) from none").fetchone() == (0,)
+        assert db.execute("select table_name, data_type, srs_id from gpkg_contents order by 1").fetchall() == [("my rows", "features", 28992), ("none", "attributes", 28992), ("plain", "attributes", 28992)]
+        assert db.execute("select * from gpkg_geometry_columns").fetchall() == [("my rows", "geom", "POINT", 28992, 0, 0)]
+        db.execute('insert into "my rows" (nr) values (-1)')
+        assert db.execute('select max(fid) from "my rows"').fetchone() == (401,)
+        assert db.execute("pragma integrity_check").fetchall() == [("ok",)]
+    with readers.Geopackage(spark, path) as g:
+        back = g.read_table("my rows").where("nr >= 0").drop("geom").orderBy("fid").collect()
+        assert [tuple(r)[1:] for r in back] == [(*r[:5], int(r[5]), bytearray(r[6])) for r in ROWS]
+
+
+def test_columns_with_values_of_other_types(spark, tmp_path):
+    path = str(tmp_path / "mixed.gpkg")
+    with sqlite3.connect(path) as db:
+        db.execute("create table t (fid integer primary key, name text, depth real, n integer, raw blob)")
+        db.execute("insert into t values (1, 'a', 1.5, 2, x'01'), (2, null, 2, null, null)")
+        db.execute("insert into t values (3, x'41', '7.5', 3.5, x'')")
+    with readers.Geopackage(spark, path) as g:
+        assert [tuple(r) for r in g.read_table("t").orderBy("fid").collect()] == [(1, "a", 1.5, 2, bytearray(b"\x01")), (2, None, 2.0, None, None), (3, "b'A'", 7.5, 3, bytearray())]
