@@ -14,6 +14,7 @@ from contextlib import closing
 from itertools import accumulate
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import point_wkb
 from ..roles import Roles, col
 from ..storage import settled, shared_file
+from . import btree
 
 
 def segments_3d(df: DataFrame) -> DataFrame:
@@ -118,17 +120,26 @@ GPKG_PART, GPKG_BATCH = 500_000, 50_000
 GPKG_PAGE = 32_768
 
 
-def gpkg_point(x: float | None, y: float | None, crs: int | None) -> bytes | None:
-    return None if x is None or y is None else b"GP\x00\x01" + struct.pack("<i", crs or 0) + struct.pack("<BI2d", 1, 1, x, y)
+#: A point's blob: magic and version, flags, reference system; byte order, kind, coordinates.
+GPKG_POINT = np.dtype([("magic", "S4"), ("srs", "<i4"), ("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")])
+
+
+def gpkg_points(x: pa.Array, y: pa.Array, crs: int | None) -> list[bytes | None]:
+    points = np.empty(len(x), GPKG_POINT)
+    points["magic"], points["srs"], points["order"], points["kind"] = b"GP\x00\x01", crs or 0, 1, 1
+    for name, values in (("x", x), ("y", y)):
+        points[name] = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    data, size = points.tobytes(), GPKG_POINT.itemsize
+    out = [data[k : k + size] for k in range(0, len(data), size)]
+    for k in np.flatnonzero(~(x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False))):
+        out[k] = None
+    return out
 
 
 def gpkg_values(columns: list[pa.Array], at: tuple[int, int] | None, crs: int | None) -> Iterator[tuple]:
     """Rows of a GeoPackage's table; at: the columns of coordinates, of which the last one, a point's blob, is made."""
     plain = lambda c: c.to_numpy(zero_copy_only=False).tolist() if not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)) else c.to_pylist()
-    values = [plain(c) for c in columns]
-    if at:
-        values.append([gpkg_point(x, y, crs) for x, y in zip(values[at[0]], values[at[1]])])
-    return zip(*values)
+    return zip(*map(plain, columns), *([gpkg_points(columns[at[0]], columns[at[1]], crs)] if at else []))
 
 
 def gpkg_parts(df: DataFrame, folder: str, create: str, insert: str, at: tuple[int, int] | None, crs: int | None) -> list[str]:
@@ -169,7 +180,7 @@ def to_geopackage(tables: dict[str, DataFrame], path: str, crs: int | None = Non
     """Tables as layers of a GeoPackage, one SQLite file.
 
     Tasks make files with some of the rows each, in the folder that driver and executors share; the driver brings their
-    records into one, as they are. Where that folder is no mounted one, rows stream through the driver a partition at a time.
+    pages or, where rows are longer than pages, their records into one, as they are. Where that folder is no mounted one, rows stream through the driver a partition at a time.
     """
     layers = []
     for name, df in tables.items():
@@ -200,18 +211,21 @@ def to_geopackage(tables: dict[str, DataFrame], path: str, crs: int | None = Non
         for name, df, create, insert, at in layers:
             db.execute(f'drop table if exists "{name}"')
             db.execute(create)
-            for part in parts.get(name, ()):
-                db.commit()  # a file is taken in or let go outside of transactions
-                db.execute("attach ? as part", (part,))
-                db.execute(f'insert into main."{name}" select * from part."{name}"')
-                db.commit()
-                db.execute("detach part")
-                os.unlink(part)
             if not folder:
-                db.executemany(insert, ((fid, *row, *([gpkg_point(row[at[0]], row[at[1]], crs)] if at else [])) for fid, row in enumerate(df.toLocalIterator(), 1)))
+                db.executemany(insert, ((fid, *row, *(gpkg_points(*[pa.array([row[k]], pa.float64()) for k in at], crs) if at else [])) for fid, row in enumerate(df.toLocalIterator(), 1)))
             db.execute("insert or replace into gpkg_contents values (?, ?, ?, ?)", (name, "features" if at else "attributes", name, crs))
             if at:
                 db.execute("insert or replace into gpkg_geometry_columns values (?, 'geom', 'POINT', ?, 0, 0)", (name, crs))
+    for name, made in parts.items():
+        if not btree.splice(path, name, made):
+            with closing(sqlite3.connect(path)) as db:
+                for part in made:
+                    db.execute("attach ? as part", (part,))
+                    db.execute(f'insert into main."{name}" select * from part."{name}"')
+                    db.commit()
+                    db.execute("detach part")
+        for part in made:
+            os.unlink(part)
     if folder:
         shutil.rmtree(folder)
 
